@@ -41,6 +41,7 @@ VOLUME = 1.5
 GRID = 100
 MAX_LABELLED = 12_000
 MAX_WORDS = 96
+MIN_ERRORS = 5.0
 STEPS = 60
 TOLERANCE = 1e-3
 _SPLIT = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -50,11 +51,14 @@ def _evidence(words: Column, text: Column, vocabulary: list[str]) -> Column:
     """Chosen words that occur, and the bins of three statistics."""
     n = F.size(words)
     many = F.when(n < 5, "n0").when(n < 20, "n1").when(n < 100, "n2").when(n < 1000, "n3").otherwise("n4")
-    distinct = F.size(F.array_distinct(words)) / F.greatest(n, F.lit(1)).cast("double")
-    fresh = F.when(distinct < 0.3, "d0").when(distinct < 0.45, "d1").when(distinct < 0.6, "d2").when(distinct < 0.8, "d3").otherwise("d4")
+    threes = F.when(n < 4, F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))))
+    distinct = let(threes, lambda t: F.size(F.array_distinct(t)) / F.size(t).cast("double"))
+    fresh = F.when(distinct < 0.5, "d0").when(distinct < 0.75, "d1").when(distinct < 0.9, "d2").otherwise("d3")
+    shouted = F.size(F.filter(words, lambda w: (F.length(w) > 1) & (F.upper(w) == w) & (F.lower(w) != w)))
+    loud = F.when(shouted / F.greatest(n, F.lit(1)).cast("double") > 0.3, "u1").otherwise("u0")
     density = (F.size(F.split(text, "[#*$%&|<>]", -1)) - 1) / F.greatest(n, F.lit(1)).cast("double")
     marks = F.when(density < 0.02, "s0").when(density < 0.3, "s1").when(density < 0.8, "s2").otherwise("s3")
-    stats = F.array(*[F.concat(F.lit("\x00"), x) for x in (many, fresh, marks)])
+    stats = F.array(*[F.concat(F.lit("\x00"), x) for x in (many, fresh, loud, marks)])
     if not vocabulary:
         return stats
     return F.concat(stats, F.array_intersect(F.array(*map(F.lit, vocabulary)), words))
@@ -109,10 +113,10 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MA
     share = [(sizes.get(d, 0) + 0.5) / (total + 0.5 * k) for d in range(k)]
     counts = [F.count_if(F.col("domain") == d).alias(f"c{d}") for d in range(k)]
     words = sample.select("domain", F.explode(F.array_distinct(_words(text_of()))).alias("word")).groupBy("word").agg(*counts)
-    # words whose share differs most between one domain and all, for its spread
+    # words whose share in one domain differs from that in all by MIN_ERRORS standard errors or more
     every = sum((F.col(f"c{d}") for d in range(1, k)), F.col("c0")) / F.lit(float(total))
-    gain = F.greatest(*[F.pow(F.col(f"c{d}") / F.lit(float(max(sizes.get(d, 0), 1))) - every, F.lit(2)) / (every + F.lit(5.0 / total)) * F.lit(math.sqrt(sizes.get(d, 0) / total)) for d in range(k)])
-    top = words.where(" + ".join(f"c{d}" for d in range(k)) + " >= 3").select("word", gain.alias("gain")).orderBy(F.desc("gain"), "word").limit(max_words)
+    gain = F.greatest(*[F.pow(F.col(f"c{d}") / F.lit(float(max(sizes.get(d, 0), 1))) - every, F.lit(2)) / (every + F.lit(0.5 / total)) * F.lit(float(sizes.get(d, 0))) for d in range(k)])
+    top = words.where(" + ".join(f"c{d}" for d in range(k)) + " >= 3").select("word", gain.alias("gain")).where(F.col("gain") >= MIN_ERRORS**2).orderBy(F.desc("gain"), "word").limit(max_words)
     vocabulary = sorted(r[0] for r in top.collect())
     seen = _rows(sample, vocabulary, "domain").select("domain", F.explode("evidence").alias("e")).groupBy("e").agg(*counts).collect()
     table: dict[str, list[float]] = {}

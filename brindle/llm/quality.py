@@ -128,7 +128,7 @@ def _gain(p: int, n: int, p0: int, n0: int) -> float:
 
 def _bin_of(feature: str, cuts: list[float]) -> Column:
     """How many cuts the value reaches."""
-    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(feature)))
+    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(feature))) if cuts else F.lit(0)
 
 
 def _all(conditions) -> Column:
@@ -145,12 +145,13 @@ def learn(stats: DataFrame, labels: DataFrame) -> Rules:
     rows = stats.join(known, "doc_id").where(~base_failed())
     rows = rows.select("doc_id", (F.col("quality") == 0).alias("bad"), *[c.alias(k) for k, c in features().items()])
     rows = stage(spark, rows, "labelled")
-    shares = [k / BINS for k in range(1, BINS)]
+    shares = [k / BINS for k in range(BINS + 1)]
     quantiles = rows.agg(*[F.percentile_approx(f, shares, 10_000).alias(f) for f in FEATURES]).first()
     if quantiles[0] is None:
         return Rules()
-    # cuts lie between a value and the next: a cut at each quantile, and just above it
-    cuts = {f: sorted({float(q) for q in quantiles[f]} | {math.nextafter(float(q), math.inf) for q in quantiles[f]}) for f in FEATURES}
+    # cuts lie midway between a quantile and the next different one
+    values = {f: sorted({float(q) for q in quantiles[f]}) for f in FEATURES}
+    cuts = {f: [(a + b) / 2 for a, b in zip(v, v[1:], strict=False)] for f, v in values.items()}
     binned = rows.select(
         "bad", (F.pmod(F.xxhash64("doc_id", F.lit("prune")), F.lit(3)) == 0).alias("prune"),
         *[_bin_of(f, cuts[f]).alias(f"b_{f}") for f in FEATURES],

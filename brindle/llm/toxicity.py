@@ -34,8 +34,12 @@ from brindle.llm.common import FOLD, as_bytes, held_out, per_batch, stage
 
 MAX_POSITIVE = 3000
 MAX_UNLABELLED = 9000
-MAX_FEATURES = 3000
+MAX_FEATURES = 1000
 MIN_DF = 2
+#: A word is evidence if its shares among positives and unlabelled differ by so many standard errors.
+MIN_ERRORS = 4.0
+#: The penalty is this over the number of positives.
+PENALTY = 0.03
 THRESHOLD = 0.5
 
 
@@ -100,7 +104,7 @@ def _known_labels(labels: DataFrame) -> DataFrame:
     )
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, max_positive=MAX_POSITIVE, max_unlabelled=MAX_UNLABELLED, max_features=MAX_FEATURES, prior: float | None = None, ensemble: int = 3, steps: int = 300) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, max_positive=MAX_POSITIVE, max_unlabelled=MAX_UNLABELLED, max_features=MAX_FEATURES, prior: float | None = None, ensemble: int = 3, steps: int = 400) -> Model:
     spark = docs.sparkSession
     known = _known_labels(labels)
     n, toxic = known.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)), F.lit(0))).first()
@@ -132,11 +136,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_positive=MAX_POSITIVE, max_un
         .agg(F.sum(one).alias("p"), F.sum(zero).alias("u"))
         .where(F.col("p") + F.col("u") >= MIN_DF)
         .select("word", (F.pow(share_p - share_u, F.lit(2)) / (share_p * prior + share_u + F.lit(0.5 / n_u))).alias("gain"))
+        .where(F.col("gain") * n_p >= MIN_ERRORS**2)
         .orderBy(F.desc("gain"), "word")
         .limit(max_features)
         .collect()
     )
     names = sorted(bytes(r[0]) for r in top)
+    if not names:
+        return Model(prior)
     held = spark.sparkContext.broadcast({w: i for i, w in enumerate(names)})
 
     def cells(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -148,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_positive=MAX_POSITIVE, max_un
     positive = np.array([p for _, p, _ in got])
     rows = np.repeat(np.arange(len(got)), [len(c) for _, _, c in got])
     cols = np.array([c for _, _, cs in got for c in cs], dtype=np.int64)
-    fits = [nnpu(rows, cols, positive, len(names), prior, steps=steps, seed=k) for k in range(ensemble)]
+    fits = [nnpu(rows, cols, positive, len(names), prior, steps=steps, l2=PENALTY / n_p, seed=k) for k in range(ensemble)]
     return Model(prior, names, np.stack([w for w, _ in fits], 1), np.array([b for _, b in fits]))
 
 
