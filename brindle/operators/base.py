@@ -11,6 +11,7 @@ import warnings
 from dataclasses import dataclass
 from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,11 +97,15 @@ class Model:
             autotune(self, df, *args, **kwargs)
         self._fit(df, *args, **kwargs)
         self.fitted = True
-        self._cached = self.transform(df) if self.opt.cache and hasattr(self, "_transform") else None
+        self._cached = self._of_fit(df) if self.opt.cache and hasattr(self, "_transform") else None
         return self
 
     fit_ex = fit
 
+    def _of_fit(self, df: DataFrame) -> DataFrame:
+        """What predict() without rows gives after a fit."""
+        return self.transform(df)
+
     def transform(self, df: DataFrame) -> DataFrame:
         if not self.fitted:
             raise NotFitted(f"{type(self).__name__} is not fitted")
@@ -180,7 +185,7 @@ class AutoTuneMethod:
 def model_save(spark: SparkSession, path: str, overwrite: bool = False, **models: Any) -> None:
     """Store models under their names in one Parquet table; others of that table
     stay unless ``overwrite``, one of the same name is replaced."""
-    new = {k: bytearray(pickle.dumps(v)) for k, v in models.items()}
+    new = {k: bytearray(cloudpickle.dumps(v)) for k, v in models.items()}
     if not overwrite:
         try:
             old = {r.name: r.model for r in spark.read.parquet(path).collect()}

@@ -86,22 +86,35 @@ def permutations(values: Sequence[Any], keep_structure: bool = False) -> list[li
 # ---------------------------------------------------------------- dividing rows
 
 
-def numbered(df: DataFrame, order: Column, out: str = "_n") -> DataFrame:
-    """Rows numbered from 0 in an order, without one task for all rows: ranges are
-    sorted apart and each adds the sizes of those before it (a number a range)."""
-    spark, key = df.sparkSession, "_order"
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.withColumn(key, order).repartitionByRange(parts, key).withColumn("_part", F.spark_partition_id())
-    counted = dealt.groupBy("_part").count().orderBy("_part").collect()
+def numbered(df: DataFrame, *order: Column, out: str = "_n") -> DataFrame:
+    """Rows numbered from 0 in an order, without one task for all rows.
+
+    Literal bounds of the first order column cut the rows into ranges; each is numbered apart and adds the sizes of
+    those before it (a number a range). Equal rows give equal ranges each time they are computed."""
+    first, parts = order[0], int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = df.select(first.alias("k")).schema["k"].dataType
+    if isinstance(kind, (*_INTEGERS, *_CONTINUOUS, T.DateType, T.TimestampType)):
+        cuts = df.agg(F.percentile_approx(first, [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] or []
+    else:
+        # at most some thousands of values, chosen by hash
+        n = max(1, df.count() // 5000)
+        some = [x[0] for x in df.select(first.alias("k")).where(F.pmod(F.xxhash64("k"), F.lit(n)) == 0).where("k is not null").orderBy("k").limit(20_000).collect()]
+        cuts = [some[len(some) * i // parts] for i in range(1, parts)] if some else []
+    cuts = list(dict.fromkeys(cuts))
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("_first"))) if cuts else F.lit(0)
+    names = [f"_order{i}" for i in range(len(order))]
+    rows = df.withColumns({**dict(zip(names, order, strict=True)), "_first": first}).withColumn("_part", F.when(F.col("_first").isNull(), 0).otherwise(part)).drop("_first")
     before, run = {}, 0
-    for r in counted:
-        before[r[0]] = run
-        run += r[1]
-    if not before:
-        return dealt.withColumn(out, F.lit(0).cast("long")).drop(key, "_part")
-    offset = F.create_map(*[x for k, v in before.items() for x in (F.lit(k), F.lit(v))])
-    local = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
-    return dealt.withColumn(out, (local + F.element_at(offset, F.col("_part"))).cast("long")).drop(key, "_part")
+    for k, n in sorted((x[0], x[1]) for x in rows.groupBy("_part").count().collect()):
+        before[k] = run
+        run += n
+    offset = F.element_at(F.create_map(*[x for k, v in before.items() for x in (F.lit(k), F.lit(v))]), F.col("_part")) if before else F.lit(0)
+    local = F.row_number().over(Window.partitionBy("_part").orderBy(*names)) - 1
+    return rows.withColumn(out, (local + offset).cast("long")).drop(*names, "_part")
+
+
+def _order(shuffle: bool, seed: int, id_col: str) -> tuple[Column, ...]:
+    return (shuffled_key(seed, id_col), F.col(id_col)) if shuffle else (F.col(id_col),)
 
 
 def shares_to_bounds(shares: Sequence[float], n: int) -> list[int]:
@@ -119,7 +132,7 @@ def partition(df: DataFrame, shares: Sequence[float], *, shuffle: bool = True, s
     """Exact shares of the rows; what stands in one row stays together, so aligned arrays are one DataFrame."""
     n = df.count()
     bounds = shares_to_bounds(shares, n)
-    rows = numbered(df, F.struct(shuffled_key(seed, id_col), F.col(id_col)) if shuffle else F.col(id_col))
+    rows = numbered(df, *_order(shuffle, seed, id_col))
     lows = [0, *bounds[:-1]]
     return [rows.where((F.col("_n") >= a) & (F.col("_n") < b)).drop("_n") for a, b in zip(lows, bounds, strict=True)]
 
@@ -139,7 +152,7 @@ def consistent_shuffle(df: DataFrame, seed: int = FIXED_SEED, id_col: str = "_id
 def batches(df: DataFrame, size: int, *, sequential: bool = False, seed: int = FIXED_SEED, id_col: str = "_id") -> DataFrame:
     """Rows with the number of their mini-batch; what does not fill a batch is left out, unless there is only one."""
     n = df.count()
-    rows = numbered(df, F.col(id_col) if sequential else F.struct(shuffled_key(seed, id_col), F.col(id_col)))
+    rows = numbered(df, *_order(not sequential, seed, id_col))
     full = 1 if size > n else n // size
     return rows.withColumn("batch", F.floor(F.col("_n") / size)).where(F.col("batch") < full).drop("_n")
 
@@ -163,9 +176,8 @@ class KFold(DataSampler):
         """The rows with their fold, 0 and up."""
         n = df.count()
         bounds = shares_to_bounds([1 / self.nsplits] * self.nsplits, n)
-        order = F.struct(shuffled_key(self.seed + repeat, self.id_col), F.col(self.id_col)) if self.shuffle else F.col(self.id_col)
         fold = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("_n")))
-        return numbered(df, order).withColumn("fold", fold).drop("_n")
+        return numbered(df, *_order(self.shuffle, self.seed + repeat, self.id_col)).withColumn("fold", fold).drop("_n")
 
     def split(self, df: DataFrame) -> Iterator[tuple[DataFrame, DataFrame]]:
         for repeat in range(self.nrepeats):
