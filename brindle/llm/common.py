@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -59,8 +60,10 @@ def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of queries whose results are staged: its
     cleaner waits for the driver's garbage collection, which a quiet driver seldom runs."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def shared_fs(uri: str) -> tuple[pafs.FileSystem, str]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from brindle.llm.common import as_bytes, per_batch
-from brindle.llm.repeats import Prefix, Setting, _texts, covered, decided_runs, finish, in_blocks, phrases, prepare
+from brindle.llm.repeats import Coder, Prefix, Setting, _texts, covered, decided_runs, finish, in_blocks, phrases, prepare
 from brindle.llm.substrings import byte_units
 
 SETTING = Setting(length=35, k=12, keep_first=False, block=1 << 20)
@@ -52,6 +52,9 @@ def word_units(text: bytes) -> np.ndarray:
     return finish(Prefix(byte_units(text), _BASE).of(starts, size) * _MIX + size.astype(np.uint64))
 
 
+CODER = Coder(word_units, lambda text, units, a, b: units[a:b].tobytes(), lambda blob: np.frombuffer(blob, np.uint64))
+
+
 def cells_of(trigger: np.ndarray, width: int) -> list[np.ndarray]:
     """The cell of each trigger hash in each row of the sketch."""
     return [(finish(trigger.view(np.uint64) * s) & np.uint64(width - 1)).astype(np.int64) for s in _SEEDS[:ROWS_OF_CELLS]]
@@ -134,7 +137,7 @@ def dedup(docs: DataFrame, setting: Setting = SETTING, with_text: bool = False)
     rows = prepare(docs)
     spark = docs.sparkSession
     bits = spark.sparkContext.broadcast(sketch(rows, width_for(docs, setting), setting))
-    runs = decided_runs(rows, word_units, setting, lambda trigger: repeated(bits.value, trigger))
+    runs = decided_runs(rows, CODER, setting, lambda trigger: repeated(bits.value, trigger))
     joined = rows.join(runs, ["doc", "copy"], "left").select("doc_id", "text", "runs")
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 

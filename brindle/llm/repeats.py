@@ -22,6 +22,7 @@ before the shuffle, so a key has at most one entry a block, however hot it is.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,10 +36,12 @@ from brindle.llm.common import as_bytes, release, stage
 #: A row of the shuffles. tag: kind + 4 * many + 8 * copy. An ENTRY of a phrase has in ``place`` the trigger's
 #: place << 16 | first start's distance before it << 8 | last start's; an ENTRY of a window has its start there.
 #: A DECIDED run of starts has its first in ``phrase`` and its last in ``place``.
-ENTRY, DECIDED = 0, 1
+ENTRY, DECIDED, WINDOW = 0, 1, 2
 ROWS = "trigger long, phrase long, doc long, place long, tag int"
 _POSITION_BITS = 28
 LEAST_ID = -(1 << 63)
+#: Entries of a trigger that may be decided in one task.
+SMALL = 4096
 
 
 @dataclass(frozen=True)
@@ -53,6 +56,15 @@ class Setting:
         return self.length - self.k + 1
 
 
+@dataclass(frozen=True)
+class Coder:
+    """How texts become units, and how a piece of one travels."""
+
+    units: Callable[[bytes], np.ndarray]
+    pack: Callable[[bytes, np.ndarray, int, int], bytes]
+    unpack: Callable[[bytes], np.ndarray]
+
+
 def _mixer(seed: int) -> tuple[np.uint64, np.uint64]:
     rng = np.random.default_rng(seed)
     return np.uint64(int(rng.integers(1, 1 << 62)) * 2 + 1), np.uint64(int(rng.integers(1, 1 << 62)) * 2 + 1)
@@ -239,7 +251,7 @@ def entries(rows: DataFrame, units_of, setting: Setting, wanted=None) -> DataFra
 
 
 def resolve(rows: DataFrame, setting: Setting) -> DataFrame:
-    """Of all blocks together: decided runs (kind DECIDED: doc, copy, first, last) and phrases to open (kind ENTRY: doc, copy, trigger, place)."""
+    """Of all blocks together: decided runs (kind DECIDED: doc, copy, first x, last y) and phrases to open (kind ENTRY: doc, copy, trigger, place y; x tells a large group)."""
     kind, copy = F.col("tag").bitwiseAND(F.lit(3)), F.shiftright("tag", 3)
     entry = kind == ENTRY
     by_trigger = Window.partitionBy("trigger")
@@ -247,7 +259,7 @@ def resolve(rows: DataFrame, setting: Setting) -> DataFrame:
     ranked = by_phrase.orderBy("doc", copy, "place")
     only = F.when(entry, F.col("phrase"))
     got = rows.withColumn("several", F.coalesce(F.min(only).over(by_trigger) != F.max(only).over(by_trigger), F.lit(False)))
-    got = got.withColumn("n", F.when(entry, F.row_number().over(ranked)))
+    got = got.withColumn("n", F.when(entry, F.row_number().over(ranked))).withColumn("large", F.count(F.lit(1)).over(by_trigger) > SMALL)
     if setting.keep_first:
         decided, open_ = entry & (F.col("n") > 1), entry & (F.col("n") == 1) & F.col("several")
     else:
@@ -258,68 +270,127 @@ def resolve(rows: DataFrame, setting: Setting) -> DataFrame:
     run = F.when(~entry, F.struct(F.lit(DECIDED).alias("kind"), F.lit(0).cast("long").alias("trigger"), F.col("phrase").alias("x"), F.col("place").alias("y"))).when(
         decided, F.struct(F.lit(DECIDED).alias("kind"), F.lit(0).cast("long").alias("trigger"), (at - lo).alias("x"), (at - hi).alias("y"))
     )
-    opened = F.when(open_, F.struct(F.lit(ENTRY).alias("kind"), F.col("trigger"), F.lit(0).cast("long").alias("x"), F.col("place").alias("y")))
+    opened = F.when(open_, F.struct(F.lit(ENTRY).alias("kind"), F.col("trigger"), F.col("large").cast("long").alias("x"), F.col("place").alias("y")))
     return got.select("doc", copy.alias("copy"), F.inline(F.array_compact(F.array(run, opened))))
 
 
-def windows(rows: DataFrame, opened: DataFrame, units_of, setting: Setting) -> DataFrame:
-    """The windows of opened phrases, equal ones of a block combined."""
-    lists = opened.groupBy("doc", "copy").agg(F.collect_list(F.struct("trigger", "y")).alias("open"))
+def windows(rows: DataFrame, opened: DataFrame, coder: Coder, setting: Setting) -> DataFrame:
+    """Decided runs of starts among the windows of opened phrases: doc, copy, x, y.
+
+    Phrases of a trigger with at most SMALL entries travel as they are, and their windows meet in one task; those of
+    a larger one travel window by window, equal ones of a block combined, so their windows meet wherever their hash says."""
+    lists = opened.groupBy("doc", "copy").agg(F.collect_list(F.struct("trigger", "x", "y")).alias("open"))
     joined = rows.join(lists, ["doc", "copy"]).select("doc", "copy", "text", "open")
 
-    def run(batches):
+    def spread(batches):
         held: list[tuple] = []
         size = 0
         for batch in batches:
+            out: list[tuple] = []
             for doc, copy, text, open_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), batch.column(3), strict=True):
-                units = Prefix(units_of(text), _BASE1)
-                trigger, place = (open_.values.field(k).to_numpy() for k in ("trigger", "y"))
-                for a in range(0, len(trigger), 1 << 14):
-                    t, p = trigger[a : a + (1 << 14)], place[a : a + (1 << 14)]
-                    at, lo, hi = p >> 16, p >> 8 & 255, p & 255
-                    count = lo - hi + 1
-                    which = np.repeat(np.arange(len(t)), count)
-                    step = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-                    start = (at - lo)[which] + step
-                    # within a trigger, offset and hash of the window decide
-                    h = finish(units.of(start, setting.length) * _MIX2 + (lo[which] - step).astype(np.uint64)).view(np.int64)
+                units = coder.units(text)
+                trigger, large, place = (open_.values.field(k).to_numpy() for k in ("trigger", "x", "y"))
+                small = np.flatnonzero(large == 0)
+                for t, p in zip(trigger[small].tolist(), place[small].tolist(), strict=True):
+                    first, last = (p >> 16) - (p >> 8 & 255), (p >> 16) - (p & 255)
+                    out.append((t, t, 0, doc, p, 8 * copy + ENTRY, coder.pack(text, units, first, last + setting.length)))
+                rest = np.flatnonzero(large)
+                if not len(rest):
+                    continue
+                hashes = Prefix(units, _BASE1)
+                for a in range(0, len(rest), 1 << 14):
+                    t, p = trigger[rest[a : a + (1 << 14)]], place[rest[a : a + (1 << 14)]]
+                    which, start, h = _opened(p, hashes, (p >> 16) - (p >> 8 & 255), setting)
                     held.append((t[which], h, np.full(len(which), doc), np.full(len(which), copy), start))
                     size += len(which)
                     if size >= setting.block // 2:
                         yield from flush(held)
                         held, size = [], 0
+            for a in range(0, len(out), 1 << 14):
+                yield _spread_batch(*zip(*out[a : a + (1 << 14)], strict=True))
         if held:
             yield from flush(held)
 
     def flush(held):
         t, h, doc, copy, start = (np.concatenate(x) for x in zip(*held, strict=True))
-        return _combine(t, h, doc, copy, start, start, start, setting.keep_first)
-
-    return joined.mapInArrow(run, ROWS)
+        for batch in _combine(t, h, doc, copy, start, start, start, setting.keep_first):
+            t, h, doc, place, tag = (c.to_numpy() for c in batch.columns)
+            key = finish(t.view(np.uint64) * _MIX1 + h.view(np.uint64)).view(np.int64)
+            yield _spread_batch(key, t, h, doc, place, tag + WINDOW, [None] * len(t))
 
-
-def resolve_windows(rows: DataFrame, setting: Setting) -> DataFrame:
-    """Decided runs of starts, of all blocks together: doc, copy, x, y."""
-    kind, copy = F.col("tag").bitwiseAND(F.lit(3)), F.shiftright("tag", 3)
-    entry = kind == ENTRY
-    by = Window.partitionBy("trigger", "phrase")
-    if setting.keep_first:
-        got = rows.withColumn("n", F.row_number().over(by.orderBy("doc", copy, "place")))
-        decided = F.col("n") > 1
-    else:
-        got = rows.withColumn("more", (F.count(F.lit(1)).over(by) > 1) | (F.max(F.col("tag").bitwiseAND(F.lit(4))).over(by) > 0))
-        decided = F.col("more")
-    return got.where(~entry | decided).select("doc", copy.alias("copy"), F.when(entry, F.col("place")).otherwise(F.col("phrase")).alias("x"), F.col("place").alias("y"))
+    def meet(batches):
+        carried = None
+        for batch in batches:
+            batch = batch if carried is None else pa.concat_batches([carried, batch])
+            key = batch.column(0).to_numpy()
+            new = np.flatnonzero(key[1:] != key[:-1])
+            cut = int(new[-1]) + 1 if len(new) else 0  # the last key may go on in the next batch
+            carried = batch.slice(cut)
+            if cut:
+                yield from _meet(batch.slice(0, cut), coder, setting)
+        if carried is not None and carried.num_rows:
+            yield from _meet(carried, coder, setting)
+
+    sent = joined.mapInArrow(spread, "key long, trigger long, phrase long, doc long, place long, tag int, content binary")
+    return sent.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "doc long, copy int, x long, y long")
+
+
+def _opened(place: np.ndarray, hashes: Prefix, first: np.ndarray, setting: Setting) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Phrase number, start in the text and hash of each window of phrases; ``first``: where their first starts lie in the units."""
+    at, lo, hi = place >> 16, place >> 8 & 255, place & 255
+    count = lo - hi + 1
+    which = np.repeat(np.arange(len(place)), count)
+    step = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+    # within a trigger, offset and hash of the window decide
+    h = finish(hashes.of(first[which] + step, setting.length) * _MIX2 + (lo[which] - step).astype(np.uint64)).view(np.int64)
+    return which, (at - lo)[which] + step, h
+
+
+def _spread_batch(key, trigger, phrase, doc, place, tag, content) -> pa.RecordBatch:
+    cols = [pa.array(np.asarray(x, np.int64)) for x in (key, trigger, phrase, doc, place)] + [pa.array(np.asarray(tag, np.int32)), pa.array(content, pa.binary())]
+    return pa.RecordBatch.from_arrays(cols, ["key", "trigger", "phrase", "doc", "place", "tag", "content"])
+
+
+def _meet(batch: pa.RecordBatch, coder: Coder, setting: Setting):
+    """Decides the windows of whole keys."""
+    _, trigger, phrase, doc, place, tag = (c.to_numpy() for c in batch.columns[:6])
+    kind, copy = tag & 3, tag >> 3
+    done = kind == DECIDED + WINDOW
+    runs = [(doc[done], copy[done], phrase[done], place[done])]
+    window = kind == ENTRY + WINDOW
+    parts = [(trigger[window], phrase[window], doc[window], copy[window], place[window], (tag[window] & 4) > 0)]
+    small = np.flatnonzero(kind == ENTRY)
+    if len(small):
+        contents = [coder.unpack(x.as_py()) for x in batch.column(6).take(pa.array(small))]
+        lengths = np.array([len(c) for c in contents])
+        which, start, h = _opened(place[small], Prefix(np.concatenate(contents), _BASE1), np.cumsum(lengths) - lengths, setting)
+        parts.append((trigger[small][which], h, doc[small][which], copy[small][which], start, np.zeros(len(which), bool)))
+    t, h, d, c, s, many = (np.concatenate(x) for x in zip(*parts, strict=True))
+    if len(t):
+        order = np.lexsort((s, c, d, h, t))
+        new = np.ones(len(order), bool)
+        new[1:] = (t[order][1:] != t[order][:-1]) | (h[order][1:] != h[order][:-1])
+        if setting.keep_first:
+            rest = order[~new]
+        else:
+            at = np.flatnonzero(new)
+            size = np.diff(np.concatenate([at, [len(order)]]))
+            rest = order[np.repeat((size > 1) | np.logical_or.reduceat(many[order], at), size)]
+        runs.append((d[rest], c[rest], s[rest], s[rest]))
+    d, c, first, last = (np.concatenate(x) for x in zip(*runs, strict=True))
+    if len(d):
+        d, c, first, last = _runs(d, c, first, last)
+        yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(c.astype(np.int32)), pa.array(first), pa.array(last)], ["doc", "copy", "x", "y"])
 
 
-def decided_runs(rows: DataFrame, units_of, setting: Setting, wanted=None) -> DataFrame:
+def decided_runs(rows: DataFrame, coder: Coder, setting: Setting, wanted=None) -> DataFrame:
     """doc, copy and runs (array of first, last start) of the texts with windows to remove."""
     spark = rows.sparkSession
-    both = stage(spark, resolve(entries(rows, units_of, setting, wanted), setting), "phrases")
+    both = stage(spark, resolve(entries(rows, coder.units, setting, wanted), setting), "phrases")
     release(spark)
-    single = stage(spark, resolve_windows(windows(rows, both.where(F.col("kind") == ENTRY), units_of, setting), setting), "windows")
+    met = stage(spark, windows(rows, both.where(F.col("kind") == ENTRY), coder, setting), "windows")
     release(spark)
-    every = both.where(F.col("kind") == DECIDED).select("doc", "copy", "x", "y").unionByName(single)
+    every = both.where(F.col("kind") == DECIDED).select("doc", "copy", "x", "y").unionByName(met)
     return every.groupBy("doc", "copy").agg(F.collect_list(F.struct("x", "y")).alias("runs"))
 
 

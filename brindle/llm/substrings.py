@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from brindle.llm.common import as_bytes, per_batch
-from brindle.llm.repeats import Setting, covered, decided_runs, prepare
+from brindle.llm.repeats import Coder, Setting, covered, decided_runs, prepare
 
 SETTING = Setting(length=100, k=32, keep_first=True)
 _TABLE = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -34,12 +34,15 @@ def byte_units(text: bytes) -> np.ndarray:
     return _TABLE[np.frombuffer(text, np.uint8)]
 
 
+CODER = Coder(byte_units, lambda text, units, a, b: text[a:b], byte_units)
+
+
 def dedup(docs: DataFrame, setting: Setting = SETTING, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, the removed spans (bytes) and, if asked for, what is left.
 
     What is left may cut a character in two, so it is binary."""
     rows = prepare(docs)
-    runs = decided_runs(rows, byte_units, setting)
+    runs = decided_runs(rows, CODER, setting)
     joined = rows.join(runs, ["doc", "copy"], "left").select("doc_id", "text", "runs")
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 

@@ -12,8 +12,8 @@ their probabilities are averaged.
 
 Labels are read only from rows outside the held-out fold. The fit uses at most
 ``max_positive`` positives and ``max_unlabelled`` unlabelled documents, chosen by
-the smallest hash of the id; the prior is counted over all labelled rows, and
-every document is scored over its whole text. Only the text enters a score.
+the smallest hash of the id; the prior is counted over all labelled rows (give
+``prior`` where these are no fair draw), and every document is scored over its whole text. Only the text enters a score.
 
 Defined results: null and empty texts get the score of a document without
 words; without positives (or without labels) every score is the prior (0
