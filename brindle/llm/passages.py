@@ -29,12 +29,12 @@ from brindle.llm.common import as_bytes, per_batch
 from brindle.llm.repeats import Coder, Prefix, Setting, _texts, covered, decided_runs, finish, in_blocks, phrases, prepare
 from brindle.llm.substrings import byte_units
 
-SETTING = Setting(length=35, k=12, keep_first=False, block=1 << 20)
+SETTING = Setting(length=35, k=12, keep_first=False)
 ROWS_OF_CELLS = 2
 MAX_CELLS = 1 << 28
 MIN_CELLS = 1 << 20
 CHUNK = 1 << 20
-_FLUSH = 2 << 20
+_FLUSH = 1 << 20
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 _BASE, _MIX = np.uint64(0x5851F42D4C957F2D), np.uint64(0xA0761D6478BD642F)
 _IS_WHITE = np.zeros(256, bool)
@@ -161,5 +161,3 @@ def dedup(docs: DataFrame, setting: Setting = SETTING, with_text: bool = False)
 
     got = joined.mapInArrow(per_batch(lambda: one), "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:long,end:long>>, kept string")
     return got if with_text else got.drop("kept")
-
-

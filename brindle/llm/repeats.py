@@ -16,8 +16,11 @@ So a window can be repeated only if its trigger string is, and
 3. only different phrases around an equal trigger string are opened: their
    windows, the dictionary's suffixes, are compared one by one.
 
-Nothing is all-pairs, and map tasks combine equal entries of a block of texts
-before the shuffle, so a key has at most one entry a block, however hot it is.
+Nothing is all-pairs. Map tasks combine equal entries before the shuffle, ``COMBINE``
+at a time (some 20 MB of text), so a phrase or window has at most one entry in so
+many, however hot it is. A trigger with ``HOT`` different phrases among them is hot:
+its phrases are known to be opened, so they are spread over all tasks at once and
+only a mark goes to the trigger's own.
 """
 
 from __future__ import annotations
@@ -35,13 +38,18 @@ from brindle.llm.common import as_bytes, release, stage
 
 #: A row of the shuffles. tag: kind + 4 * many + 8 * copy. An ENTRY of a phrase has in ``place`` the trigger's
 #: place << 16 | first start's distance before it << 8 | last start's; an ENTRY of a window has its start there.
-#: A DECIDED run of starts has its first in ``phrase`` and its last in ``place``.
-ENTRY, DECIDED, WINDOW = 0, 1, 2
+#: A DECIDED run of starts has its first in ``phrase`` and its last in ``place``. SPREAD is an entry of a hot trigger,
+#: which it has in ``phrase``, MARK tells of one. Where windows meet, WINDOW is added to the kind of their rows.
+ENTRY, DECIDED, SPREAD, MARK = 0, 1, 2, 3
+WINDOW = 2
 ROWS = "trigger long, phrase long, doc long, place long, tag int"
 _POSITION_BITS = 28
 LEAST_ID = -(1 << 63)
 #: Entries of a trigger that may be decided in one task.
 SMALL = 4096
+#: Entries that a map task combines at once, and different phrases of a trigger among them that make it hot.
+COMBINE = 1 << 19
+HOT = 64
 
 
 @dataclass(frozen=True)
@@ -49,7 +57,7 @@ class Setting:
     length: int  # units of a window
     k: int  # units of a trigger string
     keep_first: bool  # the first of equal windows stays (else all go)
-    block: int = 2 << 20  # units of a block
+    block: int = 1 << 19  # units that are hashed at once
 
     @property
     def reach(self) -> int:
@@ -58,11 +66,13 @@ class Setting:
 
 @dataclass(frozen=True)
 class Coder:
-    """How texts become units, and how a piece of one travels."""
+    """How texts become units, how a piece of one travels, and how the strings of its units are told apart where
+    phrases meet: by ``ranks`` (of the string of so many units at each unit of pieces laid end to end), else by hashes."""
 
     units: Callable[[bytes], np.ndarray]
     pack: Callable[[bytes, np.ndarray, int, int], bytes]
     unpack: Callable[[bytes], np.ndarray]
+    ranks: Callable[[bytes, int], np.ndarray] | None = None
 
 
 def _mixer(seed: int) -> tuple[np.uint64, np.uint64]:
@@ -162,12 +172,17 @@ def _batch(trigger, phrase, doc, place, tag) -> pa.RecordBatch:
 
 
 def _decided(doc, copy, first, last) -> pa.RecordBatch:
-    key = finish(doc.view(np.uint64) * np.uint64(31) + first.astype(np.uint64)).view(np.int64)  # spreads them
-    return _batch(key, first, doc, last, DECIDED + 8 * copy)
+    return _batch(_spread_key(doc, first), first, doc, last, DECIDED + 8 * copy)
 
 
-def _combine(key1, key2, doc, copy, place, first, last, keep_first: bool) -> list[pa.RecordBatch]:
-    """The entries of a block, equal ones combined: what is decided here, and one entry of each pair of keys."""
+def _spread_key(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A key of its own for each row that has nothing to meet."""
+    return finish(doc.view(np.uint64) * np.uint64(31) + place.astype(np.uint64)).view(np.int64)
+
+
+def _combine(key1, key2, doc, copy, place, first, last, keep_first: bool, hot: int | None = None) -> list[pa.RecordBatch]:
+    """The entries at hand, equal ones combined: what is decided here, and one entry of each pair of keys;
+    with ``hot`` those whose first key has so many second ones are spread."""
     order = np.lexsort((place, copy, doc, key2, key1))
     new = np.ones(len(order), bool)
     new[1:] = (key1[order][1:] != key1[order][:-1]) | (key2[order][1:] != key2[order][:-1])
@@ -175,7 +190,19 @@ def _combine(key1, key2, doc, copy, place, first, last, keep_first: bool) -> lis
     size = np.diff(np.concatenate([at, [len(order)]]))
     head, many = order[at], size > 1
     rest = np.sort(order[~new] if keep_first else order[np.repeat(many, size)])
-    out = [_batch(key1[head], key2[head], doc[head], place[head], ENTRY + 4 * many + 8 * copy[head])]
+    out = []
+    if hot:
+        begin = np.flatnonzero(np.concatenate([[True], key1[head][1:] != key1[head][:-1]]))
+        wide = np.diff(np.concatenate([begin, [len(head)]]))
+        if (wide >= hot).any():
+            found = key1[head[begin[wide >= hot]]]
+            none = np.zeros(len(found), np.int64)
+            out.append(_batch(found, none, none, none, none + MARK))
+            spread = np.repeat(wide >= hot, wide)
+            h = head[spread]
+            out.append(_batch(_spread_key(doc[h], place[h]), key1[h], doc[h], place[h], SPREAD + 8 * copy[h]))
+            head, many = head[~spread], many[~spread]
+    out.append(_batch(key1[head], key2[head], doc[head], place[head], ENTRY + 4 * many + 8 * copy[head]))
     if len(rest):
         out.append(_decided(*_runs(doc[rest], copy[rest], first[rest], last[rest])))
     return out
@@ -238,6 +265,8 @@ def entries(rows: DataFrame, units_of, setting: Setting, wanted=None) -> DataFra
     """The dictionary's entries of all texts; ``wanted`` tells of trigger hashes which may be repeated."""
 
     def run(batches):
+        held: list[tuple] = []
+        size = 0
         for docs, copies, offsets, lengths, units in in_blocks(_texts(batches), units_of, setting):
             who, trigger, phrase, at, lo, hi, _ = phrases(units, lengths, setting)
             if wanted is not None and len(who):
@@ -245,7 +274,16 @@ def entries(rows: DataFrame, units_of, setting: Setting, wanted=None) -> DataFra
                 who, trigger, phrase, at, lo, hi = (x[keep] for x in (who, trigger, phrase, at, lo, hi))
             if len(who):
                 at = at + offsets[who]
-                yield from _combine(trigger, phrase, docs[who], copies[who], at << 16 | lo << 8 | hi, at - lo, at - hi, setting.keep_first)
+                held.append((trigger, phrase, docs[who], copies[who], at << 16 | lo << 8 | hi, at - lo, at - hi))
+                size += len(who)
+            if size >= COMBINE:
+                yield from flush(held)
+                held, size = [], 0
+        if held:
+            yield from flush(held)
+
+    def flush(held):
+        return _combine(*(np.concatenate(x) for x in zip(*held, strict=True)), setting.keep_first, HOT)
 
     return rows.select("doc", "copy", "text").mapInArrow(run, ROWS)
 
@@ -258,8 +296,8 @@ def resolve(rows: DataFrame, setting: Setting) -> DataFrame:
     by_phrase = Window.partitionBy("trigger", "phrase")
     ranked = by_phrase.orderBy("doc", copy, "place")
     only = F.when(entry, F.col("phrase"))
-    got = rows.withColumn("several", F.coalesce(F.min(only).over(by_trigger) != F.max(only).over(by_trigger), F.lit(False)))
-    got = got.withColumn("n", F.when(entry, F.row_number().over(ranked))).withColumn("large", F.count(F.lit(1)).over(by_trigger) > SMALL)
+    got = rows.withColumn("marked", F.max(kind == MARK).over(by_trigger)).withColumn("several", F.col("marked") | F.coalesce(F.min(only).over(by_trigger) != F.max(only).over(by_trigger), F.lit(False)))
+    got = got.withColumn("n", F.when(entry, F.row_number().over(ranked))).withColumn("large", F.col("marked") | (F.count(F.lit(1)).over(by_trigger) > SMALL))
     if setting.keep_first:
         decided, open_ = entry & (F.col("n") > 1), entry & (F.col("n") == 1) & F.col("several")
     else:
@@ -267,10 +305,12 @@ def resolve(rows: DataFrame, setting: Setting) -> DataFrame:
         got = got.withColumn("more", (F.count(F.lit(1)).over(by_phrase) > 1) | (many > 0))
         decided, open_ = entry & F.col("more"), entry & (F.col("n") == 1) & F.col("several")
     at, lo, hi = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(F.lit(255)), F.col("place").bitwiseAND(F.lit(255))
-    run = F.when(~entry, F.struct(F.lit(DECIDED).alias("kind"), F.lit(0).cast("long").alias("trigger"), F.col("phrase").alias("x"), F.col("place").alias("y"))).when(
+    run = F.when(kind == DECIDED, F.struct(F.lit(DECIDED).alias("kind"), F.lit(0).cast("long").alias("trigger"), F.col("phrase").alias("x"), F.col("place").alias("y"))).when(
         decided, F.struct(F.lit(DECIDED).alias("kind"), F.lit(0).cast("long").alias("trigger"), (at - lo).alias("x"), (at - hi).alias("y"))
     )
-    opened = F.when(open_, F.struct(F.lit(ENTRY).alias("kind"), F.col("trigger"), F.col("large").cast("long").alias("x"), F.col("place").alias("y")))
+    opened = F.when(open_, F.struct(F.lit(ENTRY).alias("kind"), F.col("trigger"), F.col("large").cast("long").alias("x"), F.col("place").alias("y"))).when(
+        kind == SPREAD, F.struct(F.lit(ENTRY).alias("kind"), F.col("phrase").alias("trigger"), F.lit(1).cast("long").alias("x"), F.col("place").alias("y"))
+    )
     return got.select("doc", copy.alias("copy"), F.inline(F.array_compact(F.array(run, opened))))
 
 
@@ -303,7 +343,7 @@ def windows(rows: DataFrame, opened: DataFrame, coder: Coder, setting: Setting)
                     which, start, h = _opened(p, hashes, (p >> 16) - (p >> 8 & 255), setting)
                     held.append((t[which], h, np.full(len(which), doc), np.full(len(which), copy), start))
                     size += len(which)
-                    if size >= setting.block // 2:
+                    if size >= COMBINE:
                         yield from flush(held)
                         held, size = [], 0
             for a in range(0, len(out), 1 << 14):
@@ -314,7 +354,7 @@ def windows(rows: DataFrame, opened: DataFrame, coder: Coder, setting: Setting)
     def flush(held):
         t, h, doc, copy, start = (np.concatenate(x) for x in zip(*held, strict=True))
         for batch in _combine(t, h, doc, copy, start, start, start, setting.keep_first):
-            t, h, doc, place, tag = (c.to_numpy() for c in batch.columns)
+            t, h, doc, place, tag = (c.to_numpy() for c in batch.columns)  # of kinds ENTRY and DECIDED
             key = finish(t.view(np.uint64) * _MIX1 + h.view(np.uint64)).view(np.int64)
             yield _spread_batch(key, t, h, doc, place, tag + WINDOW, [None] * len(t))
 
@@ -335,15 +375,22 @@ def windows(rows: DataFrame, opened: DataFrame, coder: Coder, setting: Setting)
     return sent.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "doc long, copy int, x long, y long")
 
 
-def _opened(place: np.ndarray, hashes: Prefix, first: np.ndarray, setting: Setting) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Phrase number, start in the text and hash of each window of phrases; ``first``: where their first starts lie in the units."""
+def _starts(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Phrase number, number within the phrase and start in the text of each window of phrases."""
     at, lo, hi = place >> 16, place >> 8 & 255, place & 255
     count = lo - hi + 1
     which = np.repeat(np.arange(len(place)), count)
     step = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+    return which, step, (at - lo)[which] + step
+
+
+def _opened(place: np.ndarray, hashes: Prefix, first: np.ndarray, setting: Setting) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Phrase number, start in the text and hash of each window of phrases; ``first``: where their first starts lie in the units."""
+    which, step, start = _starts(place)
     # within a trigger, offset and hash of the window decide
-    h = finish(hashes.of(first[which] + step, setting.length) * _MIX2 + (lo[which] - step).astype(np.uint64)).view(np.int64)
-    return which, (at - lo)[which] + step, h
+    offset = (place >> 8 & 255)[which] - step
+    h = finish(hashes.of(first[which] + step, setting.length) * _MIX2 + offset.astype(np.uint64)).view(np.int64)
+    return which, start, h
 
 
 def _spread_batch(key, trigger, phrase, doc, place, tag, content) -> pa.RecordBatch:
@@ -361,9 +408,15 @@ def _meet(batch: pa.RecordBatch, coder: Coder, setting: Setting):
     parts = [(trigger[window], phrase[window], doc[window], copy[window], place[window], (tag[window] & 4) > 0)]
     small = np.flatnonzero(kind == ENTRY)
     if len(small):
-        contents = [coder.unpack(x.as_py()) for x in batch.column(6).take(pa.array(small))]
-        lengths = np.array([len(c) for c in contents])
-        which, start, h = _opened(place[small], Prefix(np.concatenate(contents), _BASE1), np.cumsum(lengths) - lengths, setting)
+        contents = batch.column(6).take(pa.array(small)).to_pylist()
+        pieces = contents if coder.ranks else [coder.unpack(x) for x in contents]
+        lengths = np.array([len(c) for c in pieces])
+        begins = np.cumsum(lengths) - lengths
+        if coder.ranks:  # equal strings have equal triggers, so ranks among the pieces of several triggers do
+            which, step, start = _starts(place[small])
+            h = coder.ranks(b"".join(pieces), setting.length)[begins[which] + step]
+        else:
+            which, start, h = _opened(place[small], Prefix(np.concatenate(pieces), _BASE1), begins, setting)
         parts.append((trigger[small][which], h, doc[small][which], copy[small][which], start, np.zeros(len(which), bool)))
     t, h, d, c, s, many = (np.concatenate(x) for x in zip(*parts, strict=True))
     if len(t):
@@ -404,5 +457,3 @@ def covered(starts: list[tuple[int, int]], length: int, total: int) -> list[tupl
         else:
             out.append([a, b])
     return [(a, b) for a, b in out]
-
-

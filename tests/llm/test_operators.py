@@ -158,9 +158,10 @@ def brute_words(texts, length=35):
     return out
 
 
-@pytest.mark.parametrize("small", [4096, 1])
-def test_substrings(spark, monkeypatch, small):
+@pytest.mark.parametrize("small,hot", [(4096, 64), (1, 64), (4096, 2), (1, 2)])
+def test_substrings(spark, monkeypatch, small, hot):
     monkeypatch.setattr(repeats, "SMALL", small)
+    monkeypatch.setattr(repeats, "HOT", hot)
     texts = corpus()
     got = rows(substrings.dedup(frame(spark, texts)))
     assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == brute_bytes(texts)
@@ -173,14 +174,38 @@ def test_substrings_in_small_blocks(spark, block):
     assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == brute_bytes(texts)
 
 
-@pytest.mark.parametrize("small", [4096, 1])
-def test_passages(spark, monkeypatch, small):
+@pytest.mark.parametrize("small,hot", [(4096, 64), (1, 64), (4096, 2), (1, 2)])
+def test_passages(spark, monkeypatch, small, hot):
     monkeypatch.setattr(repeats, "SMALL", small)
+    monkeypatch.setattr(repeats, "HOT", hot)
     texts = corpus()
     got = rows(passages.dedup(frame(spark, texts)))
     assert [(r.n_words, r.n_removed, r.kept_sha256) for r in got] == brute_words(texts)
 
 
+@pytest.mark.parametrize("combine", [1 << 19, 40])
+def test_a_hot_passage_in_different_surroundings(spark, monkeypatch, combine):
+    """Markers of some tasks meet entries of others; what is equal across both is found."""
+    monkeypatch.setattr(repeats, "HOT", 3)
+    monkeypatch.setattr(repeats, "COMBINE", combine)
+    hot, near = prose(14), prose(30)
+    texts = [prose(int(n)) + " " + hot + " " + (near if i % 4 == 0 else prose(int(n))) for i, n in enumerate(rng.integers(3, 40, 60))] + [hot + " " + near]
+    d = frame(spark, texts)
+    for parts in (1, 5):
+        got = rows(substrings.dedup(d.repartition(parts)))
+        assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == brute_bytes(texts)
+        got = rows(passages.dedup(d.repartition(parts)))
+        assert [(r.n_words, r.n_removed, r.kept_sha256) for r in got] == brute_words(texts)
+
+
+def test_suffix_ranks():
+    for depth in (3, 8, 20, 100):
+        b = bytes(rng.integers(97, 99, 500).astype(np.uint8)) * 2 + b"\0\xff"
+        cut = [b[i : i + depth].ljust(depth, b"\0") for i in range(len(b))]
+        place = {x: i for i, x in enumerate(sorted(set(cut)))}
+        assert substrings.suffix_ranks(b, depth).tolist() == [place[x] for x in cut]
+
+
 def test_repeated_and_null_ids(spark):
     t = prose(100)
     got = rows(substrings.dedup(frame(spark, [t, t, t], [None, 7, 7]), with_text=True))
