@@ -1,9 +1,10 @@
 """Soft-membership mixing of domains to target weights, in Spark functions only.
 
-A naive Bayes classifier is fitted on the labelled table: its domains are clean
+A softmax regression is fitted on the labelled table: its domains are clean
 (quality 1, not toxic), poor (quality 0, not toxic) and toxic; its evidence are
-chosen words and binned statistics of the text. It gives each document posteriors
-p over the domains and its number of words n.
+binned statistics of the text and words that poor or toxic texts have more often
+than all texts (those of clean text tell languages, not domains). It gives each
+document posteriors p over the domains and its number of words n.
 
 Rates r >= 0 solve least squares: the expected totals S_d = sum r n p_d shall
 equal T_d = weight_d * volume * sum n. A gradient step preconditioned by n depends
@@ -14,7 +15,8 @@ cells; the rate is a fold over the residuals so far (accelerated projected
 gradient), and only the totals come to the driver.
 
 The classifier is fitted on at most ``max_labelled`` labelled documents, chosen
-by hash of the id; everything else covers all rows.
+by hash of the id: Spark counts words and patterns of evidence, the driver solves
+for the weights. Everything else covers all rows.
 
 Defined results: null and empty texts have no words, n = 0 and the posteriors of
 an empty text; labels null in either column are ignored, of several labels of an
@@ -28,6 +30,7 @@ from __future__ import annotations
 import json
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +45,7 @@ GRID = 100
 MAX_LABELLED = 12_000
 MAX_WORDS = 96
 MIN_ERRORS = 5.0
+RIDGE = 1.0
 STEPS = 60
 TOLERANCE = 1e-3
 _SPLIT = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -82,13 +86,13 @@ def _domains(labels: DataFrame) -> DataFrame:
 
 
 class Classifier:
-    """Naive Bayes: log priors, and log odds of each piece of evidence, by domain."""
+    """Softmax regression: a bias a domain, and a weight a domain for each piece of evidence."""
 
-    def __init__(self, vocabulary: list[str], priors: list[float], table: dict[str, list[float]], absent: list[float]):
-        self.vocabulary, self.priors, self.table, self.absent = vocabulary, priors, table, absent
+    def __init__(self, vocabulary: list[str], biases: list[float], table: dict[str, list[float]]):
+        self.vocabulary, self.biases, self.table = vocabulary, biases, table
 
     def posteriors(self, evidence: Column) -> Column:
-        start = F.array(*[F.lit(p + a) for p, a in zip(self.priors, self.absent, strict=True)])
+        start = F.array(*map(F.lit, self.biases))
         if self.table:
             known = F.create_map(*[x for k, v in sorted(self.table.items()) for x in (F.lit(k), F.array(*map(F.lit, v)))])
             none = F.array(*[F.lit(0.0)] * len(DOMAINS))
@@ -109,26 +113,56 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MA
     sizes = {r[0]: r[1] for r in sample.groupBy("domain").count().collect()}
     total = sum(sizes.values())
     if not total:
-        return Classifier([], [math.log(1 / k)] * k, {}, [0.0] * k)
+        return Classifier([], [math.log(1 / k)] * k, {})
     share = [(sizes.get(d, 0) + 0.5) / (total + 0.5 * k) for d in range(k)]
     counts = [F.count_if(F.col("domain") == d).alias(f"c{d}") for d in range(k)]
     words = sample.select("domain", F.explode(F.array_distinct(_words(text_of()))).alias("word")).groupBy("word").agg(*counts)
-    # words whose share in one domain differs from that in all by MIN_ERRORS standard errors or more
+    # words whose share in a domain but the first exceeds that in all by MIN_ERRORS standard errors or more
     every = sum((F.col(f"c{d}") for d in range(1, k)), F.col("c0")) / F.lit(float(total))
-    gain = F.greatest(*[F.pow(F.col(f"c{d}") / F.lit(float(max(sizes.get(d, 0), 1))) - every, F.lit(2)) / (every + F.lit(0.5 / total)) * F.lit(float(sizes.get(d, 0))) for d in range(k)])
+    excess = lambda d: F.greatest(F.col(f"c{d}") / F.lit(float(max(sizes.get(d, 0), 1))) - every, F.lit(0.0))
+    gain = F.greatest(*[F.pow(excess(d), F.lit(2)) / (every + F.lit(0.5 / total)) * F.lit(float(sizes.get(d, 0))) for d in range(1, k)])
     top = words.where(" + ".join(f"c{d}" for d in range(k)) + " >= 3").select("word", gain.alias("gain")).where(F.col("gain") >= MIN_ERRORS**2).orderBy(F.desc("gain"), "word").limit(max_words)
     vocabulary = sorted(r[0] for r in top.collect())
-    seen = _rows(sample, vocabulary, "domain").select("domain", F.explode("evidence").alias("e")).groupBy("e").agg(*counts).collect()
-    table: dict[str, list[float]] = {}
-    absent = [0.0] * k
-    for r in seen:
-        rate = [(r[f"c{d}"] + 0.5) / (sizes.get(d, 0) + 1.0) for d in range(k)]
-        if r["e"].startswith("\x00"):
-            table[r["e"]] = [math.log(x) for x in rate]
-        else:  # a word that is absent speaks as well
-            table[r["e"]] = [math.log(x) - math.log1p(-x) for x in rate]
-            absent = [a + math.log1p(-x) for a, x in zip(absent, rate, strict=True)]
-    return Classifier(vocabulary, [math.log(x) for x in share], table, absent)
+    # at most max_labelled rows
+    seen = sorted((list(r[0]), list(r[1:])) for r in _rows(sample, vocabulary, "domain").groupBy("evidence").agg(*counts).collect())
+    names = sorted({e for evidence, _ in seen for e in evidence})
+    place = {e: i for i, e in enumerate(names)}
+    x = np.zeros((len(seen), len(names)))
+    for row, (evidence, _) in zip(x, seen, strict=True):
+        row[[place[e] for e in evidence]] = 1.0
+    weights, biases = softmax_regression(x, np.array([c for _, c in seen], float), np.log(share))
+    return Classifier(vocabulary, biases.tolist(), {e: w.tolist() for e, w in zip(names, weights, strict=True)})
+
+
+def softmax_regression(x: np.ndarray, counts: np.ndarray, start: np.ndarray, ridge: float = RIDGE, steps: int = 40) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (columns of x by classes) and biases from rows that stand for ``counts`` of each class, by Newton's
+    method; the ridge draws weights to 0 and biases to ``start``, so one class alone has an answer as well."""
+    a = np.hstack([x, np.ones((len(x), 1))])
+    m, k = a.shape[1], counts.shape[1] - 1  # the first class is the reference
+    n, centre = counts.sum(1), np.zeros((m, k))
+    centre[-1] = start[1:] - start[0]
+    theta = centre.copy()
+
+    def loss(theta):
+        z = np.hstack([np.zeros((len(a), 1)), a @ theta])
+        top = z.max(1, keepdims=True)
+        log_p = z - top - np.log(np.exp(z - top).sum(1, keepdims=True))
+        return -(counts * log_p).sum() + ridge / 2 * ((theta - centre) ** 2).sum(), np.exp(log_p[:, 1:])
+
+    now, p = loss(theta)
+    for _ in range(steps):
+        slope = a.T @ (n[:, None] * p - counts[:, 1:]) + ridge * (theta - centre)
+        bend = np.block([[(a * (n * p[:, i] * ((i == j) - p[:, j]))[:, None]).T @ a for j in range(k)] for i in range(k)]) + ridge * np.eye(m * k)
+        step = np.linalg.solve(bend, slope.T.ravel()).reshape(k, m).T
+        size = 1.0
+        while (after := loss(theta - size * step))[0] > now and size > 1e-6:
+            size /= 2
+        theta = theta - size * step
+        now, p = after
+        if np.abs(size * step).max() < 1e-6:
+            break
+    whole = np.hstack([np.zeros((m, 1)), theta])
+    return whole[:-1], whole[-1] + start[0]
 
 
 def memberships(docs: DataFrame, classifier: Classifier) -> DataFrame:
