@@ -49,11 +49,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/brindle-{uuid.uuid4().hex[:12]}/{name}"
 
 
-def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+def stage(spark: SparkSession, df: DataFrame, name: str, *, narrow: bool = False) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts the lineage
-    and survives lost executors. The schema is given, so an empty table works."""
+    and survives lost executors. The schema is given, so an empty table works.
+
+    A ``narrow`` table (a few numbers a row, cheap to make) has no more files than twice
+    the cluster's cores, however many partitions the shuffle before it has."""
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    (df.coalesce(2 * spark.sparkContext.defaultParallelism) if narrow else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

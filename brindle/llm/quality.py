@@ -8,9 +8,11 @@ The decision list is learned by sequential covering on labelled statistics: a
 rule grows condition by condition (``feature >= cut`` or ``feature < cut``) on
 two thirds of the rows by information gain, is pruned on the last third, and is
 kept if it is precise enough there; the rows it covers go, and the next one
-grows. The rows stay in Spark: each step is one grouped count over binned
-features, whose result has at most features x bins x 2 rows. The list becomes one
-ordered Spark conditional expression; what no rule covers is kept.
+grows. At most ``max_labelled`` labelled documents are used, chosen by hash of the
+id; their rows stay in Spark: each step is one grouped count over binned features,
+whose result has at most features x bins x 2 rows. The list becomes one ordered
+Spark conditional expression; what no rule covers is kept. Statistics of the corpus
+are computed where they are returned, in one pass without a shuffle.
 
 Defined results: null, empty and wordless texts have zeros and fail the base;
 null labels and labels without a document are ignored, of several labels of an
@@ -38,6 +40,7 @@ MAX_RULES = 8
 MAX_CONDITIONS = 3
 MIN_PRECISION = 0.8
 MIN_COVER = 8
+MAX_LABELLED = 40_000
 
 
 def repeated_words(words: Column, size: int = WINDOW) -> Column:
@@ -138,13 +141,19 @@ def _all(conditions) -> Column:
     return out
 
 
-def learn(stats: DataFrame, labels: DataFrame) -> Rules:
+def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Rules:
     """A decision list for label quality = 0 among the texts that pass the base."""
-    spark = stats.sparkSession
+    spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = stats.join(known, "doc_id").where(~base_failed())
+    # at most max_labelled ids: a proven bound for the broadcasts
+    chosen = stage(spark, known.orderBy(F.xxhash64("doc_id", F.lit("quality")), "doc_id").limit(max_labelled), "chosen")
+    ids = chosen.select(F.col("doc_id").alias("chosen_id"))
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), F.col("doc_id") == F.col("chosen_id")).select("doc_id", "text")
+    # written first: else the filter below would be moved before the join, to all documents
+    sample = stage(spark, sample.repartition(spark.sparkContext.defaultParallelism), "sample")
+    rows = statistics(sample).join(F.broadcast(chosen), "doc_id").where(~base_failed())
     rows = rows.select("doc_id", (F.col("quality") == 0).alias("bad"), *[c.alias(k) for k, c in features().items()])
-    rows = stage(spark, rows, "labelled")
+    rows = stage(spark, rows, "labelled", narrow=True)
     shares = [k / BINS for k in range(BINS + 1)]
     quantiles = rows.agg(*[F.percentile_approx(f, shares, 10_000).alias(f) for f in FEATURES]).first()
     if quantiles[0] is None:
@@ -205,6 +214,5 @@ def learn(stats: DataFrame, labels: DataFrame) -> Rules:
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The statistics, base_failed and kept of every document."""
-    stats = stage(docs.sparkSession, statistics(docs), "statistics")
-    rules = learn(stats, labels)
-    return stats.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & rules.kept())
+    rules = learn(docs, labels)
+    return statistics(docs).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & rules.kept())

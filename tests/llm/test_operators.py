@@ -231,8 +231,9 @@ def test_sketch_never_underestimates(spark):
 
 
 def brute_secrets(text):
+    """ASCII: letters in either case are A-Z and a-z, as in Spark's patterns, not the long s or the Kelvin sign."""
     kinds = [("assign", r"""(?:((?i:password|passwd|secret|token|api_?key)))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6), ("access", r"AKIA[A-Z0-9]+", 0, 20), ("hex", r"[0-9a-f]+", 0, 24)]
-    found = [(m.start(), k, m.end(), name) for k, (name, p, g, n) in enumerate(kinds) for m in re.finditer(p, text or "") if len(m.group(g)) >= n]
+    found = [(m.start(), k, m.end(), name) for k, (name, p, g, n) in enumerate(kinds) for m in re.finditer(p, text or "", re.ASCII) if len(m.group(g)) >= n]
     return [(n, a, b) for a, _, b, n in sorted(found)]
 
 
@@ -260,7 +261,7 @@ def test_trigram_queries_hold_for_every_match():
     assert secrets.trigram_query("AKIA[A-Z0-9]+") == frozenset({frozenset({"aki", "kia"})})
     for rule in secrets.RULES:
         for t in SECRETS:
-            for m in re.finditer(rule.pattern, t or ""):
+            for m in re.finditer(rule.pattern, t or "", re.ASCII):
                 low = m.group().lower()
                 assert any(all(g in low for g in c) for c in secrets.trigram_query(rule.pattern))
 
