@@ -57,11 +57,11 @@ def _evidence(words: Column, text: Column, vocabulary: list[str]) -> Column:
     many = F.when(n < 5, "n0").when(n < 20, "n1").when(n < 100, "n2").when(n < 1000, "n3").otherwise("n4")
     threes = F.when(n < 4, F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))))
     distinct = let(threes, lambda t: F.size(F.array_distinct(t)) / F.size(t).cast("double"))
-    fresh = F.when(distinct < 0.5, "d0").when(distinct < 0.75, "d1").when(distinct < 0.9, "d2").otherwise("d3")
+    fresh = let(distinct, lambda x: F.when(x < 0.5, "d0").when(x < 0.75, "d1").when(x < 0.9, "d2").otherwise("d3"))
     shouted = F.size(F.filter(words, lambda w: (F.length(w) > 1) & (F.upper(w) == w) & (F.lower(w) != w)))
     loud = F.when(shouted / F.greatest(n, F.lit(1)).cast("double") > 0.3, "u1").otherwise("u0")
     density = (F.size(F.split(text, "[#*$%&|<>]", -1)) - 1) / F.greatest(n, F.lit(1)).cast("double")
-    marks = F.when(density < 0.02, "s0").when(density < 0.3, "s1").when(density < 0.8, "s2").otherwise("s3")
+    marks = let(density, lambda x: F.when(x < 0.02, "s0").when(x < 0.3, "s1").when(x < 0.8, "s2").otherwise("s3"))
     stats = F.array(*[F.concat(F.lit("\x00"), x) for x in (many, fresh, loud, marks)])
     if not vocabulary:
         return stats
@@ -109,7 +109,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MA
     # at most max_labelled ids: a proven bound for the broadcast
     chosen = stage(spark, _domains(labels).orderBy(F.xxhash64("doc_id", F.lit("mixing")), "doc_id").limit(max_labelled), "chosen")
     sample = docs.join(F.broadcast(chosen.withColumnRenamed("doc_id", "chosen_id")), F.col("doc_id").cast("long") == F.col("chosen_id")).select("doc_id", "text", "domain")
-    sample = stage(spark, sample, "labelled")
+    sample = stage(spark, sample.repartition(spark.sparkContext.defaultParallelism), "labelled")
     sizes = {r[0]: r[1] for r in sample.groupBy("domain").count().collect()}
     total = sum(sizes.values())
     if not total:

@@ -441,7 +441,7 @@ def decided_runs(rows: DataFrame, coder: Coder, setting: Setting, wanted=None) -
     spark = rows.sparkSession
     both = stage(spark, resolve(entries(rows, coder.units, setting, wanted), setting), "phrases")
     release(spark)
-    met = stage(spark, windows(rows, both.where(F.col("kind") == ENTRY), coder, setting), "windows")
+    met = stage(spark, windows(rows, both.where(F.col("kind") == ENTRY), coder, setting), "windows", narrow=True)
     release(spark)
     every = both.where(F.col("kind") == DECIDED).select("doc", "copy", "x", "y").unionByName(met)
     return every.groupBy("doc", "copy").agg(F.collect_list(F.struct("x", "y")).alias("runs"))

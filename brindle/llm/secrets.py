@@ -215,7 +215,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, index: DataFrame | No
     if len(rules) > 62:
         raise ValueError("at most 62 rules in one scan")
     index = build_index(docs, rules) if index is None else index
-    hits = stage(docs.sparkSession, candidates(index, rules), "candidates")
+    hits = stage(docs.sparkSession, candidates(index, rules), "candidates", narrow=True)
     rows = _keyed(docs).join(hits.withColumnRenamed("doc_id", "candidate_id"), F.col("doc_id").eqNullSafe(F.col("candidate_id")), "left")
     empty = F.array().cast("array<struct<start:int,end:int,kind:string>>")
     parts = []

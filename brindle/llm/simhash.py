@@ -129,7 +129,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Large-star and small-star rounds; every round's edges are written to the
     shared folder, and only two sums come to the driver."""
     spark = edges.sparkSession
-    now = stage(spark, edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges-0")
+    now = stage(spark, edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges-0", narrow=True)
     before = None
     for k in range(1, max_rounds + 1):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -140,7 +140,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # small star: neighbours below u, and u, go to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        now = stage(spark, small, f"edges-{k}")
+        now = stage(spark, small, f"edges-{k}", narrow=True)
         state = tuple(now.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31))), F.lit(0))).first())
         if state == before:
             break
@@ -154,7 +154,7 @@ def classes(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (hexadecimal), component_id."""
     spark = docs.sparkSession
     prints = stage(spark, fingerprints(docs), "fingerprints")
-    nodes = stage(spark, prints.groupBy("bits").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "nodes")
+    nodes = stage(spark, prints.groupBy("bits").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "nodes", narrow=True)
     root = components(links(nodes.select("bits")))
     tied = nodes.join(root.withColumnRenamed("node", "bits"), "bits").select("bits", "root", "first")
     # the root stands for its component; its own first document counts as well
@@ -167,7 +167,7 @@ def classes(docs: DataFrame) -> DataFrame:
         .where("n > 1 or component_id is not null")
         .select("bits", F.coalesce("component_id", "first").alias("component_id"))
     )
-    shared = stage(spark, shared, "shared")
+    shared = stage(spark, shared, "shared", narrow=True)
     text = F.lpad(F.lower(F.hex("bits")), 16, "0")
     return prints.join(shared, "bits", "left").select("doc_id", text.alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
@@ -175,5 +175,5 @@ def classes(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents, all columns, whose id is the least of their class; rows that share that id all stay."""
     dropped = classes(docs).where("component_id < doc_id").select("doc_id").distinct()
-    dropped = stage(docs.sparkSession, dropped, "dropped")
+    dropped = stage(docs.sparkSession, dropped, "dropped", narrow=True)
     return docs.join(dropped, "doc_id", "left_anti")

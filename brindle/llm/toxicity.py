@@ -124,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_positive=MAX_POSITIVE, max_un
         found = [sorted(set((t or b"").translate(FOLD).split())) for t in as_bytes(batch.column(2))]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.binary()))], ["doc_id", "positive", "words"])
 
-    bags = stage(spark, sample.mapInArrow(per_batch(lambda: words), "doc_id long, positive boolean, words array<binary>"), "bags")
+    bags = stage(spark, sample.mapInArrow(per_batch(lambda: words), "doc_id long, positive boolean, words array<binary>").repartition(spark.sparkContext.defaultParallelism), "bags")
     n_p, n_u = bags.agg(F.coalesce(F.sum(F.col("positive").cast("long")), F.lit(0)), F.coalesce(F.sum((~F.col("positive")).cast("long")), F.lit(0))).first()
     if not n_p or not n_u:
         return Model(prior)
