@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,9 +44,18 @@ def is_sortable(kind: T.DataType) -> bool:
     return not isinstance(kind, (T.MapType, T.VariantType)) if hasattr(T, "VariantType") else not isinstance(kind, T.MapType)
 
 
+def row_vector(spark: SparkSession, values: Sequence[float], out: str = "features") -> DataFrame:
+    """One row with the values as array<double>."""
+    return spark.createDataFrame([([float(v) for v in values],)], f"`{out}` array<double>")
+
+
+def column_types(df: DataFrame) -> dict[str, str]:
+    return {f.name: f.dataType.simpleString() for f in df.schema}
+
+
 def allow_missing(df: DataFrame) -> DataFrame:
     """The same rows under a schema in which every column may be null."""
-    return df.sparkSession.createDataFrame(df.rdd, T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])) if any(not f.nullable for f in df.schema) else df
+    return df.select(*[F.when(F.col(f"`{f.name}`").isNotNull(), F.col(f"`{f.name}`")).alias(f.name) if not f.nullable else F.col(f"`{f.name}`") for f in df.schema])
 
 
 def disallow_missing(df: DataFrame) -> DataFrame:

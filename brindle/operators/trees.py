@@ -15,6 +15,7 @@ hash of row and node.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
@@ -308,6 +309,7 @@ def build(rows: DataFrame, columns: list[str], plan: Plan, trees: list[int], loc
 
 def _grow_local(part: DataFrame, columns: list[str], plan: Plan, depths: dict, local_rows: int) -> DataFrame:
     import pickle
+import zlib
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_id", kind="stable")
@@ -477,7 +479,7 @@ class DecisionTreeEstimator(Model):
             out = []
             for x in zip(*cols, strict=True):
                 x = [None if v is None or v is pd.NA or v != v else v for v in x]
-                rng = np.random.default_rng([seed, abs(hash(str(x))) & 0x7FFFFFFF]) if any(v is None for v in x) else None
+                rng = np.random.default_rng([seed, zlib.crc32(repr(x).encode())]) if any(v is None for v in x) else None
                 out.append(combine([walk(t, x, ignore, rng.random if rng else lambda: 0.5)[0] for t in trees], weights))
             return pd.Series(out, dtype=object if out and isinstance(out[0], dict) else float)
 

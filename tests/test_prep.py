@@ -129,3 +129,11 @@ def test_delimited(spark, tmp_path):
     p.write_text("1.0 ?  'a b'\n2.5 3 c\n")
     got = read_delimited(spark, str(p), ["x", "y", "z"], kinds=["double", "double", "string"], repeated_blanks=True).orderBy("_id").collect()
     assert (got[0]["x"], got[0]["y"], got[0]["z"]) == (1.0, None, "'a b'") and got[1]["y"] == 3.0
+
+
+def test_shapes_and_types(spark):
+    df = spark.range(2).select("id", F.lit("a").alias("k"))
+    assert not any(f.nullable for f in df.schema) and all(f.nullable for f in prep.allow_missing(df).schema)
+    assert prep.allow_missing(df).collect() == df.collect() and prep.column_types(df) == {"id": "bigint", "k": "string"}
+    row = prep.row_vector(spark, [1, 2.5])
+    assert row.first()["features"] == [1.0, 2.5] and [r["x"] for r in prep.as_column(row, "features").collect()] == [1.0, 2.5]
