@@ -309,7 +309,6 @@ def build(rows: DataFrame, columns: list[str], plan: Plan, trees: list[int], loc
 
 def _grow_local(part: DataFrame, columns: list[str], plan: Plan, depths: dict, local_rows: int) -> DataFrame:
     import pickle
-import zlib
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_id", kind="stable")
