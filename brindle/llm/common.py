@@ -7,6 +7,8 @@ a folder of our own is made and registered.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import time
@@ -94,14 +96,23 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
+def give_back() -> None:
+    """Return freed memory to the machine: workers are used again, and what a task freed would stay with them."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def per_batch(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> Callable:
     """A mapInArrow function; ``make`` runs once a task and returns what maps a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = make()
+        one, batch = make(), None
         for batch in batches:
             if batch.num_rows:
                 yield one(batch)
+        del batch
+        give_back()
 
     return run
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import as_bytes, release, stage
+from brindle.llm.common import as_bytes, give_back, release, stage
 
 
 #: A row of the shuffles. tag: kind + 4 * many + 8 * copy. An ENTRY of a phrase has in ``place`` the trigger's
@@ -281,6 +281,8 @@ def entries(rows: DataFrame, units_of, setting: Setting, wanted=None) -> DataFra
                 held, size = [], 0
         if held:
             yield from flush(held)
+        held = []
+        give_back()
 
     def flush(held):
         return _combine(*(np.concatenate(x) for x in zip(*held, strict=True)), setting.keep_first, HOT)

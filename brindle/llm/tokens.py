@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import fresh_path, shared_fs, write_whole
+from brindle.llm.common import fresh_path, give_back, shared_fs, write_whole
 
 CHUNK = 8
 BLOCK = 512
@@ -203,7 +203,7 @@ class Encoder:
         if len(self.chunks) < CACHE_PIECES:
             self.chunks.update(fresh)
         out = b"".join(got)
-        if len(self.pieces) > 2 * CACHE_PIECES:
+        if len(self.pieces) > CACHE_PIECES:
             self.pieces.clear()
         return out
 
@@ -264,6 +264,7 @@ def write(docs: DataFrame, out: str, tokenizer: str, *, parts: int | None = None
                 held += len(got) // 4
         if doc_ids:
             yield roll()
+        give_back()
 
     files = sorted(dealt.mapInArrow(run, FILES).collect(), key=lambda r: (r.part, r.seq))
     out_rows, start = [], 0
