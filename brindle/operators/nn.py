@@ -576,7 +576,7 @@ class NeuralNetworkEstimator(Model):
 
     def _run(self, rows: DataFrame, nn: Network, first: int, seed: int):
         h, o = self.hpar, self.opt
-        settings = dict(epochs=h.epochs, batch_size=h.batch_size, shuffle=h.shuffle, opt=h.opt_alg, seed=seed, callback=o.cb, onfail="stop" if o.onfail == "retry" else o.onfail, fail_epoch=o.fail_epoch, fail_epoch_ref=o.fail_epoch_ref, fail_threshold=o.fail_threshold, first_epoch=first)
+        settings = dict(epochs=h.epochs, batch_size=h.batch_size, shuffle=h.shuffle, opt=h.opt_alg, seed=seed, callback=o.cb, onfail=("continue" if first > 1 else "stop") if o.onfail == "retry" else o.onfail, fail_epoch=o.fail_epoch, fail_epoch_ref=o.fail_epoch_ref, fail_threshold=o.fail_threshold, first_epoch=first)
 
         def arrays(batches):
             pdf = pd.concat(list(batches)).sort_values("_id", kind="stable")
