@@ -103,10 +103,28 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def per_batch(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> Callable:
-    """A mapInArrow function; ``make`` runs once a task and returns what maps a batch."""
+_kept: dict[str, object] = {}
+
+
+def keep(key: str, build: Callable[[], object]) -> object:
+    """What a worker keeps from task to task (an automaton, an encoder): one at a time, as workers serve one operator after another."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = build()
+    return _kept[key]
+
+
+def let_go() -> None:
+    """A function of the module, so that it is the worker's own memory that is cleared, not a copy sent with a task."""
+    _kept.clear()
+
+
+def per_batch(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], *, keeps: bool = False) -> Callable:
+    """A mapInArrow function; ``make`` runs once a task and returns what maps a batch. Unless it uses ``keep``, what the worker kept goes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            let_go()
         one, batch = make(), None
         for batch in batches:
             if batch.num_rows:

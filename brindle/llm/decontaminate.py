@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import FOLD, as_bytes, per_batch
+from brindle.llm.common import FOLD, as_bytes, keep, per_batch
 
 WINDOW = 13
 MAX_BLOCK_BYTES = 16 << 20
@@ -38,7 +38,6 @@ SCHEMA = (
     "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, "
     "items array<string>, spans array<struct<start:int,end:int>>"
 )
-_automata: dict[str, tuple] = {}
 
 
 def windows(text: bytes | None, size: int = WINDOW) -> list[list[bytes]]:
@@ -67,13 +66,6 @@ def build(items: list[tuple[str, bytes | None]], size: int = WINDOW):
     return auto
 
 
-def _cached(key: str, items, size: int):
-    if key not in _automata:
-        _automata.clear()  # one at a time: a worker serves one query after another
-        _automata[key] = (build(items, size),)
-    return _automata[key][0]
-
-
 def find(auto, text: bytes | None) -> tuple[int, list[tuple[int, int, str]]]:
     """Number of words, and (first word, words, item) of each occurrence."""
     words = (text or b"").translate(FOLD).split()
@@ -134,7 +126,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
         last, first, key = k == len(blocks) - 1, k == 0, f"{id(block)}-{block._jbroadcast.id() if block._jbroadcast else k}-{window}"
 
         def make(block=block, last=last, first=first, key=key):
-            auto = _cached(key, block.value, window)
+            auto = keep(key, lambda: build(block.value, window))
 
             def one(batch: pa.RecordBatch) -> pa.RecordBatch:
                 ids, texts = batch.column(0).to_pylist(), as_bytes(batch.column(1))
@@ -148,7 +140,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
 
             return one
 
-        rows = rows.mapInArrow(per_batch(make), SCHEMA if last else f"doc_id long, text string, hits {_HITS}")
+        rows = rows.mapInArrow(per_batch(make, keeps=True), SCHEMA if last else f"doc_id long, text string, hits {_HITS}")
     return rows
 
 
@@ -173,7 +165,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     block = blocks[0]
 
     def make():
-        auto = _cached(key, block.value, window)
+        auto = keep(key, lambda: build(block.value, window))
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             keep = []
@@ -185,4 +177,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 
         return one
 
-    return docs.mapInArrow(per_batch(make), docs.schema)
+    return docs.mapInArrow(per_batch(make, keeps=True), docs.schema)

@@ -207,7 +207,8 @@ def fit_rates(members: DataFrame, weights: dict[str, float] | None = None, volum
         t_next = (1 + math.sqrt(1 + 4 * t * t)) / 2
         momentum = (t - 1) / t_next
         at = cells.withColumn("w", _walk(F.col("q"), done, eta))
-        point = F.col("w.r") + F.lit(momentum) * (F.col("w.r") - F.col("w.b"))
+        # a number of its own in each step would be compiled anew; an array is passed to the same code
+        point = F.get(F.transform(F.from_json(F.lit(json.dumps([momentum])), "array<double>"), lambda m: F.col("w.r") + m * (F.col("w.r") - F.col("w.b"))), F.lit(0))
         got = at.select(*[F.sum(F.col(f"s{d}") * x).alias(f"{n}{d}") for n, x in (("t", point), ("u", F.col("w.r"))) for d in range(k)]).first()
         if max(abs(got[k + d] / total - goal[d]) for d in range(k)) <= TOLERANCE * volume:
             break

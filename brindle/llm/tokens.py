@@ -36,14 +36,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import fresh_path, give_back, shared_fs, write_whole
+from brindle.llm.common import fresh_path, give_back, keep, shared_fs, write_whole
 
 CHUNK = 8
 BLOCK = 512
 MAGIC = b"BDAC\x01"
 FILE_TOKENS = 4 << 20
 END_ID = 0
-CACHE_PIECES = 400_000
+CACHE_PIECES = 300_000
 FILES = "file string, first_doc long, n_docs long, n_tokens long, part int, seq int"
 ROWS = "doc_id long, local_start long, n_tokens long, ids_crc32 long, file string"
 
@@ -212,13 +212,8 @@ class Encoder:
         return array("I", [t.id for t in self.whole.model.tokenize(mapped)]).tobytes()
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return keep(f"encoder {path}", lambda: Encoder(path))
 
 
 # ----------------------------------------------------------------- files
