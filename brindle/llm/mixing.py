@@ -227,16 +227,19 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
 
 
 def thin(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, volume: float = VOLUME) -> DataFrame:
-    """The documents, all columns, that their rate takes: rates of one and more keep a document once, lower
-    ones keep it with that probability, drawn by a hash of id and text. The rate is computed in the row itself."""
+    """The documents, all columns, as often as their rate takes them: the rate's whole part in copies, and one more
+    with the probability of its fraction, drawn by a hash of id and text, so the expected tokens of each domain are
+    those that its rate gives. The rate is computed in the row itself."""
     classifier = fit_classifier(docs, labels)
     members = stage(docs.sparkSession, memberships(docs, classifier), "members")
     rates = fit_rates(members, weights, volume)
     columns = docs.columns
     p = _rows_posteriors(docs, classifier)
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit("mixing")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    kept = p.join(F.broadcast(rates.withColumnRenamed("cell", "brindle_cell").withColumnRenamed("rate", "brindle_rate")), "brindle_cell", "left").where(F.coalesce("brindle_rate", F.lit(1.0)) > draw)
-    return kept.select(*[F.col(f"`{c}`") for c in columns])
+    rated = p.join(F.broadcast(rates.withColumnRenamed("cell", "brindle_cell").withColumnRenamed("rate", "brindle_rate")), "brindle_cell", "left")
+    rate = F.coalesce("brindle_rate", F.lit(1.0))
+    copies = (F.floor(rate) + (rate - F.floor(rate) > draw).cast("long")).cast("int")
+    return rated.select(*[F.col(f"`{c}`") for c in columns], F.explode(F.array_repeat(F.lit(0), copies)).alias("brindle_copy")).drop("brindle_copy")
 
 
 def _rows_posteriors(docs: DataFrame, classifier: Classifier) -> DataFrame:

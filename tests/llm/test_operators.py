@@ -469,6 +469,20 @@ def test_mixing(spark):
     assert len(clean & kept) > 0.99 * len(clean) and len(kept - clean - {600, 601}) < 0.5 * (600 - len(clean))
 
 
+@pytest.mark.parametrize("unclean", [2, 10])
+def test_thinned_tokens_meet_the_weights(spark, unclean):
+    kind = [0 if i % unclean else 1 + i // unclean % 2 for i in range(8000)]
+    texts = [prose(40) + ("", " #" * 40, " idiot moron")[k] for k in kind]
+    labels = spark.createDataFrame([(i, int(k != 1), int(k == 2)) for i, k in enumerate(kind)], "doc_id long, quality int, toxic int")
+    d = frame(spark, texts)
+    n = [r.n_tokens for r in rows(mixing.mix(d, labels))]
+    got = np.zeros(3)
+    for r in mixing.thin(d, labels).collect():
+        got[kind[r.doc_id]] += n[r.doc_id]
+    assert got / got.sum() == pytest.approx([0.96, 0.03, 0.01], abs=0.01)
+    assert got.sum() / sum(n) == pytest.approx(mixing.VOLUME, abs=0.05)
+
+
 def test_mixing_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = rows(mixing.mix(frame(spark, ["a b", None]), none))
