@@ -164,8 +164,8 @@ class RankerHyper:
     recursive: bool = False
     nsplits: int = 5
     nrepeats: int = 1
-    sample_min: int = 100
-    sample_max: int = 10_000
+    sample_min: float = 100  # rows, or their share if a float
+    sample_max: float = 1.0
     fit_function: Callable | None = None  # fit(model, df, columns, label)
     predict_function: Callable | None = None  # predict(model, df), adds prediction
     ignore_dims_keyword: str = "ignore_dims"
@@ -177,10 +177,11 @@ class FeatureRanker(Model):
     Hyper = RankerHyper
     supervised = True
 
-    def _sample(self, df: DataFrame, id_col: str) -> DataFrame:
+    def _sample(self, df: DataFrame, id_col: str) -> tuple[DataFrame, int]:
+        """The rows to rank on, all unless the caller gives a limit, and how many they are."""
         n = df.count()
-        want = max(self.hpar.sample_min, min(n, self.hpar.sample_max))
-        return df if want >= n else df.orderBy(shuffled_key(self.opt.seed, id_col), id_col).limit(want)
+        want = max(round(x * n) if isinstance(x, float) else x for x in (self.hpar.sample_min, self.hpar.sample_max))
+        return (df, n) if want >= n else (df.orderBy(shuffled_key(self.opt.seed, id_col), id_col).limit(want), want)
 
     def _model(self) -> Model:
         from brindle.operators.trees import RandomForestEstimator
@@ -238,7 +239,8 @@ class FeatureRanker(Model):
         return sobol_index(rows.select(dense("_full").alias("a"), dense("prediction").alias("b")), "a", "b", is_pmf=True)
 
     def _fit(self, df: DataFrame, columns: Sequence[str], label: str, id_col: str = "_id") -> None:
-        columns, rows = list(columns), self._sample(df, id_col).persist()
+        columns, (rows, n_rows) = list(columns), self._sample(df, id_col)
+        rows = rows.persist()
         metric = "sobol" if self.hpar.metric == "sobol" else "loss"
         ranked: list[str] = []
         left, scores = list(columns), {}
@@ -258,7 +260,7 @@ class FeatureRanker(Model):
                 break
         rows.unpersist()
         self.par = {"rank": ranked}
-        self._info = {"fitted_records": df.count(), "xndims": len(columns), "loss_all_cols": self._base, "loss_by_col": {c: s["loss"] for c, s in scores.items()}, "sobol_by_col": {c: s["sobol"] for c, s in scores.items()}}
+        self._info = {"fitted_records": n_rows, "xndims": len(columns), "loss_all_cols": self._base, "loss_by_col": {c: s["loss"] for c, s in scores.items()}, "sobol_by_col": {c: s["sobol"] for c, s in scores.items()}}
 
     def predict(self, df: DataFrame | None = None):
         return self.par["rank"] if self.fitted else super().predict()

@@ -121,6 +121,19 @@ def test_search(spark):
     assert m.hpar.max_depth == 8 and tune.l2loss_by_cv(m, df, ["a", "b"], "y", nsplits=2) < 5
 
 
+def test_ranker_takes_all_rows(spark):
+    df = spark.range(10_500).select(F.col("id").alias("_id"), (F.col("id") % 7).cast("double").alias("a"), F.sin("id").alias("b")).withColumn("y", F.col("a") * 3 + F.col("b") * 0.1)
+    for options, n in (({}, 10_500), ({"sample_max": 0.5}, 5250), ({"sample_max": 2000}, 2000)):
+        seen = []
+
+        def fit(m, d, x, y, seen=seen):
+            seen.append(d.count())
+            m.fit(d, x, y)
+
+        r = tune.FeatureRanker(model=trees.DecisionTreeEstimator(max_depth=3), nsplits=2, fit_function=fit, **options).fit(df, ["b", "a"], "y")
+        assert sum(seen) == n == r.info()["fitted_records"] and r.predict() == ["b", "a"]
+
+
 def test_stream(spark, tmp_path):
     src = str(tmp_path / "in")
     df = in_memory(spark, [[1.0], [2.0], [9.0], [10.0]], ["a"])
