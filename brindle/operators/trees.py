@@ -290,7 +290,9 @@ def build(rows: DataFrame, columns: list[str], plan: Plan, trees: list[int], loc
             here.true, here.false = places[r["_tree"], 2 * r["_node"]], places[r["_tree"], 2 * r["_node"] + 1]
         stopped = large - split
         if stopped:  # large leaves
-            local.append(frontier.where(~(F.col("_node").isin([k for _, k in split]) if split else F.lit(False))))
+            # by tree and node, as another tree may split the node of the same number
+            done = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(k).cast("long").alias("n")) for t, k in sorted(stopped)])
+            local.append(frontier.where(F.array_contains(done, F.struct(F.col("_tree").alias("t"), F.col("_node").alias("n")))))
         if side is None:
             break
         now = frontier.withColumn("_node", side).where("_node is not null").checkpoint() if len(split) and max(k for _, k in split).bit_length() % 6 == 0 else frontier.withColumn("_node", side).where("_node is not null")

@@ -88,6 +88,13 @@ def test_forest(spark):
     assert m.info()["oob_error"] < 0.05 and m.predict().where("prediction['x'] > 0.5 and y = 'x' or prediction['z'] > 0.5 and y = 'z'").count() == 120
 
 
+def test_forest_stops_where_another_tree_splits(spark):
+    df = spark.range(400).select(F.col("id").alias("_id"), (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 3).cast("double").alias("b")).withColumn("y", F.when(F.col("a") > 3, "x").otherwise("z"))
+    m = trees.RandomForestEstimator(n_trees=6, max_depth=3, max_features=1, local_rows=20).fit(df, ["a", "b"], "y")
+    assert all(leaf.prediction is not None for tree in m.par["trees"] for leaf in trees.leaves(tree))
+    assert m.predict().where("abs(aggregate(map_values(prediction), 0D, (a, b) -> a + b) - 1) < 1e-9").count() == 400
+
+
 def test_regressors(spark):
     df = in_memory(spark, [[1.1, 0.1, 2.1], [1.2, 0.2, 2.2], [10.5, 1.0, 20.0], [10.6, 1.1, 20.1]], ["a", "b", "y"])
     for kind in (gmm.GaussianMixtureRegressor, gmm.GaussianMixtureRegressor2):
