@@ -12,10 +12,11 @@ and writes files of at most ``file_tokens`` ids (a longer document has a file of
 its own), each under a temporary name that is then renamed. The manifest of
 files comes to the driver (a row a file); start positions are its running sums.
 
-Encoding equals the tokenizer's on the whole text. Byte-level pieces are found by
-the tokenizer's own split pattern and pieces seen before are looked up; texts
-with any character whose class the pattern library could see otherwise, or with
-a special token's string, are encoded whole. ``tests/llm`` compares both.
+Encoding equals the tokenizer's on the whole text. For a plain byte-level BPE,
+pieces are found by its own split pattern, and each different one of a slice of
+texts is encoded once; texts with any character whose class the pattern library
+could see otherwise, or with a special token's string, and all texts of other
+kinds of tokenizers are encoded whole. ``tests/llm`` compares both.
 
 Defined results: a null text is empty (only the end id); rows of one doc_id stay
 adjacent, ordered by text; null ids come first; an empty table writes nothing
@@ -24,14 +25,15 @@ and gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +45,10 @@ BLOCK = 512
 MAGIC = b"BDAC\x01"
 FILE_TOKENS = 4 << 20
 END_ID = 0
-CACHE_PIECES = 400_000
+#: What remembered pieces may take, beside those of one slice, with ENTRY_BYTES for the objects of each; and the characters encoded at once.
+CACHE_BYTES = 24 << 20
+ENTRY_BYTES = 200
+SLICE = 4 << 20
 FILES = "file string, first_doc long, n_docs long, n_tokens long, part int, seq int"
 ROWS = "doc_id long, local_start long, n_tokens long, ids_crc32 long, file string"
 
@@ -144,6 +149,7 @@ PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+
 #: A single space between other characters is always a border of pieces. These make a text odd;
 #: white space of other kinds does too, as it is not among the plain characters.
 _ODD = ("  ", " \n", "\n ", "\n\n")
+_BORDER = "\n\n"
 
 
 #: Characters outside those whose class is the same for Python's patterns and the tokenizer's.
@@ -157,8 +163,19 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _is_byte_level(said: dict) -> bool:
+    """Whether a tokenizer's description is that of a BPE over bytes which are split by ``PIECES`` and not changed before."""
+    before, model = said.get("pre_tokenizer") or {}, said.get("model") or {}
+    plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    rare = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
+    return bool(said.get("normalizer") is None and not said.get("truncation") and not said.get("padding") and plain and model.get("type") == "BPE" and not any(model.get(k) for k in rare))
+
+
 class Encoder:
-    """ids of whole texts, with a bounded memory of pieces."""
+    """ids of whole texts. A slice of texts is cut at its spaces, equal words are encoded once for the slice, and the
+    their pieces are remembered from slice to slice until they take ``CACHE_BYTES``.
+
+    Only a plain byte-level BPE is taken apart so; texts of any other tokenizer are encoded whole."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -166,50 +183,92 @@ class Encoder:
 
         self.whole = Tokenizer.from_file(path)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.chunks: dict[str, bytes] = {}  # what stands between two spaces, with the space before it
-        self.pieces: dict[str, bytes] = {}
+        self.apart = _is_byte_level(json.loads(self.whole.to_str()))
         self.letters = _byte_letters()
-
-    def _direct(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if text[0] in " \n" or text[-1] in " \n" or any(s in text for s in _ODD) or any(s in text for s in self.special):
-            return self._direct(text)
-        words = text.split(" ")
-        got = list(map(self.chunks.get, words))
-        got[0] = None
-        missing = [i for i, x in enumerate(got) if x is None]
-        new: dict[str, list[str]] = {}
-        fresh_words = {words[i] for i in missing}
-        if _NOT_PLAIN.search("".join(fresh_words)):
-            return self._direct(text)
-        for word in fresh_words:
-            new[word] = PIECES.findall(" " + word)
-        first = PIECES.findall(words[0])
-        known = self.pieces
-        for parts in (first, *new.values()):
-            for p in parts:
-                if p not in known:
-                    known[p] = self._piece(p)
-        got[0] = b"".join([known[p] for p in first])
-        fresh = {w: known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts]) for w, parts in new.items()}
-        for i in missing:
-            if i:
-                got[i] = fresh[words[i]]
-        if len(self.chunks) < CACHE_PIECES:
-            self.chunks.update(fresh)
-        out = b"".join(got)
-        if len(self.pieces) > CACHE_PIECES:
-            self.pieces.clear()
-        return out
-
-    def _piece(self, piece: str) -> bytes:
-        mapped = piece.encode("utf-8").decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.whole.model.tokenize(mapped)]).tobytes()
+        self._forget()
+
+    def _direct(self, text: str) -> np.ndarray:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _odd(self, text: str) -> bool:
+        return text[:1] in ("", " ", "\n") or text[-1] in " \n" or any(s in text for s in _ODD) or any(s in text for s in self.special)
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, end to end, and how many each has."""
+        odd = np.array([not self.apart or self._odd(t) for t in texts], bool)
+        plain = [t for t, o in zip(texts, odd.tolist(), strict=True) if not o]
+        flat, lengths, bad = self._plain(plain)
+        if not odd.any() and not bad.any():
+            return flat, lengths
+        odd[np.flatnonzero(~odd)[bad]] = True
+        known = iter(np.split(flat, np.cumsum(lengths)[:-1]) if len(lengths) else ())
+        out = []
+        for text, o in zip(texts, odd.tolist(), strict=True):
+            out.append(self._direct(text) if o else next(known))
+        return np.concatenate(out), np.array([len(x) for x in out], np.int64)
+
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids and lengths of the texts without odd white space; and which of them (left out of both) have other odd characters."""
+        if not texts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, bool)
+        cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        begins = cut.offsets.to_numpy()[:-1]
+        coded = pc.dictionary_encode(cut.flatten())
+        words, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().copy()
+        # a text's first word has no space before it
+        firsts: dict[int, int] = {}
+        at[begins] = [firsts.setdefault(w, len(words) + len(firsts)) for w in at[begins].tolist()]
+        bad = np.zeros(len(texts), bool)
+        if _NOT_PLAIN.search("".join(words)):
+            odd = [bool(_NOT_PLAIN.search(w)) for w in words]
+            bad = np.logical_or.reduceat(np.array(odd + [odd[w] for w in firsts])[at], begins)
+            words = ["x" if o else w for w, o in zip(words, odd, strict=True)]
+        # two line ends between words: never inside one of these texts, and a piece of their own before a space
+        pieces = PIECES.findall(" " + f"{_BORDER} ".join(words) + _BORDER)
+        for w in firsts:
+            pieces += [*PIECES.findall(words[w]), _BORDER]
+        which = self._numbers(pieces)
+        size, place = self.size[which], self.place[which]
+        ids = self.ids[np.repeat(place - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+        ends = np.cumsum(size)[which == 0]
+        size = np.diff(ends, prepend=0)  # of words
+        place = ends - size
+        many = size[at]
+        lengths = np.add.reduceat(many, begins)
+        if bad.any():
+            good = np.repeat(~bad, np.diff(np.append(begins, len(at))))
+            at, many, lengths = at[good], many[good], lengths[~bad]
+        return ids[np.repeat(place[at] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))], lengths, bad
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {_BORDER: 0}
+        self.ids, self.size, self.place = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.held = 0
+
+    def _numbers(self, pieces: list[str]) -> np.ndarray:
+        """The number of each piece among those that are remembered; new ones are encoded."""
+        if self.held > CACHE_BYTES:
+            self._forget()
+        number = self.number
+        new = [p for p in dict.fromkeys(pieces) if p not in number]
+        if new:
+            tokenize = self.whole.model.tokenize
+            ids: list[int] = []
+            size: list[int] = []
+            for mapped in "\0".join(new).encode("utf-8").decode("latin-1").translate(self.letters).split(self.letters[0]):
+                got = tokenize(mapped)
+                size.append(len(got))
+                ids += [t.id for t in got]
+            sizes = np.array(size, np.int64)
+            self.place = np.concatenate([self.place, np.cumsum(sizes) - sizes + len(self.ids)])
+            self.size = np.concatenate([self.size, sizes])
+            self.ids = np.concatenate([self.ids, np.array(ids, np.uint32)])
+            number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
+            self.held += ENTRY_BYTES * len(new) + sum(map(len, new)) + 4 * len(ids)
+        return np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
 
 
 def encoder(path: str) -> Encoder:
@@ -219,6 +278,23 @@ def encoder(path: str) -> Encoder:
 # ----------------------------------------------------------------- files
 
 
+def _slices(batches):
+    """ids and texts of some ``SLICE`` characters of documents at once."""
+    ids: list[int | None] = []
+    texts: list[str] = []
+    size = 0
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            ids.append(doc_id)
+            texts.append(text.as_py() or "")
+            size += len(texts[-1])
+            if size >= SLICE:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
+
+
 def write(docs: DataFrame, out: str, tokenizer: str, *, parts: int | None = None, file_tokens: int = FILE_TOKENS) -> list[tuple]:
     """Write the files below ``out``; returns their manifest in order: (file, n_docs, n_tokens, start)."""
     spark = docs.sparkSession
@@ -231,15 +307,14 @@ def write(docs: DataFrame, out: str, tokenizer: str, *, parts: int | None = None
     def run(batches):
         fs, path = shared_fs(out)
         enc, part, seq = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        ids: list[bytes] = []
+        ids: list[np.ndarray] = []
         doc_ids: list[int | None] = []
         lengths: list[int] = []
-        end = np.array([END_ID], np.uint32).tobytes()
 
         def roll():
             nonlocal seq, ids, doc_ids, lengths
             name = f"part-{part:06d}-{seq:05d}.dac"
-            whole = np.frombuffer(b"".join(ids), np.uint32)
+            whole = np.concatenate(ids)
             write_whole(fs, f"{path}/{name}", file_bytes(doc_ids, lengths, whole))
             row = [name, doc_ids[0], len(doc_ids), len(whole), part, seq]
             seq, ids, doc_ids, lengths = seq + 1, [], [], []
@@ -247,16 +322,17 @@ def write(docs: DataFrame, out: str, tokenizer: str, *, parts: int | None = None
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], ["file", "first_doc", "n_docs", "n_tokens", "part", "seq"])
 
         held = 0
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                got = enc.encode(text.as_py() or "") + end
-                if held and held + len(got) // 4 > file_tokens:
+        for some_ids, texts in _slices(batches):
+            flat, sizes = enc.encode_all(texts)
+            flat, at = np.insert(flat, np.cumsum(sizes), END_ID), 0
+            for doc_id, n in zip(some_ids, (sizes + 1).tolist(), strict=True):
+                if held and held + n > file_tokens:
                     yield roll()
                     held = 0
-                ids.append(got)
+                ids.append(flat[at : at + n])
                 doc_ids.append(doc_id)
-                lengths.append(len(got) // 4)
-                held += len(got) // 4
+                lengths.append(n)
+                held, at = held + n, at + n
         if doc_ids:
             yield roll()
         give_back()
