@@ -1,8 +1,8 @@
 """Shared pieces of the training-data operators.
 
 Files that several machines must see (staged tables, written archives) go to
-the folder of ``spark.checkpoint.dir``; only where that is unset, as in tests,
-a folder of our own is made and registered.
+the folder of ``spark.checkpoint.dir``; only where that is unset in local mode, as
+in tests, a folder of our own is made and registered.
 """
 
 from __future__ import annotations
@@ -42,6 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="brindle-"))
         base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return base.rstrip("/")
@@ -62,6 +64,15 @@ def stage(spark: SparkSession, df: DataFrame, name: str, *, narrow: bool = False
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    out = f"brindle_{name}"
+    while out in taken:
+        out += "_"
+    return out
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of queries whose results are staged: its
     cleaner waits for the driver's garbage collection, which a quiet driver seldom runs."""

@@ -6,14 +6,17 @@ the shingles' XXH64. Two documents link if their fingerprints differ in at most
 ``max_bits`` = 2 bits.
 
 Count filtering: two differing bits touch at most two of the eight bytes, so
-linked fingerprints share at least six positional bytes. Tallying shared bytes a
-pair over single-byte postings would meet almost every pair; the same filter is
-evaluated in postings keyed by the positions and values of six bytes (28 choices
-of positions): two fingerprints meet in a posting exactly if their tally reaches
-the minimum. A posting holds distinct fingerprints only, which agree in 48 bits,
-so it has at most 65,536 whatever the data. Within one, pairs are not listed:
-members within one bit of a common value are within two bits of each other, so
-each such star is tied to its least member. These edges are verified by popcount.
+linked fingerprints share at least six positional bytes (``LEAST_SHARED``). A posting
+of one byte would hold 1/256 of all fingerprints, so the index is compounded: eight
+bytes are four blocks of two, of which two blocks at least are whole in any linked
+pair, and a posting is keyed by the positions and values of two blocks (six
+choices). For each pair that meets in a posting the shared positional bytes are
+tallied, pairs with fewer than six are dropped, and the others verified by popcount.
+A posting with over ``PAIRED`` fingerprints (near copies by the thousand) is not
+paired: it is split by two of its other four bytes (six choices), where every pair
+has a tally of six at least and a posting holds 65,536 fingerprints at most. Members
+there within one bit of a common value are within two bits of each other, so each
+such star is tied to its least member.
 
 Classes are connected components of the distinct fingerprints, found by
 alternating large-star and small-star rounds, each written to the shared folder.
@@ -21,7 +24,8 @@ alternating large-star and small-star rounds, each written to the shared folder.
 Defined results: null, empty and wordless texts have fingerprint zero, linked
 like any other; one or two words are one shingle; a null doc_id keeps its
 fingerprint and gets the class of the others with it, or null alone; repeated
-rows repeat; extra columns are ignored.
+rows repeat; extra columns are ignored. ``keep_one`` keeps one row of a class: of
+the least id (null ids last), and of several rows with it the one read first.
 """
 
 from __future__ import annotations
@@ -30,15 +34,24 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from brindle.llm.common import LOWER, as_bytes, per_batch, stage
+from brindle.llm.common import LOWER, as_bytes, per_batch, stage, unused
 
 SEED = 42
 SHINGLE = 3
 MAX_BITS = 2
+#: A differing bit touches one byte.
+LEAST_SHARED = 8 - MAX_BITS
+#: Fingerprints of a posting whose pairs are tallied one by one.
+PAIRED = 64
+#: Rows into which a component's row is copied where all its members look it up.
+SALT = 16
 _WHITE = bytes(32 if b in (32, 9, 10, 11, 12, 13) else b for b in LOWER)
+#: Positions of each two of the four blocks of two bytes.
+_FOURS = [(2 * a, 2 * a + 1, 2 * b, 2 * b + 1) for a, b in combinations(range(4), 2)]
 _ONE_BIT = np.array([0, *(1 << k for k in range(16))], np.uint32)
 
 
@@ -61,28 +74,68 @@ def fingerprint(text: bytes | None) -> int:
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fingerprint (the 64 bits as a signed long)."""
+def _with_bits(docs: DataFrame, name: str) -> DataFrame:
+    """All columns of docs, and the fingerprint (64 bits as a signed long)."""
+    at = docs.columns.index("text")
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bits = np.array([fingerprint(t) for t in as_bytes(batch.column(1))], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits)], ["doc_id", "bits"])
+        bits = np.array([fingerprint(t) for t in as_bytes(batch.column(at))], np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(bits)], [*batch.schema.names, name])
+
+    return docs.mapInArrow(per_batch(lambda: one), StructType([*docs.schema.fields, StructField(name, LongType())]))
+
 
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id and fingerprint (the 64 bits as a signed long)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(per_batch(lambda: one), "doc_id long, bits long")
+    return _with_bits(rows, "bits").select("doc_id", "bits")
+
+
+def _byte(k: int) -> Column:
+    return F.shiftrightunsigned("bits", 8 * k).bitwiseAND(F.lit(255))
+
+
+def _joined(positions) -> Column:
+    out = F.lit(0).cast("long")
+    for n, k in enumerate(positions):
+        out = out.bitwiseOR(F.shiftleft(_byte(k), 8 * n))
+    return out
 
 
 def _postings(bits: DataFrame) -> DataFrame:
-    """(key, rest) for each choice of six byte positions: the key has the choice and the six bytes, rest the two others."""
-    byte = [F.shiftrightunsigned("bits", 8 * k).bitwiseAND(F.lit(255)) for k in range(8)]
-    rows = []
-    for n, left in enumerate(combinations(range(8), 2)):
-        key, shift = F.shiftleft(F.lit(n).cast("long"), 48), 0
-        for k in range(8):
-            if k not in left:
-                key, shift = key.bitwiseOR(F.shiftleft(byte[k], shift)), shift + 8
-        rows.append(F.struct(key.alias("key"), byte[left[0]].bitwiseOR(F.shiftleft(byte[left[1]], 8)).cast("int").alias("rest")))
-    return bits.select(F.inline(F.array(*rows)))
+    """(key, bits) for each choice of two blocks: the key has the choice and the four bytes."""
+    return bits.select("bits", F.inline(F.array(*[F.struct(_joined(c).bitwiseOR(F.lit(n << 32)).alias("key")) for n, c in enumerate(_FOURS)])))
+
+
+def _refined(large: DataFrame) -> DataFrame:
+    """(key, more, rest) of members of large postings: ``more`` has the choice of two other positions and their bytes, ``rest`` the two last bytes."""
+    out = None
+    for n, four in enumerate(_FOURS):
+        other = [k for k in range(8) if k not in four]
+        rows = F.array(*[
+            F.struct(_joined(two).bitwiseOR(F.lit(m << 16)).cast("int").alias("more"), _joined([k for k in other if k not in two]).cast("int").alias("rest"))
+            for m, two in enumerate(combinations(other, 2))
+        ])
+        out = F.when(F.shiftright("key", 32) == n, rows) if out is None else out.when(F.shiftright("key", 32) == n, rows)
+    return large.select("key", F.inline(out))
+
+
+def pairs(bits: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs within postings that are laid end to end."""
+    begins = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    before = np.arange(len(bits)) - begins
+    second = np.repeat(np.arange(len(bits)), before)
+    first = begins[second] + np.arange(len(second)) - np.repeat(np.cumsum(before) - before, before)
+    return bits[first], bits[second]
+
+
+def verified(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those pairs whose tally of shared positional bytes reaches the least, and whose bits do as well."""
+    differ = a ^ b
+    tally = (differ.view(np.uint8).reshape(-1, 8) == 0).sum(1)
+    good = np.flatnonzero(tally >= LEAST_SHARED)
+    good = good[np.bitwise_count(differ[good]) <= MAX_BITS]
+    return a[good], b[good]
 
 
 def stars(rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,28 +152,31 @@ def stars(rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def links(bits: DataFrame) -> DataFrame:
     """Edges a, b between distinct fingerprints, enough to connect all that link."""
-    groups = _postings(bits).groupBy("key").agg(F.collect_list("rest").alias("rest"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "rest")
-    places = list(combinations(range(8), 2))
-
-    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out_a, out_b = [], []
-        for key, rest in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            left, six = places[key >> 48], key & (1 << 48) - 1
-            base, shift = 0, 0
-            for k in range(8):
-                if k not in left:
-                    base, shift = base | (six >> shift & 255) << (8 * k), shift + 8
-            a, b = stars(rest.values.to_numpy())
-            if not len(a):
-                continue
-            whole = [np.uint64(base) | (x.astype(np.uint64) & np.uint64(255)) << np.uint64(8 * left[0]) | (x.astype(np.uint64) >> np.uint64(8)) << np.uint64(8 * left[1]) for x in (a, b)]
-            good = np.bitwise_count(whole[0] ^ whole[1]) <= MAX_BITS
-            out_a.append(whole[0][good].view(np.int64))
-            out_b.append(whole[1][good].view(np.int64))
-        cat = lambda xs: pa.array(np.concatenate(xs) if xs else np.zeros(0, np.int64), pa.int64())
-        return pa.RecordBatch.from_arrays([cat(out_a), cat(out_b)], ["a", "b"])
-
-    return groups.mapInArrow(per_batch(lambda: one), "a long, b long").distinct()
+    postings = _postings(bits)
+    sizes = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = stage(bits.sparkSession, postings.join(sizes, "key"), "postings", narrow=True)
+    small = met.where(F.col("n") <= PAIRED).groupBy("key").agg(F.collect_list("bits").alias("bits")).select("bits")
+    large = _refined(met.where(F.col("n") > PAIRED)).groupBy("key", "more").agg(F.collect_set("rest").alias("rest")).where(F.size("rest") > 1)
+    edges = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def tally(batch: pa.RecordBatch) -> pa.RecordBatch:
+        a, b = verified(*pairs(batch.column(0).flatten().to_numpy().view(np.uint64), np.diff(batch.column(0).offsets.to_numpy())))
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], schema=edges)
+
+    def tie(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = [(np.zeros(0, np.uint64),) * 2]
+        for key, more, rest in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            four = _FOURS[key >> 32]
+            other = [k for k in range(8) if k not in four]
+            two = list(combinations(other, 2))[more >> 16]
+            base = sum((key >> 8 * n & 255) << 8 * k for n, k in enumerate(four)) | sum((more >> 8 * n & 255) << 8 * k for n, k in enumerate(two))
+            low, high = (k for k in other if k not in two)
+            ends = stars(rest.values.to_numpy())
+            out.append(verified(*(np.uint64(base) | (x.astype(np.uint64) & np.uint64(255)) << np.uint64(8 * low) | (x.astype(np.uint64) >> np.uint64(8)) << np.uint64(8 * high) for x in ends)))
+        a, b = (np.concatenate(x).view(np.int64) for x in zip(*out, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=edges)
+
+    return small.mapInArrow(per_batch(lambda: tally), "a long, b long").unionByName(large.mapInArrow(per_batch(lambda: tie), "a long, b long")).distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -150,30 +206,39 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (hexadecimal), component_id."""
-    spark = docs.sparkSession
-    prints = stage(spark, fingerprints(docs), "fingerprints")
-    nodes = stage(spark, prints.groupBy("bits").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "nodes", narrow=True)
+def _shared(prints: DataFrame, row: Column) -> DataFrame:
+    """bits and ``first`` (the least doc_id of the class and the row it is from) of fingerprints that several rows have or that link."""
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), row.alias("row"))
+    nodes = stage(prints.sparkSession, prints.groupBy("bits").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n")), "nodes", narrow=True)
     root = components(links(nodes.select("bits")))
     tied = nodes.join(root.withColumnRenamed("node", "bits"), "bits").select("bits", "root", "first")
-    # the root stands for its component; its own first document counts as well
+    # the root stands for its component; its own first row counts as well
     least = tied.select("root", "first").unionByName(nodes.join(root.select("root").distinct(), nodes.bits == F.col("root"), "left_semi").select(F.col("bits").alias("root"), "first"))
-    least = least.groupBy("root").agg(F.min("first").alias("component_id"))
-    member = tied.select("bits", "root").unionByName(least.select(F.col("root").alias("bits"), "root"))
-    # only fingerprints of several documents or of a larger component need a join; the others are their own class
-    shared = (
-        nodes.join(member.join(least, "root").select("bits", "component_id"), "bits", "left")
-        .where("n > 1 or component_id is not null")
-        .select("bits", F.coalesce("component_id", "first").alias("component_id"))
-    )
-    shared = stage(spark, shared, "shared", narrow=True)
+    least = least.groupBy("root").agg(F.min("first").alias("class"))
+    # a large component's members look up one row: it is copied, and they are spread
+    copies = least.withColumn("salt", F.explode(F.array(*[F.lit(k).cast("long") for k in range(SALT)])))
+    member = tied.select("bits", "root", F.pmod(F.xxhash64("bits"), F.lit(SALT)).alias("salt")).join(copies, ["root", "salt"]).select("bits", "class")
+    member = member.unionByName(least.select(F.col("root").alias("bits"), "class"))
+    # only fingerprints of several rows or of a larger component need a join; the others are their own class
+    shared = nodes.join(member, "bits", "left").where("n > 1 or class is not null").select("bits", F.coalesce("class", "first").alias("first"))
+    return stage(prints.sparkSession, shared, "shared", narrow=True)
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (hexadecimal), component_id."""
+    prints = stage(docs.sparkSession, fingerprints(docs), "fingerprints")
+    shared = _shared(prints, F.lit(0).cast("long")).select("bits", F.col("first.doc_id").alias("component_id"))
     text = F.lpad(F.lower(F.hex("bits")), 16, "0")
     return prints.join(shared, "bits", "left").select("doc_id", text.alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, whose id is the least of their class; rows that share that id all stay."""
-    dropped = classes(docs).where("component_id < doc_id").select("doc_id").distinct()
-    dropped = stage(docs.sparkSession, dropped, "dropped", narrow=True)
-    return docs.join(dropped, "doc_id", "left_anti")
+    """The documents, all columns, of each class the first row (see above). Rows are told apart by a number of their own, not by doc_id."""
+    spark = docs.sparkSession
+    bits, row = unused(docs, "bits"), unused(docs, "row")
+    held = stage(spark, _with_bits(docs, bits).withColumn(row, F.monotonically_increasing_id()), "rows")
+    prints = held.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(bits).alias("bits"), F.col(row).alias("row"))
+    shared = _shared(prints, F.col("row"))
+    dropped = prints.join(shared, "bits").where(F.col("row") != F.col("first.row")).select(F.col("row").alias(row))
+    dropped = stage(spark, dropped, "dropped", narrow=True)
+    return held.join(dropped, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
