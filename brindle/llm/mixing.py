@@ -21,20 +21,22 @@ for the weights. Everything else covers all rows.
 Defined results: null and empty texts have no words, n = 0 and the posteriors of
 an empty text; labels null in either column are ignored, of several labels of an
 id the most toxic and least quality count; without labels posteriors are even;
-a domain that no cell reaches can't meet its target and the fit stays finite;
-an empty table gives no rows; repeated rows repeat; extra columns are ignored.
+a domain that no cell reaches can't meet its target: the fit stays finite, comes as
+near as least squares does, and warns; an empty table gives no rows; repeated rows repeat; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import warnings
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import stage
+from brindle.llm.common import stage, unused
 from brindle.llm.native import let, text_of
 
 DOMAINS = ("clean", "poor", "toxic")
@@ -72,11 +74,10 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, _SPLIT, -1), lambda w: w != "")
 
 
-def _rows(docs: DataFrame, vocabulary: list[str], *more: str) -> DataFrame:
-    """doc_id, n_tokens and evidence."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), *more)
-    got = let(_words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_tokens"), _evidence(w, F.col("text"), vocabulary).alias("evidence")))
-    return rows.select("doc_id", *more, got.alias("got")).select("doc_id", *more, "got.n_tokens", "got.evidence")
+def _read(vocabulary: list[str]) -> Column:
+    """n_tokens and evidence of the column text."""
+    text = text_of()
+    return let(_words(text), lambda w: F.struct(F.size(w).cast("long").alias("n_tokens"), _evidence(w, text, vocabulary).alias("evidence")))
 
 
 def _domains(labels: DataFrame) -> DataFrame:
@@ -106,9 +107,10 @@ class Classifier:
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLED, max_words: int = MAX_WORDS) -> Classifier:
     spark, k = docs.sparkSession, len(DOMAINS)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # at most max_labelled ids: a proven bound for the broadcast
     chosen = stage(spark, _domains(labels).orderBy(F.xxhash64("doc_id", F.lit("mixing")), "doc_id").limit(max_labelled), "chosen")
-    sample = docs.join(F.broadcast(chosen.withColumnRenamed("doc_id", "chosen_id")), F.col("doc_id").cast("long") == F.col("chosen_id")).select("doc_id", "text", "domain")
+    sample = docs.join(F.broadcast(chosen.withColumnRenamed("doc_id", "chosen_id")), F.col("doc_id") == F.col("chosen_id")).select("doc_id", "text", "domain")
     sample = stage(spark, sample.repartition(spark.sparkContext.defaultParallelism), "labelled")
     sizes = {r[0]: r[1] for r in sample.groupBy("domain").count().collect()}
     total = sum(sizes.values())
@@ -124,7 +126,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MA
     top = words.where(" + ".join(f"c{d}" for d in range(k)) + " >= 3").select("word", gain.alias("gain")).where(F.col("gain") >= MIN_ERRORS**2).orderBy(F.desc("gain"), "word").limit(max_words)
     vocabulary = sorted(r[0] for r in top.collect())
     # at most max_labelled rows
-    seen = sorted((list(r[0]), list(r[1:])) for r in _rows(sample, vocabulary, "domain").groupBy("evidence").agg(*counts).collect())
+    seen = sorted((list(r[0]), list(r[1:])) for r in sample.select("domain", _read(vocabulary)["evidence"].alias("evidence")).groupBy("evidence").agg(*counts).collect())
     names = sorted({e for evidence, _ in seen for e in evidence})
     place = {e: i for i, e in enumerate(names)}
     x = np.zeros((len(seen), len(names)))
@@ -167,7 +169,8 @@ def softmax_regression(x: np.ndarray, counts: np.ndarray, start: np.ndarray, rid
 
 def memberships(docs: DataFrame, classifier: Classifier) -> DataFrame:
     """doc_id, n_tokens and the posteriors as array p."""
-    return _rows(docs, classifier.vocabulary).select("doc_id", "n_tokens", classifier.posteriors(F.col("evidence")).alias("p"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _read(classifier.vocabulary).alias("got"))
+    return rows.select("doc_id", "got.n_tokens", classifier.posteriors(F.col("got.evidence")).alias("p"))
 
 
 def _cell(p: Column) -> Column:
@@ -191,36 +194,52 @@ def _walk(q: Column, steps: list[list[float]], eta: float) -> Column:
     return F.aggregate(F.from_json(F.lit(json.dumps(steps)), "array<array<double>>"), start, step)
 
 
-def fit_rates(members: DataFrame, weights: dict[str, float] | None = None, volume: float = VOLUME, steps: int = STEPS) -> DataFrame:
-    """cell and rate: what each cell of posteriors is taken."""
+@dataclass
+class Fit:
+    """The rates by cell, the steps it took, and how far the expected token shares are from their goals (largest, over the volume)."""
+
+    rates: DataFrame
+    steps: int
+    miss: float
+
+    @property
+    def converged(self) -> bool:
+        return self.miss <= TOLERANCE
+
+
+def fit_rates(members: DataFrame, weights: dict[str, float] | None = None, volume: float = VOLUME, steps: int = STEPS) -> Fit:
+    """What each cell of posteriors is taken. Where the goals can't be met the fit ends after ``steps`` and warns how far it is."""
     weights, spark, k = weights or WEIGHTS, members.sparkSession, len(DOMAINS)
     sums = [F.sum(F.col("n_tokens") * F.get("p", F.lit(d))).alias(f"s{d}") for d in range(k)]
     cells = members.groupBy(_cell(F.col("p")).alias("cell")).agg(F.sum("n_tokens").alias("n"), *[F.avg(F.get("p", F.lit(d))).alias(f"a{d}") for d in range(k)], *sums)
     cells = stage(spark, cells.withColumn("q", F.array(*[F.round(f"a{d}", 3) for d in range(k)])).coalesce(1), "cells")  # at most 5,151 rows
     total = cells.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     if not total:
-        return cells.select("cell", F.lit(1.0).alias("rate"))
+        return Fit(cells.select("cell", F.lit(1.0).alias("rate")), 0, 0.0)
     goal = [weights[d] * volume for d in DOMAINS]
     done: list[list[float]] = []
     eta, t = 1.0, 1.0
-    for _ in range(steps):
+    while True:
         t_next = (1 + math.sqrt(1 + 4 * t * t)) / 2
         momentum = (t - 1) / t_next
         at = cells.withColumn("w", _walk(F.col("q"), done, eta))
         # a number of its own in each step would be compiled anew; an array is passed to the same code
         point = F.get(F.transform(F.from_json(F.lit(json.dumps([momentum])), "array<double>"), lambda m: F.col("w.r") + m * (F.col("w.r") - F.col("w.b"))), F.lit(0))
         got = at.select(*[F.sum(F.col(f"s{d}") * x).alias(f"{n}{d}") for n, x in (("t", point), ("u", F.col("w.r"))) for d in range(k)]).first()
-        if max(abs(got[k + d] / total - goal[d]) for d in range(k)) <= TOLERANCE * volume:
+        miss = max(abs(got[k + d] / total - goal[d]) for d in range(k)) / volume
+        if miss <= TOLERANCE or len(done) == steps:
             break
         done.append([momentum, *[got[d] / total - goal[d] for d in range(k)]])
         t = t_next
-    return stage(spark, cells.select("cell", _walk(F.col("q"), done, eta)["r"].alias("rate")), "rates")
+    if miss > TOLERANCE:
+        warnings.warn(f"after {steps} steps the token shares are up to {miss:.4f} from their goals", stacklevel=2)
+    return Fit(stage(spark, cells.select("cell", _walk(F.col("q"), done, eta)["r"].alias("rate")), "rates"), len(done), miss)
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, volume: float = VOLUME) -> DataFrame:
     """doc_id, n_tokens, the posteriors and the rate of every document."""
     members = stage(docs.sparkSession, memberships(docs, fit_classifier(docs, labels)), "members")
-    rates = fit_rates(members, weights, volume)
+    rates = fit_rates(members, weights, volume).rates
     # one row a cell, at most 5,151: a proven bound
     got = members.withColumn("cell", _cell(F.col("p"))).join(F.broadcast(rates), "cell", "left")
     return got.select("doc_id", "n_tokens", *[F.round(F.get("p", F.lit(d)), 6).alias(f"p_{x}") for d, x in enumerate(DOMAINS)], F.round("rate", 6).alias("rate"))
@@ -229,20 +248,16 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
 def thin(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, volume: float = VOLUME) -> DataFrame:
     """The documents, all columns, as often as their rate takes them: the rate's whole part in copies, and one more
     with the probability of its fraction, drawn by a hash of id and text, so the expected tokens of each domain are
-    those that its rate gives. The rate is computed in the row itself."""
+    those that its rate gives. Texts are read once: rows are written with their posteriors beside them."""
     classifier = fit_classifier(docs, labels)
-    members = stage(docs.sparkSession, memberships(docs, classifier), "members")
-    rates = fit_rates(members, weights, volume)
-    columns = docs.columns
-    p = _rows_posteriors(docs, classifier)
+    own = unused(docs, "mixing")
+    read = docs.withColumn(own, _read(classifier.vocabulary))
+    read = read.withColumn(own, F.struct(F.col(own)["n_tokens"].alias("n_tokens"), classifier.posteriors(F.col(own)["evidence"]).alias("p")))
+    rows = stage(docs.sparkSession, read, "rows")
+    rates = fit_rates(rows.select(f"{own}.n_tokens", f"{own}.p"), weights, volume).rates
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit("mixing")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rated = p.join(F.broadcast(rates.withColumnRenamed("cell", "brindle_cell").withColumnRenamed("rate", "brindle_rate")), "brindle_cell", "left")
-    rate = F.coalesce("brindle_rate", F.lit(1.0))
-    copies = (F.floor(rate) + (rate - F.floor(rate) > draw).cast("long")).cast("int")
-    return rated.select(*[F.col(f"`{c}`") for c in columns], F.explode(F.array_repeat(F.lit(0), copies)).alias("brindle_copy")).drop("brindle_copy")
-
-
-def _rows_posteriors(docs: DataFrame, classifier: Classifier) -> DataFrame:
-    text = text_of()
-    cell = let(_words(text), lambda w: _cell(let(_evidence(w, text, classifier.vocabulary), classifier.posteriors)))
-    return docs.withColumn("brindle_cell", let(cell, lambda x: x))
+    cell, rate = f"{own}_cell", f"{own}_rate"
+    rated = rows.withColumn(cell, _cell(F.col(own)["p"])).join(F.broadcast(rates.select(F.col("cell").alias(cell), F.col("rate").alias(rate))), cell, "left")
+    taken = F.coalesce(rate, F.lit(1.0))
+    copies = (F.floor(taken) + (taken - F.floor(taken) > draw).cast("long")).cast("int")
+    return rated.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array_repeat(F.lit(0), copies)).alias(own)).drop(own)
