@@ -1,6 +1,7 @@
 """The operators on small tables, against brute force, round trips and held-out labels."""
 
 import base64
+import contextlib
 import hashlib
 import re
 import zlib
@@ -78,6 +79,26 @@ def test_decontamination(spark, block):
     assert kept == {r.doc_id for r in got if not r.contaminated}
 
 
+def test_decontamination_is_the_same_however_items_are_dealt(spark):
+    q = prose(20)
+    bench = spark.createDataFrame([(1, q), (2, prose(30)), (3, "zz yy xx ww vv uu tt zz yy xx ww vv uu tt zz yy xx")], "item_id long, text string")
+    same = " ".join(["zz yy xx ww vv uu tt"] * 5)
+    texts = [q, prose(30), q, prose(40) + " " + q, None, prose(5), same, "a " + same[3:-3]]
+    d = frame(spark, texts, [7, 7, None, None, None, 8, 9, 9]).withColumn("row", F.lit("r")).withColumn("hits", F.lit(1)).withColumn("brindle_row", F.lit(2))
+    items = [(r.item_id, r.text) for r in bench.collect()]
+    want = sorted(str((i, t)) for i, t in zip([7, 7, None, None, None, 8, 9, 9], texts, strict=True) if not brute_contamination(t, items)[-1])
+    for block in (1 << 20, 150, 60):
+        got = decontaminate.decontaminate(d, bench, max_block_bytes=block)
+        assert got.columns == d.columns and sorted(str((r.doc_id, r.text)) for r in got.collect()) == want
+        whole = decontaminate.contamination(d, bench, max_block_bytes=block).collect()
+        assert sorted((r.n_words, r.n_hit, r.n_items) for r in whole) == sorted(brute_contamination(t, items)[:3] for t in texts)
+
+
+def test_an_automaton_has_a_node_a_word(spark):
+    m = decontaminate.Matcher([("i", " ".join(f"w{i}" for i in range(20_000)).encode())])
+    assert m.automaton.get_stats()["nodes_count"] <= 20_001
+
+
 def test_decontamination_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert rows(decontaminate.contamination(frame(spark, ["a b", None]), none))[0].n_hit == 0
@@ -127,6 +148,34 @@ def test_nnpu_finds_the_signal():
     assert np.argmax(w) == 0 and b < 0
 
 
+def test_nnpu_reaches_the_least_risk():
+    """A step by step descent of the same risk, cell by cell in Python, finds no lower one."""
+    g = np.random.default_rng(2)
+    x = (g.random((60, 3)) < 0.4).astype(int)
+    positive, unlabelled = np.arange(60) < 15, g.random(60) < 0.8
+    x[:15, 1] = 1
+    prior, l2 = 0.3, 0.01
+
+    def risk(w, b, weight):
+        z = [sum(w[j] for j in range(3) if row[j]) + b for row in x]
+        mean = lambda mask, f: sum(a * f(v) for a, v, m in zip(weight, z, mask, strict=True) if m) / sum(a for a, m in zip(weight, mask, strict=True) if m)
+        plus, minus = (lambda v: np.log1p(np.exp(-v))), (lambda v: np.log1p(np.exp(v)))
+        return prior * mean(positive, plus) + max(0.0, mean(unlabelled, minus) - prior * mean(positive, minus)) + l2 * sum(v * v for v in w)
+
+    weight = np.random.default_rng(0).exponential(size=60)
+    w, b = toxicity.nnpu(*np.nonzero(x), positive, 3, prior, unlabelled=unlabelled, l2=l2, steps=3000, rate=0.01)
+    best = risk([*w], b, weight)
+    now, size = [0.0, 0.0, 0.0, 0.0], 0.5
+    while size > 1e-4:
+        near = [[v + s * size * (i == j) for j, v in enumerate(now)] for i in range(4) for s in (-1, 1)]
+        least = min(near, key=lambda v: risk(v[:3], v[3], weight))
+        if risk(least[:3], least[3], weight) < risk(now[:3], now[3], weight):
+            now = least
+        else:
+            size /= 2
+    assert best <= risk(now[:3], now[3], weight) + 2e-3
+
+
 # ---------------------------------------------------------------- 3 and 8
 
 
@@ -301,11 +350,18 @@ def test_quality(spark):
 TRICKY = ["", "a", "Hello, world's  two   spaces\n\nnew", " lead", "trail ", "x\ty", "½ ² Ⅷ", "日本語 テキスト", "é combining", "don't we'll I'M", "under_score 123abc", "<|endoftext|> x", " nbsp", "emoji 👍🏽 ok", "a\nb c\nd", "é ñ ü ß ſ ŉ", prose(300)]
 
 
-def test_encoder_equals_the_tokenizer():
-    enc = tokens.Encoder(tokenizer_path())
-    for t in TRICKY * 2:
-        want = enc.whole.encode(t, add_special_tokens=False).ids
-        assert np.frombuffer(enc.encode(t), np.uint32).tolist() == want, t
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_equals_the_tokenizer(name, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 5000)
+    enc = tokens.Encoder(tokenizer_path(name))
+    texts = [*TRICKY * 2, *[prose(30) + f" {i}, x{i}." for i in range(20)]]
+    want = [enc.whole.encode(t, add_special_tokens=False).ids for t in texts]
+    for t, ids in zip(texts, want, strict=True):
+        assert enc.encode(t).tolist() == ids, t
+    flat, sizes = enc.encode_all(texts)
+    assert sizes.tolist() == list(map(len, want)) and flat.tolist() == [i for ids in want for i in ids]
+    enc.encode("x")
+    assert enc.apart == name.startswith("byte") and len(enc.number) == (3 if enc.apart else 1) and enc.held < 5000
 
 
 def test_codes():
@@ -415,7 +471,9 @@ def test_simhash(spark):
     assert {r.doc_id for r in simhash.keep_one(frame(spark, texts)).collect()} == set(want.values())
 
 
-def test_links_find_every_pair_within_two_bits(spark):
+@pytest.mark.parametrize("paired", [64, 3, 0])
+def test_links_find_every_pair_within_two_bits(spark, monkeypatch, paired):
+    monkeypatch.setattr(simhash, "PAIRED", paired)
     g = np.random.default_rng(1)
     seeds = g.integers(0, 1 << 63, 12, dtype=np.int64).astype(np.uint64)
     prints = {0, (1 << 64) - 1, 1, 3, 7}
@@ -434,6 +492,26 @@ def test_links_find_every_pair_within_two_bits(spark):
         assert got.get(signed(x), signed(x)) == signed(ordered[want[i]])
 
 
+def test_tally_and_popcount():
+    a = np.array([0, 0, 0, 0xFF], np.uint64)
+    b = np.array([0x010001, 0x01010001, 0x7, 0xFE], np.uint64)
+    got = simhash.verified(a, b)
+    assert [x.tolist() for x in got] == [[0, 0xFF], [0x010001, 0xFE]]
+    x, y = simhash.pairs(np.array([1, 2, 3, 9, 4, 5], np.uint64), np.array([3, 1, 2]))
+    assert sorted(zip(x.tolist(), y.tolist(), strict=True)) == [(1, 2), (1, 3), (2, 3), (4, 5)]
+
+
+def test_keep_one_decides_by_row(spark):
+    other, text = prose(60), prose(60)
+    d = frame(spark, [text, text, other, text, None, ""], [1, 2, 2, None, None, 9]).withColumn("bits", F.lit("b")).withColumn("row", F.lit(1)).withColumn("first", F.lit(1)).withColumn("brindle_bits", F.lit("x"))
+    got = simhash.keep_one(d)
+    assert got.columns == d.columns
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == sorted([(1, text), (2, other), (9, "")])
+    nulls = simhash.keep_one(frame(spark, [text, text, other], [None, None, None])).collect()
+    assert sorted(r.text for r in nulls) == sorted([text, other])
+    assert simhash.keep_one(frame(spark, [])).count() == 0
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = simhash.components(edges).collect()
@@ -483,6 +561,39 @@ def test_thinned_tokens_meet_the_weights(spark, unclean):
     assert got.sum() / sum(n) == pytest.approx(mixing.VOLUME, abs=0.05)
 
 
+@pytest.mark.parametrize("goal", [(0.8, 0.15, 0.05), (0.2, 0.2, 0.6)])
+def test_rates_are_a_least_squares_solution(spark, goal):
+    """Against plain projected gradient over documents; the second goal can't be met, as no document is surely toxic."""
+    g = np.random.default_rng(4)
+    n = g.integers(1, 50, 60)
+    p = g.dirichlet([4, 2, 0.2], 60)
+    p = p * [1, 1, 0.3] if goal[2] > 0.5 else p
+    p[:, 0] += 1 - p.sum(1)
+    members = spark.createDataFrame([(int(a), [float(v) for v in b]) for a, b in zip(n, p, strict=True)], "n_tokens long, p array<double>")
+    goals = np.array(goal) * 1.5
+    with pytest.warns(UserWarning, match="from their goals") if goal[2] > 0.5 else contextlib.nullcontext():
+        fit = mixing.fit_rates(members, dict(zip(mixing.DOMAINS, goal, strict=True)), 1.5, steps=200)
+    assert fit.converged == (goal[2] < 0.5)
+    rate = {r.cell: r.rate for r in fit.rates.collect()}
+    cells = [r[0] for r in members.select(mixing._cell(F.col("p"))).collect()]
+    a = n[:, None] * p / n.sum()
+    mine = ((np.array([rate[c] for c in cells]) @ a - goals) ** 2).sum()
+    r = np.ones(60)
+    for _ in range(50_000):
+        r = np.maximum(0, r - 2.0 * (a @ (r @ a - goals)) / (n / n.sum()).max())
+    assert min(rate.values()) >= 0 and mine <= ((r @ a - goals) ** 2).sum() + 1e-3
+
+
+def test_mixing_leaves_names_alone(spark):
+    d = frame(spark, [prose(30), prose(30) + " #" * 40, None, prose(30)])
+    for c in ("domain", "chosen_id", "p", "n_tokens", "cell", "rate", "brindle_cell", "brindle_mixing", "got"):
+        d = d.withColumn(c, F.lit("d"))
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 0)], "doc_id long, quality int, toxic int")
+    assert mixing.mix(d, labels).count() == 4
+    got = mixing.thin(d, labels)
+    assert got.columns == d.columns and {r.brindle_cell for r in got.collect()} == {"d"} and {r.doc_id for r in got.collect()} >= {0}
+
+
 def test_mixing_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = rows(mixing.mix(frame(spark, ["a b", None]), none))
