@@ -1,16 +1,19 @@
 """Removal of repeated passages of words, with a count-min prefilter.
 
-Pass 1: each partition counts the triggers of its windows (``repeats``: every
-window has one, equal windows have equal ones) in a count-min sketch; the
-partitions' sketches are merged cell by cell. The least cell of a trigger is at
-least its count, and that is at least the count of any window it stands for, so
-windows are never underestimated. Pass 2 reads the texts again and takes only
-windows estimated as repeated into the exact grouping, so none is lost, and what
-the sketch let through in error is found to be single there.
-
-The sketch's width follows the size of the input up to ``MAX_CELLS`` a row; as
-only "twice or more" matters, what is broadcast is one bit a cell, at most
-``ROWS_OF_CELLS * MAX_CELLS / 8`` bytes = 64 MB. Beyond that it lets more through.
+Pass 1 lays the texts down in blocks (``blocks``) and counts, for each block, the
+windows of 35 words in a count-min sketch: two hashes of a window are its cells in
+the sketch's two rows. Blocks' sketches are sparse, cells with "once" or "more", and
+are merged cell by cell where a range of cells lives. The lesser cell of a window is
+at least its count, so windows are never underestimated. The sketch is not sent
+anywhere: its owner answers each block with those of its cells that count two or
+more, so no task holds more than a range of cells, and the sketch grows with the
+text (about eight cells a window) and never fills up.
+
+Pass 2 opens each block again and takes only windows whose cells were both answered
+into the exact grouping: by 128-bit BLAKE2b of their words, so equal windows meet
+and different ones do not, whatever their words are made of. Windows of a block are
+combined before, so a passage has one entry a block at most, however hot. Nothing is
+lost, and what the sketch let through in error is found to be single.
 
 Defined results: null, empty and wordless texts have no words; texts of fewer
 than 35 words lose nothing; rows that share a doc_id are different rows; an
@@ -24,25 +27,30 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from brindle.llm.common import as_bytes, per_batch
-from brindle.llm.repeats import Coder, Prefix, Setting, _texts, covered, decided_runs, finish, in_blocks, phrases, prepare
+from brindle.llm.blocks import BLOCK_BYTES, block_rows, groups, lay, load
+from brindle.llm.common import fresh_path, give_back, let_go, release, shared_fs, stage
+from brindle.llm.repeats import Prefix, _runs, covered, finish
 from brindle.llm.substrings import byte_units
 
-SETTING = Setting(length=35, k=12, keep_first=False)
+LENGTH = 35
 ROWS_OF_CELLS = 2
-MAX_CELLS = 1 << 28
 MIN_CELLS = 1 << 20
-CHUNK = 1 << 20
-_FLUSH = 1 << 20
+#: Cells of a range that one task owns at a time.
+CHUNK = 1 << 22
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 _BASE, _MIX = np.uint64(0x5851F42D4C957F2D), np.uint64(0xA0761D6478BD642F)
 _IS_WHITE = np.zeros(256, bool)
 _IS_WHITE[[32, 9, 10, 11, 12, 13]] = True
+#: Of the first pass and the answers: a block's cells in a range of the sketch; range -1 only tells that there is the block.
+CELLS = "block long, part long, cells binary"
+#: A window, or a run of windows that are known to be repeated (known = 2; 1: a window that its block has several times).
+FOUND = "high long, low long, block long, doc int, first long, last long, known int"
 
 
 def word_units(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word."""
+    """A 64-bit hash of each word; different words may share one, which lets more through the sketch and no more."""
     white = _IS_WHITE[np.frombuffer(text, np.uint8)]
     edge = np.diff(np.concatenate([[True], white, [True]]).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
@@ -52,112 +60,178 @@ def word_units(text: bytes) -> np.ndarray:
     return finish(Prefix(byte_units(text), _BASE).of(starts, size) * _MIX + size.astype(np.uint64))
 
 
-CODER = Coder(word_units, lambda text, units, a, b: units[a:b].tobytes(), lambda blob: np.frombuffer(blob, np.uint64))
+def window_hashes(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, first word and hash of each window."""
+    docs, starts, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for k, text in enumerate(texts):
+        units = word_units(text) if len(text) >= 2 * length - 1 else ()
+        n = len(units) - length + 1
+        if n > 0:
+            docs.append(np.full(n, k))
+            starts.append(np.arange(n))
+            hashes.append(Prefix(units, _BASE).of(starts[-1], length))
+    return np.concatenate(docs), np.concatenate(starts), finish(np.concatenate(hashes))
 
 
-def cells_of(trigger: np.ndarray, width: int) -> list[np.ndarray]:
-    """The cell of each trigger hash in each row of the sketch."""
-    return [(finish(trigger.view(np.uint64) * s) & np.uint64(width - 1)).astype(np.int64) for s in _SEEDS[:ROWS_OF_CELLS]]
+def cells_of(hashes: np.ndarray, width: int) -> list[np.ndarray]:
+    """The cell of each window in each row of the sketch."""
+    return [(finish(hashes * s) & np.uint64(width - 1)).astype(np.int64) for s in _SEEDS[:ROWS_OF_CELLS]]
 
 
-def width_for(docs: DataFrame, setting: Setting = SETTING) -> int:
-    """Cells a row: eight for each trigger to be expected, a power of two within the bounds."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    expected = 8 * (size / 4) * 2 / (setting.reach + 1)
-    return int(min(MAX_CELLS, max(MIN_CELLS, 1 << int(np.ceil(np.log2(max(expected, 1)))))))
+def width_for(docs: DataFrame) -> int:
+    """Cells a row: a power of two of about eight a window, a word having some eight bytes."""
+    size = block_rows(docs).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return max(MIN_CELLS, 1 << int(size - 1).bit_length() if size else 0)
 
 
-def sketch(rows: DataFrame, width: int, setting: Setting = SETTING) -> list[np.ndarray]:
-    """For each row of the merged sketch a bit a cell: counted twice or more."""
-    spark = rows.sparkSession
+def _cells(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["block", "part", "cells"])
 
-    def partial(batches):
-        held: list[np.ndarray] = []
-        size = 0
 
-        def flush():
-            trigger = np.concatenate(held)
-            for r, cells in enumerate(cells_of(trigger, width)):
+def sketch(docs: DataFrame, out: str, width: int, length: int = LENGTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Lays the blocks down; their sparse sketches."""
+
+    def partial(batches):
+        let_go()
+        for block, texts in lay(batches, out, block_bytes):
+            rows = [(block, -1, b"")]
+            for r, cells in enumerate(cells_of(window_hashes(texts, length)[2], width)):
                 cell, n = np.unique(cells, return_counts=True)
-                packed = (cell << 1 | (n > 1)).astype(np.int64)
-                cut = np.searchsorted(cell, np.arange(0, width + CHUNK, CHUNK))
-                some = np.flatnonzero(np.diff(cut))
-                blobs = [(packed[cut[c] : cut[c + 1]] - (int(c) * CHUNK << 1)).astype("<u4").tobytes() for c in some]
-                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64) * ROWS_OF_CELLS + r), pa.array(blobs, pa.binary())], ["part", "cells"])
-
-        for _, _, _, lengths, units in in_blocks(_texts(batches), word_units, setting):
-            trigger = phrases(units, lengths, setting)[1]
-            held.append(trigger)
-            size += len(trigger)
-            if size >= _FLUSH:
-                yield from flush()
-                held, size = [], 0
-        if size:
-            yield from flush()
+                packed = (cell % CHUNK << 1 | (n > 1)).astype("<u4")
+                at = np.flatnonzero(np.diff(cell // CHUNK, prepend=-1))
+                for a, b in zip(at.tolist(), [*at[1:].tolist(), len(cell)][: len(at)], strict=True):
+                    rows.append((block, int(cell[a]) // CHUNK * ROWS_OF_CELLS + r, packed[a:b].tobytes()))
+            yield _cells(rows)
+            del texts
+            give_back()
+
+    return block_rows(docs).mapInArrow(partial, CELLS)
+
+
+def answers(sketched: DataFrame) -> DataFrame:
+    """Of each block's cells, those that count two or more in the merged sketch."""
 
     def merge(batches):
-        part, once, twice = None, None, None
-
-        def done():
-            return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([np.packbits(twice, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
-
-        for batch in batches:
-            for p, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if p != part:
-                    if part is not None:
-                        yield done()
-                    part, once, twice = p, np.zeros(CHUNK, bool), np.zeros(CHUNK, bool)
-                got = np.frombuffer(blob, "<u4")
-                cell = got >> 1
-                twice[cell] |= once[cell] | (got & 1).astype(bool)
+        for part, table in groups(batches):
+            once, more = np.zeros(CHUNK, bool), np.zeros(CHUNK, bool)
+            got = [np.frombuffer(x, "<u4") for x in table.column(2).to_pylist()]
+            for packed in got:
+                cell = packed >> 1
+                more[cell] |= once[cell] | (packed & 1).astype(bool)
                 once[cell] = True
-        if part is not None:
-            yield done()
-
-    parts = rows.select("doc", "copy", "text").mapInArrow(partial, "part long, cells binary")
-    merged = parts.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "part long, bits binary")
-    out = [np.zeros(width // 8, np.uint8) for _ in range(ROWS_OF_CELLS)]
-    for part, bits in merged.collect():  # at most ROWS_OF_CELLS * width / 8 bytes
-        chunk, r = divmod(part, ROWS_OF_CELLS)
-        a = chunk * CHUNK // 8
-        out[r][a : a + CHUNK // 8] = np.frombuffer(bits, np.uint8)[: len(out[r]) - a]
-    return out
-
-
-def repeated(bits: list[np.ndarray], trigger: np.ndarray) -> np.ndarray:
-    """Whether the least cell of each trigger is two or more."""
-    good = np.ones(len(trigger), bool)
-    for row, cell in zip(bits, cells_of(trigger, len(bits[0]) * 8), strict=True):
-        good &= (row[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
+            rows = [(b, part, (c := x >> 1)[more[c]].tobytes()) for b, x in zip(table.column(1).to_pylist(), got, strict=True)]
+            if rows := [r for r in rows if r[2]]:
+                yield _cells(rows)
+
+    ranged = sketched.where("part >= 0").select("part", "block", "cells")
+    return ranged.repartition("part").sortWithinPartitions("part").mapInArrow(merge, CELLS)
+
+
+def _estimated(table: pa.Table, hashes: np.ndarray, width: int) -> np.ndarray:
+    """The windows of a block whose lesser cell was answered to be two or more."""
+    parts, blobs = table.column(1).to_pylist(), table.column(2).to_pylist()
+    good = np.ones(len(hashes), bool)
+    for r, cells in enumerate(cells_of(hashes, width)):
+        mine = sorted((p // ROWS_OF_CELLS, b) for p, b in zip(parts, blobs, strict=True) if p >= 0 and p % ROWS_OF_CELLS == r)
+        if not mine:
+            return np.zeros(len(hashes), bool)
+        known = np.concatenate([np.frombuffer(b, "<u4").astype(np.int64) + c * CHUNK for c, b in mine])
+        at = np.searchsorted(known, cells)
+        good &= known[np.minimum(at, len(known) - 1)] == cells
     return good
 
 
-def dedup(docs: DataFrame, setting: Setting = SETTING, with_text: bool = False) -> DataFrame:
+def _digests(texts: list[bytes], docs: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """128 bits of the words of each window, as two numbers."""
+    out: list[bytes] = []
+    for k in np.unique(docs).tolist():
+        words = texts[k].split()
+        line = b" ".join(words)
+        begins = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])])
+        mine = starts[np.searchsorted(docs, k) : np.searchsorted(docs, k, "right")]
+        out += [hashlib.blake2b(line[a:b], digest_size=16).digest() for a, b in zip(begins[mine].tolist(), (begins[mine + length] - 1).tolist(), strict=True)]
+    return np.frombuffer(b"".join(out), "<i8").reshape(-1, 2)
+
+
+def probe(told: DataFrame, out: str, width: int, length: int) -> DataFrame:
+    """Of each block, its windows that are estimated as repeated: one of each kind, and runs of those that it has several times."""
+
+    def run(batches):
+        for block, table in groups(batches):
+            texts = load(out, block)[1]
+            docs, starts, hashes = window_hashes(texts, length)
+            good = _estimated(table, hashes, width)
+            docs, starts = docs[good], starts[good]
+            if not len(docs):
+                continue
+            digest = _digests(texts, docs, starts, length)
+            order = np.lexsort((digest[:, 1], digest[:, 0]))  # stable: the first of equals leads
+            d = digest[order]
+            new = np.concatenate([[True], (d[1:] != d[:-1]).any(1)])
+            at = np.flatnonzero(new)
+            size = np.diff(np.append(at, len(order)))
+            head, again = order[at], order[np.repeat(size > 1, size)]
+            zero = np.zeros(len(again), np.int64)
+            runs = _runs(docs[again], zero, starts[again], starts[again]) if len(again) else (zero, zero, zero, zero)
+            cols = [
+                np.concatenate([digest[head, 0], runs[2]]), np.concatenate([digest[head, 1], runs[0]]), np.full(len(head) + len(runs[0]), block),
+                np.concatenate([docs[head], runs[0]]).astype(np.int32), np.concatenate([starts[head], runs[2]]), np.concatenate([starts[head], runs[3]]),
+                np.concatenate([(size > 1).astype(np.int32), np.full(len(runs[0]), 2, np.int32)]),
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [x.split()[0] for x in FOUND.split(", ")])
+            give_back()
+
+    return told.mapInArrow(run, FOUND)
+
+
+def repeated_runs(found: DataFrame) -> DataFrame:
+    """block, doc, first, last of the runs of repeated windows."""
+    window = found.where("known < 2")
+    several = window.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n"), F.max("known").alias("many")).where("n > 1 or many = 1").select("high", "low")
+    met = window.where("known = 0").join(several, ["high", "low"], "left_semi")
+    return met.unionByName(found.where("known = 2")).select("block", "doc", "first", "last")
+
+
+def dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, the removed runs of words and, if asked for, what is left."""
-    rows = prepare(docs)
     spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(sketch(rows, width_for(docs, setting), setting))
-    runs = decided_runs(rows, CODER, setting, lambda trigger: repeated(bits.value, trigger))
-    joined = rows.join(runs, ["doc", "copy"], "left").select("doc_id", "text", "runs")
+    out, width = fresh_path(spark, "blocks"), width_for(docs)
+    fs, folder = shared_fs(out)
+    fs.create_dir(folder, recursive=True)
+    sketched = stage(spark, sketch(docs, out, width, length, block_bytes), "sketch")
+    known = sketched.where("part < 0")
+    n = max(known.count(), 1)  # so that a task opens about one block
+    told = known.unionByName(answers(sketched)).repartition(n, "block").sortWithinPartitions("block", "part")
+    found = stage(spark, probe(told, out, width, length), "found", narrow=True)
+    release(spark)
+    none = F.lit(None).cast("long")
+    runs = known.select("block", F.lit(-1).alias("doc"), none.alias("first"), none.alias("last")).unionByName(repeated_runs(found))
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
-    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for doc_id, text, runs_ in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-            words = text.split()
-            gone = covered([(r["x"], r["y"]) for r in runs_ or ()], setting.length, len(words))
-            kept = words
-            if gone:
-                kept, at = [], 0
+    def one(batches):
+        for block, table in groups(batches):
+            ids, texts = load(out, block)
+            gone_of: list[list[tuple[int, int]]] = [[] for _ in texts]
+            for k, a, b in zip(*(c.to_pylist() for c in table.columns[1:]), strict=True):
+                if k >= 0:
+                    gone_of[k].append((a, b))
+            rows = []
+            for doc_id, text, starts in zip(ids, texts, gone_of, strict=True):
+                words = text.split()
+                gone = covered(starts, length, len(words))
+                kept, at = ([], 0) if gone else (words, 0)
                 for a, b in gone:
                     kept += words[at:a]
                     at = b
-                kept += words[at:]
-            line = b" ".join(kept)
-            out.append((doc_id, len(words), len(words) - len(kept), hashlib.sha256(line).hexdigest(), [{"start": a, "end": b} for a, b in gone], line.decode() if with_text else None))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), span, pa.string()]
-        names = ["doc_id", "n_words", "n_removed", "kept_sha256", "removed", "kept"]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
-
-    got = joined.mapInArrow(per_batch(lambda: one), "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:long,end:long>>, kept string")
+                kept = kept + words[at:] if gone else kept
+                line = b" ".join(kept)
+                rows.append((doc_id, len(words), len(words) - len(kept), hashlib.sha256(line).hexdigest(), [{"start": a, "end": b} for a, b in gone], line.decode() if with_text else None))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), span, pa.string()]
+            names = ["doc_id", "n_words", "n_removed", "kept_sha256", "removed", "kept"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            give_back()
+
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:long,end:long>>, kept string"
+    got = runs.repartition(n, "block").sortWithinPartitions("block").mapInArrow(one, schema)
     return got if with_text else got.drop("kept")

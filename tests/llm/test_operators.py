@@ -7,11 +7,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from brindle.llm import common, decontaminate, mixing, passages, quality, repeats, secrets, simhash, substrings, tokens, toxicity, warc
+from brindle.llm import blocks, common, decontaminate, mixing, passages, quality, repeats, secrets, simhash, substrings, tokens, toxicity, warc
 from brindle.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -223,13 +224,29 @@ def test_substrings_in_small_blocks(spark, block):
     assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == brute_bytes(texts)
 
 
-@pytest.mark.parametrize("small,hot", [(4096, 64), (1, 64), (4096, 2), (1, 2)])
-def test_passages(spark, monkeypatch, small, hot):
-    monkeypatch.setattr(repeats, "SMALL", small)
-    monkeypatch.setattr(repeats, "HOT", hot)
+@pytest.mark.parametrize("block_bytes", [8 << 20, 900])
+def test_passages(spark, block_bytes):
     texts = corpus()
+    got = rows(passages.dedup(frame(spark, texts), block_bytes=block_bytes))
+    assert [(r.n_words, r.n_removed, r.kept_sha256) for r in got] == brute_words(texts)
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+
+
+@pytest.mark.parametrize("cells", [1 << 20, 4])
+def test_words_of_equal_hashes_are_told_apart(spark, monkeypatch, cells):
+    """Thue-Morse strings and their complements meet under any polynomial modulo 2^64; and any windows in a tiny sketch."""
+    monkeypatch.setattr(passages, "MIN_CELLS", cells)
+    monkeypatch.setattr(passages, "width_for", lambda docs: cells)
+    word = thue_morse(1024)
+    other = word.translate({97: 98, 98: 97})
+    a, b = prose(20), prose(20)
+    texts = [f"{a} {word} {b}", f"{a} {other} {b}", prose(60), prose(50)]
     got = rows(passages.dedup(frame(spark, texts)))
     assert [(r.n_words, r.n_removed, r.kept_sha256) for r in got] == brute_words(texts)
+    assert sum(r.n_removed for r in got) == 0
 
 
 @pytest.mark.parametrize("combine", [1 << 19, 40])
@@ -266,14 +283,25 @@ def test_repeated_and_null_ids(spark):
 
 
 def test_sketch_never_underestimates(spark):
+    """The sum over blocks of each window's count is never above the merged sketch's lesser cell, as far as "two or more" tells."""
     texts = [prose(200)] * 2 + [prose(300) for _ in range(20)]
-    d = repeats.prepare(frame(spark, texts))
-    bits = passages.sketch(d, passages.MIN_CELLS)
-    units = passages.word_units(texts[0].encode())
-    trigger = repeats.phrases(units, np.array([len(units)]), passages.SETTING)[1]
-    assert passages.repeated(bits, trigger).all()
-    other = passages.word_units(texts[5].encode())
-    assert passages.repeated(bits, repeats.phrases(other, np.array([len(other)]), passages.SETTING)[1]).mean() < 0.1
+    out, width = common.fresh_path(spark, "blocks"), 1 << 16
+    fs, folder = common.shared_fs(out)
+    fs.create_dir(folder, recursive=True)
+    sketched = common.stage(spark, passages.sketch(frame(spark, texts).repartition(3), out, width, block_bytes=3000), "sketch")
+    assert sketched.where("part < 0").count() > 5
+    told = sketched.where("part < 0").unionByName(passages.answers(sketched)).toPandas()
+    true = {}
+    for t in texts:
+        for h in passages.window_hashes([t.encode()], 35)[2].tolist():
+            true[h] = true.get(h, 0) + 1
+    passed = 0
+    for block, rows_ in told.groupby("block"):
+        hashes = passages.window_hashes(blocks.load(out, int(block))[1], 35)[2]
+        good = passages._estimated(pa.Table.from_pandas(rows_[["block", "part", "cells"]]), hashes, width)
+        assert all(g for g, h in zip(good.tolist(), hashes.tolist(), strict=True) if true[h] > 1)
+        passed += sum(g for g, h in zip(good.tolist(), hashes.tolist(), strict=True) if true[h] == 1)
+    assert passed < 0.1 * len(true)
 
 
 # ---------------------------------------------------------------- 4
