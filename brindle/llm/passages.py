@@ -26,6 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,28 +50,38 @@ CELLS = "block long, part long, cells binary"
 FOUND = "high long, low long, block long, doc int, first long, last long, known int"
 
 
-def word_units(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word; different words may share one, which lets more through the sketch and no more."""
+def word_units(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word, and where it starts; different words may share one, which lets more through the sketch and no more."""
     white = _IS_WHITE[np.frombuffer(text, np.uint8)]
     edge = np.diff(np.concatenate([[True], white, [True]]).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if not len(starts):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), starts
     size = ends - starts
-    return finish(Prefix(byte_units(text), _BASE).of(starts, size) * _MIX + size.astype(np.uint64))
-
-
-def window_hashes(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, first word and hash of each window."""
-    docs, starts, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-    for k, text in enumerate(texts):
-        units = word_units(text) if len(text) >= 2 * length - 1 else ()
-        n = len(units) - length + 1
-        if n > 0:
-            docs.append(np.full(n, k))
-            starts.append(np.arange(n))
-            hashes.append(Prefix(units, _BASE).of(starts[-1], length))
-    return np.concatenate(docs), np.concatenate(starts), finish(np.concatenate(hashes))
+    return finish(Prefix(byte_units(text), _BASE).of(starts, size) * _MIX + size.astype(np.uint64)), starts
+
+
+def window_hashes(texts: list[bytes], length: int, at_once: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, first word and hash of each window; short texts are hashed together."""
+    docs, firsts, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    k = 0
+    while k < len(texts):
+        begin, size = k, 0
+        while k < len(texts) and (k == begin or size + len(texts[k]) < at_once):
+            size, k = size + len(texts[k]) + 1, k + 1
+        some = texts[begin:k]
+        units, places = word_units(b"\n".join(some))
+        sizes = np.array([len(t) + 1 for t in some])
+        ends = np.searchsorted(places, np.cumsum(sizes))  # in words
+        counts = np.diff(ends, prepend=0)
+        text = np.repeat(np.arange(len(some)), counts)
+        word = np.arange(len(units))
+        starts = word[word + length <= ends[text]]
+        if len(starts):
+            docs.append(begin + text[starts])
+            firsts.append(starts - (ends - counts)[text[starts]])
+            hashes.append(Prefix(units, _BASE).of(starts, length))
+    return np.concatenate(docs), np.concatenate(firsts), finish(np.concatenate(hashes))
 
 
 def cells_of(hashes: np.ndarray, width: int) -> list[np.ndarray]:
@@ -213,8 +224,10 @@ def dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = False, block_
         for block, table in groups(batches):
             ids, texts = load(out, block)
             gone_of: list[list[tuple[int, int]]] = [[] for _ in texts]
-            for k, a, b in zip(*(c.to_pylist() for c in table.columns[1:]), strict=True):
-                if k >= 0:
+            doc, first, last = (c.to_numpy() for c in table.filter(pc.greater_equal(table.column(1), 0)).columns[1:])
+            if len(doc):
+                doc, _, first, last = _runs(doc, np.zeros(len(doc), np.int64), first, last)
+                for k, a, b in zip(doc.tolist(), first.tolist(), last.tolist(), strict=True):
                     gone_of[k].append((a, b))
             rows = []
             for doc_id, text, starts in zip(ids, texts, gone_of, strict=True):
