@@ -61,7 +61,36 @@ def stage(spark: SparkSession, df: DataFrame, name: str, *, narrow: bool = False
     the cluster's cores, however many partitions the shuffle before it has."""
     path = fresh_path(spark, name)
     (df.coalesce(2 * spark.sparkContext.defaultParallelism) if narrow else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.brindle_path = path
+    _staged.append(path)
+    return out
+
+
+#: Staged tables of this driver that may still be read.
+_staged: list[str] = []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete what is at a path of the shared folder, and the folder of its own that ``fresh_path`` gave it."""
+    jvm, sc = spark.sparkContext._jvm, spark.sparkContext._jsc.sc()
+    top = jvm.org.apache.hadoop.fs.Path(path).getParent()
+    top.getFileSystem(sc.hadoopConfiguration()).delete(top, True)
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing will read again."""
+    for t in tables:
+        path = t.brindle_path
+        if path in _staged:
+            _staged.remove(path)
+            delete(t.sparkSession, path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all staged tables: for a driver that has written every result it wants from them."""
+    while _staged:
+        delete(spark, _staged.pop())
 
 
 def unused(df: DataFrame, name: str) -> str:

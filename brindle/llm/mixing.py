@@ -36,7 +36,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import stage, unused
+from brindle.llm.common import stage, unstage, unused
 from brindle.llm.native import let, text_of
 
 DOMAINS = ("clean", "poor", "toxic")
@@ -127,6 +127,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MA
     vocabulary = sorted(r[0] for r in top.collect())
     # at most max_labelled rows
     seen = sorted((list(r[0]), list(r[1:])) for r in sample.select("domain", _read(vocabulary)["evidence"].alias("evidence")).groupBy("evidence").agg(*counts).collect())
+    unstage(chosen, sample)
     names = sorted({e for evidence, _ in seen for e in evidence})
     place = {e: i for i, e in enumerate(names)}
     x = np.zeros((len(seen), len(names)))

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from brindle.llm.common import LOWER, as_bytes, per_batch, stage, unused
+from brindle.llm.common import LOWER, as_bytes, per_batch, stage, unstage, unused
 
 SEED = 42
 SHINGLE = 3
@@ -196,7 +196,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # small star: neighbours below u, and u, go to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        now = stage(spark, small, f"edges-{k}", narrow=True)
+        last, now = now, stage(spark, small, f"edges-{k}", narrow=True)
+        unstage(last)
         state = tuple(now.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31))), F.lit(0))).first())
         if state == before:
             break

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import FOLD, as_bytes, held_out, per_batch, stage
+from brindle.llm.common import FOLD, as_bytes, held_out, per_batch, stage, unstage
 
 MAX_POSITIVE = 3000
 MAX_UNLABELLED = 9000
@@ -156,6 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_positive=MAX_POSITIVE, max_un
         return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.int32()))], [*head, "cells"])
 
     got = sorted((*r[:3], sorted(r[3])) for r in bags.mapInArrow(per_batch(lambda: cells), f"{kinds}, cells array<int>").collect())
+    unstage(bags)
     positive, unlabelled = (np.array([r[k] for r in got]) for k in (1, 2))
     rows = np.repeat(np.arange(len(got)), [len(r[3]) for r in got])
     cols = np.array([c for r in got for c in r[3]], dtype=np.int64)
