@@ -34,8 +34,8 @@ def test_edges(spark, tmp_path):
         for name, function in corpus_pipeline.STAGES[:-1]:
             docs = written(spark, function(spark, docs, str(tmp_path)), name)
             assert docs.columns == columns
-            left = sorted((r.doc_id, len((r.text or "").split())) for r in docs.collect())
-            assert left == sorted(want) if name in ("simhash", "decontaminate") else set(left) <= want | {(None, 0)}
+            left = [(r.doc_id, len((r.text or "").split())) for r in docs.collect()]
+            assert (len(left), set(left)) == (len(want), want) if name in ("simhash", "decontaminate") else set(left) <= want | {(None, 0)}
         got = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
         assert len(got) == docs.count() and all(r.n_tokens == 1 for r in got if r.doc_id == 4)
 
