@@ -7,6 +7,7 @@ import dataclasses
 import enum
 import logging
 import pickle
+import uuid
 import warnings
 from dataclasses import dataclass
 from typing import Any
@@ -194,7 +195,19 @@ def model_save(spark: SparkSession, path: str, overwrite: bool = False, **models
                 raise
             old = {}
         new = old | new
-    spark.createDataFrame(sorted(new.items()), "name string, model binary").coalesce(1).write.mode("overwrite").parquet(path)
+    # written beside and renamed: a failure on the way leaves the old table or the new one, whole
+    beside, behind = f"{path.rstrip('/')}.{uuid.uuid4().hex}.new", f"{path.rstrip('/')}.{uuid.uuid4().hex}.old"
+    spark.createDataFrame(sorted(new.items()), "name string, model binary").coalesce(1).write.parquet(beside)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.sc().hadoopConfiguration()
+    at, new_, old_ = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, beside, behind))
+    fs = at.getFileSystem(conf)
+    there = fs.exists(at)
+    if there and not fs.rename(at, old_):
+        raise OSError(f"{path} can't be replaced")
+    if not fs.rename(new_, at):
+        raise OSError(f"{path} can't be written; the old table is {behind}" if there else f"{path} can't be written")
+    if there:
+        fs.delete(old_, True)
 
 
 def model_load(spark: SparkSession, path: str, *names: str) -> Any:

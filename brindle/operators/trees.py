@@ -253,6 +253,7 @@ def build(rows: DataFrame, columns: list[str], plan: Plan, trees: list[int], loc
     for t in trees:
         roots[t] = places[t, 1] = Node(1, sizes.get((t, 1), 0))
     local: list[DataFrame] = []
+    levels: list[DataFrame] = []  # each level's rows are kept until the leaves below it are grown
     while sizes:
         large = {k for k, n in sizes.items() if n > local_rows}
         keep = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(k).cast("long").alias("n")) for t, k in sorted(large)]) if large else None
@@ -289,13 +290,13 @@ def build(rows: DataFrame, columns: list[str], plan: Plan, trees: list[int], loc
                 places[r["_tree"], 2 * r["_node"] + k] = Node(here.depth + 1, 0)
             here.true, here.false = places[r["_tree"], 2 * r["_node"]], places[r["_tree"], 2 * r["_node"] + 1]
         stopped = large - split
-        if stopped:  # large leaves
-            # by tree and node, as another tree may split the node of the same number
+        if stopped:  # large leaves; by tree and node, as another tree may split the node of the same number
             done = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(k).cast("long").alias("n")) for t, k in sorted(stopped)])
-            local.append(frontier.where(F.array_contains(done, F.struct(F.col("_tree").alias("t"), F.col("_node").alias("n")))))
+            _fill_leaves(frontier.where(F.array_contains(done, F.struct(F.col("_tree").alias("t"), F.col("_node").alias("n")))), plan, places)
         if side is None:
             break
-        now = frontier.withColumn("_node", side).where("_node is not null").checkpoint() if len(split) and max(k for _, k in split).bit_length() % 6 == 0 else frontier.withColumn("_node", side).where("_node is not null")
+        now = frontier.withColumn("_node", side).where("_node is not null").persist()
+        levels.append(now)
         for r in now.groupBy("_tree", "_node").agg(F.count(F.lit(1)).alias("n")).collect():
             next_sizes[r["_tree"], r["_node"]] = r["n"]
             places[r["_tree"], r["_node"]].npoints = r["n"]
@@ -306,9 +307,27 @@ def build(rows: DataFrame, columns: list[str], plan: Plan, trees: list[int], loc
             sub = _unpack(r["nodes"], plan)
             here = places[r["_tree"], r["_node"]]
             here.__dict__.update(sub.__dict__)
+    for level in levels:
+        level.unpersist()
     return roots
 
 
+def _fill_leaves(rows: DataFrame, plan: Plan, places: dict[tuple[int, int], Node]) -> None:
+    """Predictions of large leaves, from sums (a row a leaf, and a class)."""
+    if plan.classes is None:
+        for r in rows.groupBy("_tree", "_node").agg(F.avg("_y").alias("y"), F.count(F.lit(1)).alias("n")).collect():
+            here = places[r["_tree"], r["_node"]]
+            here.prediction, here.npoints = r["y"], r["n"]
+        return
+    counts: dict[tuple[int, int], dict[int, int]] = {}
+    for r in rows.groupBy("_tree", "_node", "_y").agg(F.count(F.lit(1)).alias("n")).collect():
+        counts.setdefault((r["_tree"], r["_node"]), {})[int(r["_y"])] = r["n"]
+    for place, by_class in counts.items():
+        n = sum(by_class.values())
+        places[place].prediction = {c: by_class[k] / n for k, c in enumerate(plan.classes) if k in by_class}
+        places[place].npoints = n
+
+
 def _grow_local(part: DataFrame, columns: list[str], plan: Plan, depths: dict, local_rows: int) -> DataFrame:
     import pickle
 

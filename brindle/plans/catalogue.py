@@ -6,6 +6,8 @@ results tests hold against published values and invariants.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from brindle.functions import activations as act
 from brindle.functions import arrays, distances, pmf
 from brindle.operators import cluster, gmm, impute, linear, measures, nn, prep, stats, trees, tune
-from brindle.operators.base import Verbosity
+from brindle.operators.base import Verbosity, model_load, model_save
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -108,10 +110,19 @@ def pca_cov(spark, sf):
     return prep.covariance(t(spark, sf, "lineitem"), ITEM).select("i", "j", r("covariance", 3).alias("covariance"))
 
 
-@query()
+_COV = ", ".join("[" + ", ".join(f"covar_pop({a}, {b})" for b in ITEM) + f"] AS r{k}" for k, a in enumerate(ITEM))
+_TIMES = "[list_inner_product(r0, {0}), list_inner_product(r1, {0}), list_inner_product(r2, {0})]"
+_UNIT = "list_transform({0}, lambda x: x / sqrt(list_inner_product({0}, {0})))"
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT {_COV} FROM lineitem), e AS (SELECT 0 AS n, [0.0, 1.0, 0.0]::DOUBLE[] AS v, [1.0, 0.0, 0.0]::DOUBLE[] AS w UNION ALL
+SELECT n + 1, v, {_UNIT.format("w")} FROM (SELECT n, v, list_transform(range(1, 4), lambda i: w[i] - list_inner_product(v, w) * v[i]) AS w FROM (SELECT n, {_UNIT.format("v")} AS v, w FROM (SELECT n, {_TIMES.format("v")} AS v, {_TIMES.format("w")} AS w FROM e, c WHERE n < 60))))
+SELECT l_orderkey, l_linenumber, round(abs(list_inner_product(v, [l_quantity, l_extendedprice, l_discount])), 3) AS first, round(abs(list_inner_product(w, [l_quantity, l_extendedprice, l_discount])), 3) AS second FROM lineitem, e WHERE n = 60""")
 def pca_project(spark, sf):
+    """Both coordinates without their sign, which no eigenvector fixes."""
     df = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *ITEM)
-    return prep.PCAEncoder(encoded_size=2, cache=False).fit(df, ITEM).transform(df).select("l_orderkey", "l_linenumber", "encoded")
+    e = prep.PCAEncoder(encoded_size=2, cache=False).fit(df, ITEM).transform(df)
+    return e.select("l_orderkey", "l_linenumber", *[r(F.abs(F.get("encoded", F.lit(k))), 3).alias(n) for k, n in enumerate(("first", "second"))])
 
 
 # ---------------------------------------------------------------- counts, impurity, modes
@@ -246,6 +257,14 @@ def _lloyd(n: int) -> str:
     return ", ".join(out) + f" SELECT k::INT AS cluster, round(z, 4) AS centre FROM z{n}"
 
 
+def _lloyd_classes(n: int, k: int) -> str:
+    """The classes after n updates from a grid of k points."""
+    out = [f"WITH b AS (SELECT min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer), z0 AS (SELECT k, lo + (hi - lo) / {2 * k} + (k - 1) * (hi - lo) / {k} AS z FROM b, range(1, {k + 1}) t(k))"]
+    near = "SELECT c_custkey, c_acctbal, arg_min(k, (abs(c_acctbal - z), k)) AS k FROM customer, z{} GROUP BY c_custkey, c_acctbal"
+    out += [f"a{i} AS MATERIALIZED ({near.format(i - 1)}), z{i} AS MATERIALIZED (SELECT k, avg(c_acctbal) AS z FROM a{i} GROUP BY k)" for i in range(1, n + 1)]
+    return ", ".join(out) + f" SELECT c_custkey, k::INT AS prediction FROM ({near.format(n)})"
+
+
 @query(_lloyd(3))
 def kmeans_3iter(spark, sf):
     df = t(spark, sf, "customer").select(F.col("c_custkey").alias("_id"), "c_acctbal")
@@ -253,7 +272,7 @@ def kmeans_3iter(spark, sf):
     return spark.createDataFrame([(k, round(p[0], 4)) for k, p in enumerate(m.par["representatives"], 1)], "cluster int, centre double")
 
 
-@query()
+@query(_lloyd_classes(30, 4))
 def kmeans_fit(spark, sf):
     df = t(spark, sf, "customer").withColumn("_id", F.col("c_custkey"))
     return cluster.KMeansClusterer(n_classes=4, max_iter=30).fit(df, ["c_acctbal"]).predict().select("c_custkey", "prediction")
@@ -267,7 +286,16 @@ def kmedoids_update(spark, sf):
     return cluster.kmedoids_update(rows, "s_suppkey", "features", "s_nationkey", rounded).select("s_nationkey", "s_suppkey", r("cost", 4).alias("cost"))
 
 
-@query()
+def _medoid_classes(n: int, k: int) -> str:
+    out = [f"WITH b AS (SELECT min(s_acctbal) AS lo, max(s_acctbal) AS hi FROM supplier), z0 AS (SELECT k, lo + (hi - lo) / {2 * k} + (k - 1) * (hi - lo) / {k} AS z FROM b, range(1, {k + 1}) t(k))"]
+    near = "SELECT s_suppkey, s_acctbal, arg_min(k, (abs(s_acctbal - z), k)) AS k FROM supplier, z{} GROUP BY s_suppkey, s_acctbal"
+    for i in range(1, n + 1):
+        out.append(f"a{i} AS MATERIALIZED ({near.format(i - 1)}), c{i} AS (SELECT p.k, p.s_suppkey, p.s_acctbal, round(sum(abs(p.s_acctbal - q.s_acctbal)), 9) AS cost FROM a{i} p JOIN a{i} q USING (k) GROUP BY ALL)")
+        out.append(f"z{i} AS MATERIALIZED (SELECT k, arg_min(s_acctbal, (cost, s_suppkey)) AS z FROM c{i} GROUP BY k)")
+    return ", ".join(out) + f" SELECT s_suppkey, k::INT AS prediction FROM ({near.format(n)})"
+
+
+@query(_medoid_classes(20, 3))
 def kmedoids_fit(spark, sf):
     df = t(spark, sf, "supplier").withColumn("_id", F.col("s_suppkey"))
     return cluster.KMedoidsClusterer(n_classes=3, initialisation_strategy="grid", max_iter=20).fit(df, ["s_acctbal"]).predict().select("s_suppkey", "prediction")
@@ -605,14 +633,43 @@ def kernel_score(spark, sf):
     return _customers(spark, sf).select("_id", r(c, 8).alias("score"))
 
 
-@query()
+def _passes(epochs: int, wrong: str, right: str) -> str:
+    """A fold over the rows in order of their ids, pass after pass until one has no error; ``x`` is the state, ``y`` the row."""
+    zero = "0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2, 0.0::DOUBLE AS c, 0::BIGINT AS bad, false AS done"
+    say = lambda w: ", ".join(f"'{n}': {v}" for n, v in w.items())
+    row = {k: f"y.{k}" for k in ("a", "b", "s", "t")}
+    # errors of the pass before, if this row begins a new one
+    over = "(x.done OR (y.t > x.t AND x.bad = 0 AND x.t > 0))"
+    bad = "CASE WHEN y.t > x.t THEN 0 ELSE x.bad END"
+    keep = say({**row, "w1": "x.w1", "w2": "x.w2", "c": "x.c", "bad": bad, "done": "true"})
+    return f"""WITH r AS (SELECT c_custkey, c_acctbal / 1000 AS a, c_nationkey::DOUBLE AS b, CASE WHEN c_acctbal > 5000 THEN 'rich' ELSE 'poor' END AS y FROM customer),
+    f AS (SELECT arg_min(y, c_custkey) AS first FROM r),
+    e AS (SELECT a, b, CASE WHEN y = first THEN 1.0 ELSE -1.0 END::DOUBLE AS s, t::BIGINT AS t, {zero}, c_custkey FROM r, f, range(1, {epochs + 1}) g(t)),
+    l AS (SELECT list({{'a': a, 'b': b, 's': s, 't': t, 'w1': w1, 'w2': w2, 'c': c, 'bad': bad, 'done': done}} ORDER BY t, c_custkey) AS rows FROM e),
+    z AS (SELECT list_reduce(list_prepend({{'a': 0.0::DOUBLE, 'b': 0.0::DOUBLE, 's': 0.0::DOUBLE, 't': 0::BIGINT, 'w1': 0.0::DOUBLE, 'w2': 0.0::DOUBLE, 'c': 0.0::DOUBLE, 'bad': 0::BIGINT, 'done': false}}, rows),
+        lambda x, y: CASE WHEN {over} THEN {{{keep}}} WHEN y.s * (x.w1 * y.a + x.w2 * y.b + x.c) <= 2.220446049250313e-16 THEN {{{wrong.format(row=say(row), bad=bad + " + 1")}}} ELSE {{{right.format(row=say(row), bad=bad)}}} END) AS m FROM l)
+    SELECT c_custkey AS _id, round(1 / (1 + exp(-2 * (CASE WHEN first = 'rich' THEN 1 ELSE -1 END) * (m.w1 * a + m.w2 * b + m.c))), 6) AS rich FROM r, f, z"""
+
+
+_ETA, _SHRINK = "(1 / sqrt(y.t))", "(1 - 0.5 / sqrt(y.t))"
+
+
+@query(_passes(20, "{row}, 'w1': x.w1 + y.s * y.a, 'w2': x.w2 + y.s * y.b, 'c': x.c + y.s, 'bad': {bad}, 'done': false", "{row}, 'w1': x.w1, 'w2': x.w2, 'c': x.c, 'bad': {bad}, 'done': false"))
 def perceptron_fit(spark, sf):
-    return linear.PerceptronClassifier(epochs=20, shuffle=False).fit(_customers(spark, sf), ["a", "b"], "y").predict().select("_id", "prediction")
+    rows = linear.PerceptronClassifier(epochs=20, shuffle=False).fit(_customers(spark, sf), ["a", "b"], "y").predict()
+    return rows.select("_id", r(F.try_element_at("prediction", F.lit("rich"))).alias("rich"))
 
 
-@query()
+@query(
+    _passes(
+        10,
+        f"{{row}}, 'w1': {_SHRINK} * x.w1 + {_ETA} * y.s * y.a, 'w2': {_SHRINK} * x.w2 + {_ETA} * y.s * y.b, 'c': x.c + {_ETA} * y.s, 'bad': {{bad}}, 'done': false",
+        f"{{row}}, 'w1': {_SHRINK} * x.w1, 'w2': {_SHRINK} * x.w2, 'c': x.c, 'bad': {{bad}}, 'done': false",
+    )
+)
 def pegasos_fit(spark, sf):
-    return linear.PegasosClassifier(epochs=10, shuffle=False).fit(_customers(spark, sf), ["a", "b"], "y").predict().select("_id", "prediction")
+    rows = linear.PegasosClassifier(epochs=10, shuffle=False).fit(_customers(spark, sf), ["a", "b"], "y").predict()
+    return rows.select("_id", r(F.try_element_at("prediction", F.lit("rich"))).alias("rich"))
 
 
 @query()
@@ -692,6 +749,148 @@ def quantile_grid(spark, sf):
     return spark.createDataFrame([(theta,)], "quantile double")
 
 
+# ---------------------------------------------------------------- the rest of the functions
+
+
+_XY = "(SELECT vec_id, embedding::DOUBLE[] AS z, list_reverse(embedding::DOUBLE[]) AS v FROM embeddings)"
+
+
+@query("""SELECT event_id, 1.0::DOUBLE AS didentity, CASE WHEN x >= -1 AND x <= 1 THEN 1.0 ELSE 0.1 END::DOUBLE AS dplu, x = floor(x) AS whole FROM (SELECT event_id, event_id % 7 * 0.5 - 1.6 AS x FROM events)""")
+def derivatives_of_identity(spark, sf):
+    x = F.col("event_id") % 7 * F.lit(0.5) - F.lit(1.6)
+    d = t(spark, sf, "events").select("event_id", x.alias("x"))
+    return d.select("event_id", act.didentity("x").alias("didentity"), act.dplu("x").alias("dplu"), prep.is_integer_valued("x").alias("whole"))
+
+
+@query(f"""SELECT vec_id, round(list_sum(list_transform(range(1, len(z) + 1), lambda i: -i * z[i] / (abs(v[i]) + 1 + 1e-15))), 5) AS dcrossentropy, round(list_sum(list_transform(range(1, len(z) + 1), lambda i: i * (v[i] - z[i]))), 5) AS dsquared,
+round(list_sum(list_transform(range(1, len(z) + 1), lambda i: power(v[i] - z[i], 2))) / 2, 5) AS squared FROM {_XY}""")
+def cost_derivatives(spark, sf):
+    e = t(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("z")).withColumn("v", F.reverse("z")).withColumn("u", F.transform("v", lambda x: F.abs(x) + 1))
+    weighed = lambda a: r(F.aggregate(F.transform(a, lambda x, i: (i + 1) * x), F.lit(0.0), lambda p, q: p + q), 5)
+    return e.select("vec_id", weighed(distances.dcrossentropy("z", "u")).alias("dcrossentropy"), weighed(distances.dsquared_cost("z", "v")).alias("dsquared"), r(distances.squared_cost("z", "v"), 5).alias("squared"))
+
+
+@query("""WITH p AS (SELECT vec_id, z, list_transform(z, lambda x: exp(x) / s) AS p FROM (SELECT vec_id, z, list_sum(list_transform(z, lambda x: exp(x))) AS s FROM (SELECT vec_id, embedding[1:4]::DOUBLE[] AS z FROM embeddings)))
+SELECT vec_id, round(p[1] * (1 - p[1]), 6) AS d11, round(-p[1] * p[2], 6) AS d12, round(p[4] * (1 - p[4]), 6) AS d44, list_position(z, list_max(z))::INT AS dmax_at, round(1 / 4, 6)::DOUBLE AS dmean FROM p""")
+def jacobians(spark, sf):
+    e = t(spark, sf, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 4).alias("z"))
+    d = e.select("vec_id", act.dsoftmax("z").alias("s"), act.dmaximum("z").alias("m"), act.dmean("z").alias("a"))
+    at = lambda i, j: r(F.get(F.get("s", F.lit(i)), F.lit(j)))
+    return d.select("vec_id", at(0, 0).alias("d11"), at(0, 1).alias("d12"), at(3, 3).alias("d44"), F.array_position("m", 1.0).cast("int").alias("dmax_at"), r(F.get("a", F.lit(2))).alias("dmean"))
+
+
+_A, _B = "(l_quantity - 25)", "(l_extendedprice / 1000 - 30)"
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, round(-ln(2 * pi() * 9) - ({_A} * {_A} + {_B} * {_B}) / 18, 5) AS spherical, round(-ln(2 * pi()) - 0.5 * ln(100 * 64) - {_A} * {_A} / 200 - {_B} * {_B} / 128, 5) AS diagonal,
+round(-ln(2 * pi()) - 0.5 * ln(100 * 64 - 400) - 0.5 * (64 * {_A} * {_A} - 40 * {_A} * {_B} + 100 * {_B} * {_B}) / (100 * 64 - 400), 5) AS full_ FROM lineitem""")
+def gaussian_densities(spark, sf):
+    d = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("a"), (F.col("l_extendedprice") / 1000).alias("b"))
+    kinds = {"spherical": gmm.SphericalGaussian([25.0, 30.0], 9.0), "diagonal": gmm.DiagonalGaussian([25.0, 30.0], [100.0, 64.0]), "full_": gmm.FullGaussian([25.0, 30.0], [[100.0, 20.0], [20.0, 64.0]])}
+    return d.select("l_orderkey", "l_linenumber", *[r(m.log_density([F.col("a"), F.col("b")], [(0, 1)]), 5).alias(n) for n, m in kinds.items()])
+
+
+@query("""WITH e AS (SELECT vec_id, 1 + vec_id % 8 AS y, embedding[1:8]::DOUBLE[] AS p FROM embeddings), q AS (SELECT y, list_count(list_filter(p, lambda x: x > p[y])) AS above FROM e)
+SELECT tol::INT AS tol, round(avg((above < tol)::INT), 8) AS accuracy, round(1 - avg((above < tol)::INT), 8) AS error FROM q, range(1, 9) g(tol) GROUP BY 1""")
+def accuracy_by_tolerance(spark, sf):
+    e = t(spark, sf, "embeddings").select((1 + F.col("vec_id") % 8).alias("y"), F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("p"))
+    rows = e.select(F.inline(F.array(*[F.struct(F.lit(k).alias("tol"), pmf.accuracy_of_array("y", "p", k).alias("hit")) for k in range(1, 9)])))
+    return rows.groupBy("tol").agg(r(F.avg("hit"), 8).alias("accuracy"), r(1 - F.avg("hit"), 8).alias("error"))
+
+
+@query(_PMF + """, o AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY round(p, 12) DESC, event_type) AS k FROM p)
+SELECT round(avg((k <= 2)::INT), 8) AS top2 FROM (SELECT u.user_id, o.k FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN o ON o.user_id = u.user_id AND o.event_type = 'click')""".replace("avg((k <= 2)::INT)", "avg(coalesce(k <= 2, false)::INT)"))
+def accuracy_of_pmfs(spark, sf):
+    rounded = F.transform_values("pmf", lambda k, v: F.round(v, 12))
+    return _user_pmf(spark, sf).select(pmf.accuracy_of_map(F.lit("click"), rounded, 2).alias("hit")).agg(r(F.avg("hit"), 8).alias("top2"))
+
+
+@query("SELECT round(avg((l_returnflag <> CASE WHEN l_linestatus = 'O' THEN 'N' ELSE 'R' END)::INT), 8) AS error FROM lineitem")
+def error_rate(spark, sf):
+    d = t(spark, sf, "lineitem").select("l_returnflag", F.when(F.col("l_linestatus") == "O", "N").otherwise("R").alias("guess"))
+    return spark.createDataFrame([(round(measures.error(d, "l_returnflag", "guess"), 8),)], "error double")
+
+
+@query("""WITH g AS (SELECT c_mktsegment AS s, var_samp(c_acctbal) AS v, count(*) AS n FROM customer GROUP BY 1), a AS (SELECT * FROM g WHERE s = 'BUILDING'), b AS (SELECT * FROM g WHERE s = 'MACHINERY')
+SELECT floor(power(a.v / a.n + b.v / b.n, 2) / (power(a.v, 2) / (power(a.n, 2) * (a.n - 1)) + power(b.v, 2) / (power(b.n, 2) * (b.n - 1))))::BIGINT AS dof FROM a, b""")
+def welch_degrees(spark, sf):
+    g = {x[0]: x[1:] for x in t(spark, sf, "customer").groupBy("c_mktsegment").agg(F.var_samp("c_acctbal"), F.count(F.lit(1))).collect()}
+    (va, na), (vb, nb) = g["BUILDING"], g["MACHINERY"]
+    return spark.createDataFrame([(stats.welch_satterthwaite(va, vb, na, nb),)], "dof long")
+
+
+@query("""WITH c AS (SELECT count(*) AS n FROM orders GROUP BY o_orderpriority), x AS (SELECT sum(power(n - s / 5, 2) / (s / 5)) AS v FROM c, (SELECT sum(n) AS s FROM c))
+SELECT round(v, 6) AS value, round(exp(-v / 2) * (1 + v / 2), 6) AS p_value, v > 9.487729036781154 AS rejected FROM x""")
+def goodness_of_fit(spark, sf):
+    got = stats.goodness_of_fit_support(t(spark, sf, "orders"), "o_orderpriority", {v: 0.2 for v in PRIORITIES})
+    return spark.createDataFrame([(round(got["testValue"], 6), round(got["p_value"], 6), got["rejectedH0"])], "value double, p_value double, rejected boolean")
+
+
+@query("""WITH v AS (SELECT value / 50 AS f, row_number() OVER (ORDER BY value) AS i, count(*) OVER () AS n FROM (SELECT (event_id * 7919 % 1000 + 0.5) / 20 AS value FROM events WHERE event_id % 10 = 3)), d AS (SELECT sqrt(any_value(n)) * max(greatest(abs((i - 1) / n - f), abs(i / n - f))) AS d FROM v)
+SELECT round(d, 6) AS value, round(CASE WHEN d < 1.18 THEN 1 - sqrt(2 * pi()) / d * (SELECT sum(exp(-power(2 * k - 1, 2) * power(pi(), 2) / (8 * d * d))) FROM range(1, 40) g(k)) ELSE 2 * (SELECT sum((CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * k * k * d * d)) FROM range(1, 100) g(k)) END, 6) + 0.0 AS p_value FROM d""")
+def ks_p_value(spark, sf):
+    d = t(spark, sf, "events").where("event_id % 10 = 3").select(((F.col("event_id") * 7919 % 1000 + F.lit(0.5)) / 20).alias("v"))
+    got = stats.ks_test(d, "v", lambda x: x / 50)
+    return spark.createDataFrame([(round(got["testValue"], 6), round(got["p_value"], 6))], "value double, p_value double")
+
+
+@query("SELECT v AS value, coalesce(n, 0)::BIGINT AS count FROM (VALUES ('purchase'), ('click'), ('nothing')) s(v) LEFT JOIN (SELECT event_type, count(*) AS n FROM events GROUP BY 1) ON v = event_type")
+def density_on_support(spark, sf):
+    support = spark.createDataFrame([("purchase",), ("click",), ("nothing",)], "value string")
+    return stats.compute_density(t(spark, sf, "events"), "event_type", support)
+
+
+@query("SELECT row_number() OVER (ORDER BY min(o_orderkey)) AS place, o_orderpriority AS value FROM orders GROUP BY 2")
+def first_appearances(spark, sf):
+    got = prep.single_unique(t(spark, sf, "orders"), "o_orderpriority", "o_orderkey").collect()  # the distinct priorities
+    return spark.createDataFrame([(k, x[0]) for k, x in enumerate(got, 1)], "place long, value string")
+
+
+@query("SELECT l_orderkey, l_linenumber, k AS place, CASE k WHEN 1 THEN l_quantity WHEN 2 THEN l_extendedprice ELSE l_discount END AS x FROM lineitem, range(1, 4) g(k)")
+def matrix_as_column(spark, sf):
+    d = prep.disallow_missing(prep.allow_missing(t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *ITEM)))
+    d = prep.as_column(prep.as_features(d, ITEM), "features")
+    return d.select("l_orderkey", "l_linenumber", F.col("_at").cast("long").alias("place"), "x")
+
+
+@query("SELECT k::INT AS k, x::DOUBLE AS x FROM (VALUES (1, 3.5), (2, -1.0), (3, 7.25)) v(k, x)")
+def vector_of_row(spark, sf):
+    return prep.row_vector(spark, [3.5, -1, 7.25]).select(F.posexplode(prep.flatten(F.array("features"))).alias("k", "x")).select((F.col("k") + 1).alias("k"), "x")
+
+
+@query("SELECT c_mktsegment, round(avg(c_acctbal), 4) AS mean FROM customer GROUP BY 1")
+def running_mean(spark, sf):
+    """Means of segments, put together from the means of nations and the sizes of both by the update rule."""
+    parts = t(spark, sf, "customer").groupBy("c_mktsegment", "c_nationkey").agg(F.sum("c_acctbal").alias("s"), F.count(F.lit(1)).alias("n")).orderBy("c_mktsegment", "c_nationkey").collect()  # at most 5 x 25
+    held: dict[str, tuple[float, int]] = {}
+    for seg, _, s, n in parts:
+        mean, m = held.get(seg, (0.0, 0))
+        held[seg] = (measures.online_mean(s / n, mean, m / n), m + n)
+    return spark.createDataFrame([(k, round(v, 4)) for k, (v, _) in held.items()], "c_mktsegment string, mean double")
+
+
+@query("WITH RECURSIVE s AS (SELECT 0 AS n, range(0, 8) AS k, [1, 0, 0, 0, 0, 0, 0, 0]::BIGINT[] AS v UNION ALL SELECT n + 1, k, list_transform(range(1, 9), lambda j: CASE WHEN j = 1 THEN 0 ELSE (j - 1) * v[j] + v[j - 1] END) FROM s WHERE n < 7) SELECT unnest(range(1, 8))::INT AS k, unnest(v[2:8])::BIGINT AS number FROM s WHERE n = 7")
+def stirling_numbers(spark, sf):
+    return spark.createDataFrame([(k, stats.sterling(7, k)) for k in range(1, 8)], "k int, number long")
+
+
+@query(f"SELECT l_orderkey, l_linenumber, {_Z} FROM lineitem")
+def saved_model(spark, sf):
+    """A scaler that was saved beside another one, reset, loaded and applied."""
+    df = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *ITEM)
+    path = f"{_shared(spark)}/models-{uuid.uuid4().hex}"
+    m = prep.Scaler(method=prep.Standard(), cache=False).fit(df, ITEM)
+    model_save(spark, path, other=prep.Scaler(method=prep.MinMax(), cache=False).fit(df, ITEM))
+    model_save(spark, path, mine=m)
+    m.reset()
+    out = model_load(spark, path, "mine").transform(df)
+    return out.select("l_orderkey", "l_linenumber", *[r(c, 4).alias(c) for c in ITEM])
+
+
+def _shared(spark) -> str:
+    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+
+
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     """Three clusters of lineitem: sizes and centres."""
     df = t(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("_id"), *ITEM)
