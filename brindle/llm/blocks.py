@@ -19,7 +19,7 @@ from brindle.llm.common import as_bytes, shared_fs, write_whole
 #: Bytes of text that close a block; a longer text is a block of its own.
 BLOCK_BYTES = 8 << 20
 _SEQ_BITS = 24
-_OPTIONS = pa.ipc.IpcWriteOptions(compression="lz4")
+_OPTIONS = pa.ipc.IpcWriteOptions(compression="zstd")
 
 
 def block_rows(docs: DataFrame) -> DataFrame:

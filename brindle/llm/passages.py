@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as SparkWindow
 from pyspark.sql import functions as F
 
 from brindle.llm.blocks import BLOCK_BYTES, block_rows, groups, lay, load
@@ -40,13 +41,14 @@ ROWS_OF_CELLS = 2
 MIN_CELLS = 1 << 20
 #: Cells of a range that one task owns at a time.
 CHUNK = 1 << 22
+_LOW = 15
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 _BASE, _MIX = np.uint64(0x5851F42D4C957F2D), np.uint64(0xA0761D6478BD642F)
 _IS_WHITE = np.zeros(256, bool)
 _IS_WHITE[[32, 9, 10, 11, 12, 13]] = True
-#: Of the first pass and the answers: a block's cells in a range of the sketch; range -1 only tells that there is the block.
+#: Of the first pass and the answers: a block's cells in a range of the sketch; a range below 0 only tells that there is the block.
 CELLS = "block long, part long, cells binary"
-#: A window, or a run of windows that are known to be repeated (known = 2; 1: a window that its block has several times).
+#: A window (without last), or a run of windows that are known to be repeated (known = 2; 1: a window that its block has several times).
 FOUND = "high long, low long, block long, doc int, first long, last long, known int"
 
 
@@ -100,19 +102,36 @@ def _cells(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["block", "part", "cells"])
 
 
+def pack(offset: np.ndarray, more: np.ndarray) -> bytes:
+    """Sorted cells of a range, as places in it, and a mark each: many as counts of parts of the range and 16 bits each."""
+    if len(offset) < CHUNK >> _LOW:
+        return b"\0" + (offset << 1 | more).astype("<u4").tobytes()
+    counts = np.bincount(offset >> _LOW, minlength=CHUNK >> _LOW).astype("<u2")
+    return b"\1" + counts.tobytes() + ((offset & (1 << _LOW) - 1) << 1 | more).astype("<u2").tobytes()
+
+
+def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    if blob[0] == 0:
+        got = np.frombuffer(blob, "<u4", offset=1).astype(np.int64)
+        return got >> 1, (got & 1).astype(bool)
+    got = np.frombuffer(blob, "<u2", offset=1)
+    parts = CHUNK >> _LOW
+    low = got[parts:].astype(np.int64)
+    return np.repeat(np.arange(parts) << _LOW, got[:parts]) + (low >> 1), (low & 1).astype(bool)
+
+
 def sketch(docs: DataFrame, out: str, width: int, length: int = LENGTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Lays the blocks down; their sparse sketches."""
 
     def partial(batches):
         let_go()
         for block, texts in lay(batches, out, block_bytes):
-            rows = [(block, -1, b"")]
+            rows = [(block, -1 - block % 1024, b"")]
             for r, cells in enumerate(cells_of(window_hashes(texts, length)[2], width)):
                 cell, n = np.unique(cells, return_counts=True)
-                packed = (cell % CHUNK << 1 | (n > 1)).astype("<u4")
                 at = np.flatnonzero(np.diff(cell // CHUNK, prepend=-1))
                 for a, b in zip(at.tolist(), [*at[1:].tolist(), len(cell)][: len(at)], strict=True):
-                    rows.append((block, int(cell[a]) // CHUNK * ROWS_OF_CELLS + r, packed[a:b].tobytes()))
+                    rows.append((block, int(cell[a]) // CHUNK * ROWS_OF_CELLS + r, pack(cell[a:b] % CHUNK, n[a:b] > 1)))
             yield _cells(rows)
             del texts
             give_back()
@@ -121,21 +140,24 @@ def sketch(docs: DataFrame, out: str, width: int, length: int = LENGTH, block_by
 
 
 def answers(sketched: DataFrame) -> DataFrame:
-    """Of each block's cells, those that count two or more in the merged sketch."""
+    """A row that tells of each block (part -1), and of its cells those that count two or more in the merged sketch."""
 
     def merge(batches):
         for part, table in groups(batches):
+            blocks = table.column(1).to_pylist()
+            if part < 0:
+                yield _cells([(b, -1, b"") for b in blocks])
+                continue
             once, more = np.zeros(CHUNK, bool), np.zeros(CHUNK, bool)
-            got = [np.frombuffer(x, "<u4") for x in table.column(2).to_pylist()]
-            for packed in got:
-                cell = packed >> 1
-                more[cell] |= once[cell] | (packed & 1).astype(bool)
+            got = [unpack(x) for x in table.column(2).to_pylist()]
+            for cell, several in got:
+                more[cell] |= once[cell] | several
                 once[cell] = True
-            rows = [(b, part, (c := x >> 1)[more[c]].tobytes()) for b, x in zip(table.column(1).to_pylist(), got, strict=True)]
-            if rows := [r for r in rows if r[2]]:
+            rows = [(b, part, pack(c, np.ones(len(c), bool))) for b, c in zip(blocks, (cell[more[cell]] for cell, _ in got), strict=True) if len(c)]
+            if rows:
                 yield _cells(rows)
 
-    ranged = sketched.where("part >= 0").select("part", "block", "cells")
+    ranged = sketched.select("part", "block", "cells")
     return ranged.repartition("part").sortWithinPartitions("part").mapInArrow(merge, CELLS)
 
 
@@ -147,7 +169,7 @@ def _estimated(table: pa.Table, hashes: np.ndarray, width: int) -> np.ndarray:
         mine = sorted((p // ROWS_OF_CELLS, b) for p, b in zip(parts, blobs, strict=True) if p >= 0 and p % ROWS_OF_CELLS == r)
         if not mine:
             return np.zeros(len(hashes), bool)
-        known = np.concatenate([np.frombuffer(b, "<u4").astype(np.int64) + c * CHUNK for c, b in mine])
+        known = np.concatenate([unpack(b)[0] + c * CHUNK for c, b in mine])
         at = np.searchsorted(known, cells)
         good &= known[np.minimum(at, len(known) - 1)] == cells
     return good
@@ -187,21 +209,22 @@ def probe(told: DataFrame, out: str, width: int, length: int) -> DataFrame:
             runs = _runs(docs[again], zero, starts[again], starts[again]) if len(again) else (zero, zero, zero, zero)
             cols = [
                 np.concatenate([digest[head, 0], runs[2]]), np.concatenate([digest[head, 1], runs[0]]), np.full(len(head) + len(runs[0]), block),
-                np.concatenate([docs[head], runs[0]]).astype(np.int32), np.concatenate([starts[head], runs[2]]), np.concatenate([starts[head], runs[3]]),
+                np.concatenate([docs[head], runs[0]]).astype(np.int32), np.concatenate([starts[head], runs[2]]),
+                pa.array(np.concatenate([starts[head], runs[3]]), mask=np.arange(len(head) + len(runs[0])) < len(head)),
                 np.concatenate([(size > 1).astype(np.int32), np.full(len(runs[0]), 2, np.int32)]),
             ]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [x.split()[0] for x in FOUND.split(", ")])
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], [x.split()[0] for x in FOUND.split(", ")])
             give_back()
 
     return told.mapInArrow(run, FOUND)
 
 
 def repeated_runs(found: DataFrame) -> DataFrame:
-    """block, doc, first, last of the runs of repeated windows."""
-    window = found.where("known < 2")
-    several = window.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n"), F.max("known").alias("many")).where("n > 1 or many = 1").select("high", "low")
-    met = window.where("known = 0").join(several, ["high", "low"], "left_semi")
-    return met.unionByName(found.where("known = 2")).select("block", "doc", "first", "last")
+    """block, doc, first, last of the runs of repeated windows. One shuffle; a window has as many rows as blocks at most."""
+    same = SparkWindow.partitionBy("high", "low")
+    window = F.col("known") < 2
+    counted = found.withColumn("n", F.count_if(window).over(same)).withColumn("many", F.max(F.when(window, F.col("known"))).over(same))
+    return counted.where("known = 2 or known = 0 and (n > 1 or many = 1)").select("block", "doc", "first", F.coalesce("last", "first").alias("last"))
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -210,12 +233,11 @@ def dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = False, block_
     out, width = fresh_path(spark, "blocks"), width_for(docs)
     fs, folder = shared_fs(out)
     fs.create_dir(folder, recursive=True)
-    sketched = stage(spark, sketch(docs, out, width, length, block_bytes), "sketch")
-    known = sketched.where("part < 0")
-    n = max(known.count(), 1)  # so that a task opens about one block
-    told = known.unionByName(answers(sketched)).repartition(n, "block").sortWithinPartitions("block", "part")
-    found = stage(spark, probe(told, out, width, length), "found", narrow=True)
+    told = stage(spark, answers(sketch(docs, out, width, length, block_bytes)), "answers")
     release(spark)
+    known = told.where("part < 0")
+    n = max(known.count(), 1)  # so that a task opens about one block
+    found = probe(told.repartition(n, "block").sortWithinPartitions("block", "part"), out, width, length)
     none = F.lit(None).cast("long")
     runs = known.select("block", F.lit(-1).alias("doc"), none.alias("first"), none.alias("last")).unionByName(repeated_runs(found))
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
