@@ -21,6 +21,7 @@ ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -181,25 +182,51 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 # ----------------------------------------------------------------- matches
 
 
+#: Rows that a fold appends one by one before they are set down as one block.
+FOLD_ROWS = 256
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _running(rows: Column, after: Callable, emit: Callable, kind: str) -> Column:
+    """emit(place, row) for each row, where the place starts at 0 and moves by after(place, row).
+
+    Appending copies what is there, so rows are appended to blocks and blocks to the result:
+    a text of n matches costs n * FOLD_ROWS + (n / FOLD_ROWS) ** 2 moves at most."""
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(acc, x):
+        return F.struct(after(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(emit(acc["at"], x))).alias("out"))
+
+    def block(acc, part):
+        done = F.aggregate(part, F.struct(acc["at"].alias("at"), none.alias("out")), one)
+        return _let(done, lambda d: F.struct(d["at"].alias("at"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
+
+    def walk(xs):
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(xs), F.lit(1)), F.lit(FOLD_ROWS))
+        parts = F.transform(firsts, lambda i: F.slice(xs, i, FOLD_ROWS))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+        return F.aggregate(parts, start, block, lambda acc: F.flatten(acc["out"]))
+
+    return _let(rows, walk)
+
+
 def spans_of(text: Column, rule: Rule) -> Column:
     """start, end, kind of each match, leftmost first, those that are too short dropped."""
     pattern = F.lit(rule.pattern)
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     value = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else found
     gaps = F.split(text, rule.pattern, -1)
-    empty = F.array().cast("array<struct<start:int,end:int,kind:string,ok:boolean>>")
-    row = lambda acc, x: F.struct(
-        (acc["at"] + F.length(x["g"])).alias("start"),
-        (acc["at"] + F.length(x["g"]) + F.length(x["m"])).alias("end"),
-        F.lit(rule.kind).alias("kind"),
-        (F.length(x["v"]) >= rule.least).alias("ok"),
-    )
-    walked = F.aggregate(
-        F.filter(F.arrays_zip(gaps.alias("g"), found.alias("m"), value.alias("v")), lambda x: x["m"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, x: F.struct((acc["at"] + F.length(x["g"]) + F.length(x["m"])).alias("at"), F.concat(acc["out"], F.array(row(acc, x))).alias("out")),
-        lambda acc: acc["out"],
-    )
+    cut = F.filter(F.arrays_zip(gaps.alias("g"), found.alias("m"), value.alias("v")), lambda x: x["m"].isNotNull())
+    sized = F.transform(cut, lambda x: F.struct(F.length(x["g"]).alias("g"), F.length(x["m"]).alias("m"), (F.length(x["v"]) >= rule.least).alias("ok")))
+    walked = _running(
+        sized, lambda at, x: at + x["g"] + x["m"],
+        lambda at, x: F.struct((at + x["g"]).alias("start"), (at + x["g"] + x["m"]).alias("end"), F.lit(rule.kind).alias("kind"), x["ok"].alias("ok")),
+        "struct<start:int,end:int,kind:string,ok:boolean>",
+    )
     return F.transform(F.filter(walked, lambda x: x["ok"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
 
 
@@ -243,14 +270,21 @@ def digest(scanned: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mask: str = "[secret]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id and the text with every span replaced; overlapping spans become one mask."""
     scanned = scan(docs, rules)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda acc, x: F.when(x["end"] <= acc["at"], acc).otherwise(
-        F.struct(
-            x["end"].alias("at"),
-            F.when(x["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring("text", acc["at"] + 1, x["start"] - acc["at"]), F.lit(mask))).alias("out"),
-        )
-    )
-    done = F.aggregate("found", start, step, lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.length("text"))))
-    return scanned.select("doc_id", F.when(F.size("found") > 0, done).otherwise(F.col("text")).alias("text"))
+    # the place is the greatest end so far; a span that begins before it adds no gap
+    gaps = F.filter(
+        _running(
+            F.col("found"), lambda at, x: F.greatest(at, x["end"]),
+            lambda at, x: F.struct(at.alias("start"), F.when(x["end"] <= at, at - 1).otherwise(x["start"]).alias("end")), "struct<start:int,end:int>",
+        ),
+        lambda x: x["end"] >= x["start"],
+    )
+    last = F.struct(F.array_max(F.transform("found", lambda x: x["end"])).alias("start"), F.length("text").alias("end"))
 
+    # four bytes a character: a gap is found by its place, not by walking there; the first
+    # character keeps a gap's own from being read as a byte order mark
+    def cut(wide):
+        part = lambda x: F.concat(F.encode(F.lit("x"), "UTF-32"), F.substring(wide, 4 * x["start"] + 1, 4 * (x["end"] - x["start"])))
+        return F.array_join(F.transform(F.concat(gaps, F.array(last)), lambda x: F.substr(F.decode(part(x), "UTF-32"), F.lit(2))), mask)
 
+    done = _let(F.encode("text", "UTF-32"), cut)
+    return scanned.select("doc_id", F.when(F.size("found") > 0, done).otherwise(F.col("text")).alias("text"))

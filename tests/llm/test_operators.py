@@ -4,6 +4,7 @@ import base64
 import contextlib
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -340,6 +341,30 @@ def test_secrets(spark):
     assert secrets.digest(secrets.scan(frame(spark, []))).count() == 0
 
 
+@pytest.mark.parametrize("block", [1, 7, 256])
+def test_secrets_of_texts_with_many_matches(spark, monkeypatch, block):
+    monkeypatch.setattr(secrets, "FOLD_ROWS", block)
+    texts = ["\ufeff" + "é\U0001f600 " * i + " ".join(f"token=\u00e9 api_key: 'abc{k:06d}' AKIA{k:020d} \ufeff{k:024x}" for k in range(i * 40)) for i in range(4)]
+    texts.append("token=" + "0123456789abcdef" * 3 + "\ufeff and password=AKIA" + "Z" * 20)
+    for r, x, t in zip(rows(secrets.scan(frame(spark, texts))), rows(secrets.redact(frame(spark, texts))), texts, strict=True):
+        base = [(f.kind, f.start, f.end) for f in r.found if f.kind in secrets.BASE]
+        assert base == brute_secrets(t)
+        out, at = "", 0
+        for f in r.found:
+            if f.end > at:
+                out += t[at : f.start] + "[secret]" if f.start >= at else ""
+                at = f.end
+        assert x.text == out + t[at:]
+
+
+def test_secrets_in_linear_time(spark):
+    text = "token=abcdef " * 100_000
+    began = time.monotonic()
+    assert rows(secrets.digest(secrets.scan(frame(spark, [text]))))[0].n_assign == 100_000
+    assert len(rows(secrets.redact(frame(spark, [text])))[0].text) == 900_000
+    assert time.monotonic() - began < 60
+
+
 def test_trigram_queries_hold_for_every_match():
     assert secrets.trigram_query(r"[0-9a-f]{24,}") == secrets.TRUE and secrets.trigram_query(r"a|bcd") == secrets.TRUE
     assert secrets.trigram_query("AKIA[A-Z0-9]+") == frozenset({frozenset({"aki", "kia"})})
