@@ -30,9 +30,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import fresh_path, shared_fs, write_whole
+from brindle.llm.common import fresh_path, shared_fs, stage, unstage, write_whole
 
 ROLL_BYTES = 64 << 20
+#: Payloads with more than one in this many rows are joined where the rows stand.
+HOT_SHARE = 1000
 DATE = "2024-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FILES = "file string, n_records long, n_bytes long, part int, seq int"
@@ -100,11 +102,24 @@ def _pages(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
 
 
+def _again(pages: DataFrame, min_revisit_bytes: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The rows of ``revisits``, and the staged tables that they are read from."""
+    spark = pages.sparkSession
+    narrow = stage(spark, _pages(pages).where(F.octet_length("html") >= min_revisit_bytes).select("page_id", F.sha1("html").alias("digest")).distinct(), "payloads", narrow=True)
+    counted = narrow.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    firsts = stage(spark, counted, "firsts", narrow=True)
+    is_hot = F.col("n") * HOT_SHARE > narrow.count()
+    # fewer than HOT_SHARE payloads can have more than that share of the rows: small at any size
+    hot = F.broadcast(firsts.where(is_hot).drop("n"))
+    cold = narrow.join(hot.select("digest"), "digest", "left_anti").join(firsts.where(~is_hot).drop("n"), "digest")
+    met = narrow.join(hot, "digest").unionByName(cold)
+    return met.where("page_id is null or page_id > refers_to").select("page_id", "digest", "refers_to"), [narrow, firsts]
+
+
 def revisits(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
-    """page_id, digest and refers_to of the payloads that occur under several ids; narrow rows, combined before the shuffle."""
-    narrow = _pages(pages).where(F.octet_length("html") >= min_revisit_bytes).select("page_id", F.sha1("html").alias("digest")).distinct()
-    firsts = narrow.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return narrow.join(firsts, "digest").where("page_id is null or page_id > refers_to").select("page_id", "digest", "refers_to")
+    """page_id, digest and refers_to of the payloads that occur under several ids; narrow
+    rows, combined before the shuffle. A frequent payload's rows stay where they are."""
+    return _again(pages, min_revisit_bytes)[0]
 
 
 def write(pages: DataFrame, out: str, *, parts: int | None = None, roll_bytes: int = ROLL_BYTES, min_revisit_bytes: int = 0) -> list[tuple]:
@@ -114,7 +129,8 @@ def write(pages: DataFrame, out: str, *, parts: int | None = None, roll_bytes: i
     fs.create_dir(path, recursive=True)
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     full = _pages(pages).select("page_id", F.sha1("html").alias("digest"), F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("refers_to"))
-    other = revisits(pages, min_revisit_bytes).select("page_id", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "refers_to")
+    later, staged = _again(pages, min_revisit_bytes)
+    other = later.select("page_id", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "refers_to")
     dealt = full.unionByName(other).repartitionByRange(parts, "page_id", "digest").sortWithinPartitions("page_id", "digest", "kind", "url")
 
     def run(batches):
@@ -153,6 +169,7 @@ def write(pages: DataFrame, out: str, *, parts: int | None = None, roll_bytes: i
             yield roll()
 
     files = sorted(dealt.mapInArrow(run, FILES).collect(), key=lambda r: (r.part, r.seq))
+    unstage(*staged)
     manifest = [(r.file, r.n_records, r.n_bytes) for r in files]
     write_whole(fs, f"{path}/MANIFEST", ["".join("\t".join(map(str, r)) + "\n" for r in manifest).encode()])
     return manifest

@@ -481,6 +481,21 @@ def test_warc(spark):
     assert not [f.path for f in fs.get_file_info(__import__("pyarrow.fs").fs.FileSelector(a)) if f.path.endswith(".tmp")]
 
 
+@pytest.mark.parametrize("share", [0, 2, 4, 1000])
+def test_revisits_of_hot_payloads(spark, monkeypatch, share):
+    monkeypatch.setattr(warc, "HOT_SHARE", share)
+    htmls = [("hot", "warm", None, f"{i}")[min(3, i % 7 // 2)] for i in range(60)]
+    ids = [None, None, *range(2, 59), 58]
+    pages = spark.createDataFrame([(k, "u", h, 1, "x") for k, h in zip(ids, htmls, strict=True)], "page_id long, url string, html string, digest int, n string")
+    firsts = {}
+    for k, h in zip(ids, htmls, strict=True):
+        if k is not None:
+            firsts[h or ""] = min(k, firsts.get(h or "", k))
+    want = {(k, hashlib.sha1((h or "").encode()).hexdigest(), firsts[h or ""]) for k, h in zip(ids, htmls, strict=True) if k is None or k > firsts[h or ""]}
+    got = [tuple(r) for r in warc.revisits(pages).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_warc_damage_and_ties(spark):
     raw = warc.record_bytes(1, "u", b"abc", warc.sha1_base32(b"abc"), 0, None, False).replace(b"abc", b"abd")
     with pytest.raises(ValueError):
