@@ -221,16 +221,26 @@ def _runs(doc, copy, first, last):
 # ----------------------------------------------------------------- the rows of texts
 
 
+#: Rows of one id are numbered in this many groups by a hash of the text.
+NUMBER_GROUPS = 4096
+
+
 def prepare(docs: DataFrame) -> DataFrame:
     """doc_id, doc (the id, the least long for null), copy (numbers rows of one id), text.
 
-    Ids are counted first; only where some repeat are their rows numbered, by a window over the id."""
+    Ids are counted first; only where some repeat are their rows numbered: within (id, group
+    of texts) by a window, after the rows of the id's groups before it, which narrow counts tell.
+    So the rows of a frequent id, as null may be, are not one task's."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    if rows.groupBy("doc").count().where("count > 1").limit(1).count():
-        copy = (F.row_number().over(Window.partitionBy("doc").orderBy("text")) - 1).cast("int")
-    else:
-        copy = F.lit(0)
-    return rows.select("doc_id", "doc", copy.alias("copy"), "text")
+    if not rows.groupBy("doc").count().where("count > 1").limit(1).count():
+        return rows.select("doc_id", "doc", F.lit(0).alias("copy"), "text")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(NUMBER_GROUPS)))
+    earlier = Window.partitionBy("doc").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("doc", "part").agg(F.count(F.lit(1)).alias("n"))
+    firsts = sizes.select("doc", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
+    within = F.row_number().over(Window.partitionBy("doc", "part").orderBy("text")) - 1
+    numbered = rows.withColumn("within", within).join(firsts, ["doc", "part"])
+    return numbered.select("doc_id", "doc", (F.col("first") + F.col("within")).cast("int").alias("copy"), "text")
 
 
 def in_blocks(texts, units_of, setting: Setting):

@@ -283,6 +283,16 @@ def test_repeated_and_null_ids(spark):
         assert op.dedup(frame(spark, [])).count() == 0 and op.dedup(frame(spark, [None])).first().n_removed == 0
 
 
+@pytest.mark.parametrize("groups", [1, 3, 4096])
+def test_rows_of_one_id_are_numbered(spark, monkeypatch, groups):
+    monkeypatch.setattr(repeats, "NUMBER_GROUPS", groups)
+    ids = [None] * 20 + [5] * 9 + [6, 7]
+    texts = [f"t{i % 8}" if i % 5 else None for i in range(len(ids))]
+    got = repeats.prepare(frame(spark, texts, ids)).collect()
+    assert sorted((r.doc, r.copy) for r in got) == sorted([(repeats.LEAST_ID, i) for i in range(20)] + [(5, i) for i in range(9)] + [(6, 0), (7, 0)])
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted((str(i), t or "") for i, t in zip(ids, texts, strict=True))
+
+
 def test_sketch_never_underestimates(spark):
     """The sum over blocks of each window's count is never above the merged sketch's lesser cell, as far as "two or more" tells."""
     texts = [prose(200)] * 2 + [prose(300) for _ in range(20)]
