@@ -195,7 +195,8 @@ def grow(x: list[np.ndarray], y: np.ndarray, ids: np.ndarray, plan: Plan, tree:
 def split_candidates(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], numeric: Sequence[bool], label: str, classes: list | None) -> DataFrame:
     """Every candidate split of every node with its side's statistics, by prefix sums over the values.
 
-    Partial sums by (node, feature, value) go over the shuffle; the window runs over distinct values."""
+    t are the statistics of the true side, k those of all rows that know the feature. Partial sums by
+    (node, feature, value) go over the shuffle; both windows run over distinct values, in one sort."""
     keys = list(keys)
     stats = [F.count_if(F.col(label) == k).cast("double").alias(f"s{k}") for k in range(len(classes))] if classes is not None else [F.count(F.lit(1)).cast("double").alias("s0"), F.sum(label).alias("s1"), F.sum(F.col(label) * F.col(label)).alias("s2")]
     names = [f"s{i}" for i in range(len(stats))]
@@ -203,11 +204,15 @@ def split_candidates(rows: DataFrame, keys: Sequence[str], columns: Sequence[str
     cells = F.filter(cells, lambda e: e["v"].isNotNull() | e["c"].isNotNull())
     per = rows.select(*keys, "_id", label, F.inline(cells)).groupBy(*keys, "f", "v", "c").agg(*stats, F.min("_id").alias("first"))
     up = Window.partitionBy(*keys, "f").orderBy(F.desc_nulls_last("v")).rowsBetween(Window.unboundedPreceding, 0)
-    return per.select(*keys, "f", "v", "c", "first", *[F.when(F.col("v").isNotNull(), F.sum(s).over(up)).otherwise(F.col(s)).alias(f"t{s[1:]}") for s in names])
+    known = Window.partitionBy(*keys, "f")
+    true = [F.when(F.col("v").isNotNull(), F.sum(s).over(up)).otherwise(F.col(s)).alias(f"t{s[1:]}") for s in names]
+    return per.select(*keys, "f", "v", "c", "first", *true, *[F.sum(s).over(known).alias(f"k{s[1:]}") for s in names])
 
 
-def best_splits(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], numeric: Sequence[bool], label: str, criterion: str, classes: list | None, allowed: DataFrame | None = None) -> DataFrame:
-    """The best split of each node: gain, feature, value (v or c) and the true side's statistics."""
+def best_splits(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], numeric: Sequence[bool], label: str, criterion: str | Callable, classes: list | None, allowed: DataFrame | None = None) -> DataFrame:
+    """The best split of each node: gain, feature, value (v or c), rows of the true side and their share.
+
+    Rows that miss the feature are dealt to both sides by the shares of those that know it."""
     keys = list(keys)
     got = split_candidates(rows, keys, columns, numeric, label, classes)
     m = len(classes) if classes is not None else 3
@@ -219,17 +224,29 @@ def best_splits(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], nu
     if allowed is not None:
         got = got.join(F.broadcast(allowed), [*keys, "f"])  # max_features rows a node
     impurity = _impurity_column(criterion, classes is not None)
-    true, whole = [F.col(f"t{i}") for i in range(m)], [F.col(f"a{i}") for i in range(m)]
-    false = [a - t for a, t in zip(whole, true, strict=True)]
     size = (lambda xs: sum(xs[1:], xs[0])) if classes is not None else (lambda xs: xs[0])
-    n, nt = size(whole), size(true)
+    there, known, whole = ([F.col(f"{s}{i}") for i in range(m)] for s in "tka")
+    n, share = size(whole), size(there) / size(known)
+    gaps = n > size(known)  # without any, sums of another order must not leave a remainder
+    true = [t + F.when(gaps, share * (a - k)).otherwise(0.0) for t, k, a in zip(there, known, whole, strict=True)]
+    false = [a - t for a, t in zip(whole, true, strict=True)]
+    nt = size(true)
     gain = impurity(whole) - nt / n * impurity(true) - (1 - nt / n) * impurity(false)
-    scored = got.where((nt > 0) & (nt < n)).withColumn("gain", F.round(gain, 12))
-    pick = F.max_by(F.struct("gain", "f", "v", "c", nt.alias("n_true"), n.alias("n")), F.struct("gain", "f", "first", F.coalesce("v", F.lit(0.0)))).alias("b")
+    scored = got.where((nt > 1e-9) & (nt < n - 1e-9)).withColumn("gain", F.round(gain, 12))
+    pick = F.max_by(F.struct("gain", "f", "v", "c", nt.alias("n_true"), n.alias("n"), share.alias("p_true")), F.struct("gain", "f", "first", F.coalesce("v", F.lit(0.0)))).alias("b")
     return scored.groupBy(*keys).agg(pick).select(*keys, "b.*")
 
 
-def _impurity_column(criterion: str, classification: bool) -> Callable[[list[Column]], Column]:
+def _impurity_column(criterion: str | Callable, classification: bool) -> Callable[[list[Column]], Column]:
+    """Impurity of a node's statistics; a function of your own sees them in Arrow batches, a row a candidate."""
+    if not isinstance(criterion, str):
+
+        def own(stats: pd.Series) -> pd.Series:
+            return pd.Series(np.asarray(criterion(np.stack(stats.to_list())), float) if len(stats) else [], dtype=float)
+
+        udf = F.pandas_udf(own, "double")
+        return lambda s: udf(F.array(*s))
+
     def f(s: list[Column]) -> Column:
         if not classification:
             n = F.greatest(s[0], F.lit(1.0))
@@ -249,7 +266,9 @@ def build(rows: DataFrame, columns: list[str], plan: Plan, trees: list[int], loc
     roots: dict[int, Node] = {}
     places: dict[tuple[int, int], Node] = {}
     now = rows.withColumn("_node", F.lit(1).cast("long"))
-    sizes = {(r["_tree"], r["_node"]): r["n"] for r in now.groupBy("_tree", "_node").agg(F.count(F.lit(1)).alias("n")).collect()}
+    met = now.groupBy("_tree", "_node").agg(F.count(F.lit(1)).alias("n"), F.avg("_y").alias("y")).collect()
+    sizes = {(r["_tree"], r["_node"]): r["n"] for r in met}
+    centre = float(np.mean([r["y"] for r in met])) if met else 0.0  # squares of labels far from 0 lose digits
     for t in trees:
         roots[t] = places[t, 1] = Node(1, sizes.get((t, 1), 0))
     local: list[DataFrame] = []
@@ -266,10 +285,8 @@ def build(rows: DataFrame, columns: list[str], plan: Plan, trees: list[int], loc
         allowed = None
         if plan.max_features < len(columns):
             allowed = now.sparkSession.createDataFrame([(t, k, f) for t, k in sorted(large) for f in _features(plan, t, k)], "_tree int, _node long, f int")
-        if isinstance(plan.criterion, str):
-            got = best_splits(frontier, ["_tree", "_node"], columns, plan.numeric, "_y", plan.criterion, plan.classes, allowed).collect()
-        else:
-            raise ValueError("a criterion of your own works on nodes of at most local_rows rows")
+        centred = frontier if plan.classes is not None else frontier.withColumn("_y", F.col("_y") - F.lit(centre))
+        got = best_splits(centred, ["_tree", "_node"], columns, plan.numeric, "_y", plan.criterion, plan.classes, allowed).collect()
         side, next_sizes = None, {}
         split = set()
         for r in got:
@@ -278,7 +295,7 @@ def build(rows: DataFrame, columns: list[str], plan: Plan, trees: list[int], loc
                 continue
             q = Question(r["f"], r["v"] if plan.numeric[r["f"]] else r["c"], plan.numeric[r["f"]])
             split.add((r["_tree"], r["_node"]))
-            here.question, here.p_true = q, r["n_true"] / r["n"]
+            here.question, here.p_true = q, r["p_true"]
             c = F.col(columns[q.column])
             test = c >= F.lit(q.value) if q.numeric else c.cast("string") == F.lit(str(q.value))
             draw = F.pmod(F.xxhash64("_id", "_node", F.lit(plan.seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +96,40 @@ def test_forest_stops_where_another_tree_splits(spark):
     assert m.predict().where("abs(aggregate(map_values(prediction), 0D, (a, b) -> a + b) - 1) < 1e-9").count() == 400
 
 
+@pytest.mark.parametrize("label", ["y", "k"])
+def test_missing_rows_are_dealt_alike_at_every_size(spark, label):
+    rows = [[N if i % 3 == 0 else float(i * 7 % 40), N if i % 4 == 1 else "pqr"[i % 3], 1e6 + (i * 7 % 40) * 2.0 + i % 3, "s" if i * 7 % 40 > 17 else "t"] for i in range(90)]
+    df = in_memory(spark, rows, ["a", "c", "y", "k"], ["double", "string", "double", "string"])
+    for criterion in (None, "entropy" if label == "k" else "variance", own_gini if label == "k" else own_variance):
+        small, large = (trees.DecisionTreeEstimator(max_depth=2, splitting_criterion=criterion, local_rows=n).fit(df, ["a", "c"], label).par["trees"][0] for n in (1000, 50))
+        assert str(small.question) == str(large.question) and small.p_true == pytest.approx(large.p_true, abs=0.1)
+        assert large.true.npoints + large.false.npoints == 90 and large.true.prediction is not None
+
+
+def own_gini(counts):
+    p = counts / np.maximum(counts.sum(-1, keepdims=True), 1)
+    return (p * (1 - p)).sum(-1)
+
+
+def own_variance(moments):
+    n = np.maximum(moments[..., 0], 1)
+    return moments[..., 2] / n - (moments[..., 1] / n) ** 2
+
+
+@pytest.mark.parametrize("kind", [gmm.GaussianMixtureRegressor, gmm.GaussianMixtureRegressor2])
+def test_regressors_of_documented_example(spark, kind):
+    x = [[1.1, 10.1], [0.9, 9.8], [10.0, 1.1], [12.1, 0.8], [0.8, 9.8]]
+    df = in_memory(spark, [[a, b, 2 * a - b] for a, b in x], ["a", "b", "y"])
+    m = kind(n_classes=2).fit(df, ["a", "b"], ["y"])
+    assert [p[0] if isinstance(p, list) else p for p in column(m.predict(), "prediction")] == pytest.approx([-8.033333333333333] * 2 + [21.15] * 2 + [-8.033333333333333], abs=1e-6)
+    one = column(m.predict(in_memory(spark, [[11.0, 0.9]], ["a", "b"])), "prediction")[0]
+    assert (one[0] if isinstance(one, list) else one) == pytest.approx(21.15, abs=1e-6)
+
+
+TRAIN = [[0.1, 0.2, 0.3], [0.3, 0.5, 0.8], [0.4, 0.1, 0.5], [0.5, 0.4, 0.9], [0.7, 0.9, 1.6], [0.2, 0.1, 0.3]]
+TEST = [[0.5, 0.6, 1.1], [0.14, 0.2, 0.36], [0.3, 0.7, 1.0], [2.0, 4.0, 6.0]]
+
+
 def test_regressors(spark):
     df = in_memory(spark, [[1.1, 0.1, 2.1], [1.2, 0.2, 2.2], [10.5, 1.0, 20.0], [10.6, 1.1, 20.1]], ["a", "b", "y"])
     for kind in (gmm.GaussianMixtureRegressor, gmm.GaussianMixtureRegressor2):
