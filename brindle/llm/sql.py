@@ -1,8 +1,7 @@
 """DuckDB SQL for those queries of the operators that SQL can express on whole tables.
 
-Learned results (2, 5, 10, the pipeline), a tokenizer's ids (6), XXH64 with a seed
-(9) and positions of regular expression matches over many rules (4) are tested
-against brute force instead.
+Learned results (2, 5, 10, the pipeline), a tokenizer's ids (6) and XXH64 with a seed
+(9) are tested against brute force instead.
 """
 
 from __future__ import annotations
@@ -11,6 +10,30 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _FOLD_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _WHITE_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+
+def _either_case(word: str) -> str:
+    """The engine's own flag for case would also fold letters outside ASCII."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+#: kind, pattern, the least code points of a match's group, and that group.
+_SECRETS = (
+    ("assign", "(" + "|".join(map(_either_case, ("password", "passwd", "secret", "token", "api_?key"))) + r""")["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 6, 2),
+    ("access", "AKIA[A-Z0-9]+", 20, 0),
+    ("hex", "[0-9a-f]+", 24, 0),
+    ("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 1, 0),
+    ("github", "gh[pousr]_[A-Za-z0-9]{36,}", 1, 0),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", 1, 0),
+    ("google", "AIza[0-9A-Za-z_-]{35}", 1, 0),
+    ("stripe", "[sr]k_live_[0-9A-Za-z]{16,}", 1, 0),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 1, 0),
+)
+#: Matches of each kind; the texts between them and their own lengths give the places.
+_FOUND = " UNION ALL ".join(
+    f"SELECT doc_id, '{kind}' AS kind, {n} AS rank, {least} AS least, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {group}) AS v, string_split_regex(t, '{pattern}') AS g FROM doc"
+    for n, (kind, pattern, least, group) in enumerate(_SECRETS)
+)
+
 ORACLES: dict[str, str] = {
     "op1_decontaminate": f"""
         WITH item AS (SELECT item_id, {_FOLD_WORDS} AS w FROM benchmark),
@@ -42,6 +65,21 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
                sha256(unhex(coalesce(k, h))) AS kept_sha256
         FROM doc LEFT JOIN kept USING (doc_id)""",
+    "op4_secrets": f"""
+        WITH doc AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        found AS ({_FOUND}),
+        each AS (SELECT doc_id, kind, rank, least, unnest(range(1, len(m) + 1)) AS k, m, v, g FROM found),
+        size AS (SELECT doc_id, kind, rank, k, length(g[k]) AS gap, length(m[k]) AS n, length(v[k]) >= least AS ok FROM each),
+        span AS (SELECT doc_id, kind, rank, ok, (sum(gap + n) OVER (PARTITION BY doc_id, rank ORDER BY k))::BIGINT AS e, n FROM size),
+        kept AS (SELECT doc_id, kind, rank, e - n AS s, e, kind || ':' || (e - n) || ':' || e AS x FROM span WHERE ok),
+        total AS (
+            SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+                   string_agg(x, ',' ORDER BY s, rank, e) FILTER (rank < 3) AS base, string_agg(x, ',' ORDER BY s, rank, e) AS every
+            FROM kept GROUP BY doc_id
+        )
+        SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+               sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans
+        FROM doc LEFT JOIN total USING (doc_id)""",
     "op7_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, octet_length(encode(html)) AS n, sha1(html) AS h, min(page_id) OVER (PARTITION BY html) AS first_id FROM p),
