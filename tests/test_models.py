@@ -130,6 +130,24 @@ TRAIN = [[0.1, 0.2, 0.3], [0.3, 0.5, 0.8], [0.4, 0.1, 0.5], [0.5, 0.4, 0.9], [0.
 TEST = [[0.5, 0.6, 1.1], [0.14, 0.2, 0.36], [0.3, 0.7, 1.0], [2.0, 4.0, 6.0]]
 
 
+@pytest.mark.parametrize("optimiser,want", [(nn.SGD(eta=lambda t: 1 / (1 + t), multiplicative=1.0), 1.599729991966362), (nn.ADAM(), 0.9497779759064725)])
+def test_network_from_given_weights(spark, optimiser, want):
+    layers = [nn.DenseLayer(2, 3, np.tanh, w=np.ones((3, 2)), wb=np.zeros(3)), nn.DenseNoBiasLayer(3, 2, nn.relu, w=np.ones((2, 3))), nn.DenseLayer(2, 1, nn.identity, w=np.ones((1, 2)), wb=[0.0])]
+    m = nn.NeuralNetworkEstimator(layers=layers, batch_size=1, shuffle=False, epochs=100, opt_alg=optimiser, onfail="continue").fit(in_memory(spark, TRAIN, ["a", "b", "y"]), ["a", "b"], "y")
+    test = np.array(TEST)
+    assert m.par["nn"].loss(test[:, :2], test[:, 2:]) == pytest.approx(want)
+
+
+def test_kernel_perceptron_in_order():
+    x = np.array([[3, 4, 5], [5, 3, 5], [3, 7, 2], [8, 5, 3], [4, 2, 3], [3, 2, 1], [8, 3, 4], [3, 5, 1], [1, 9, 3], [4, 2, 1]], float)
+    fresh = np.array([[3, 7, 2], [2, 2, 3], [3, 2, 2], [4, 1, 2], [4, 3, 2]], float)
+    score = lambda v: 0.5 * v[:, 0] + 0.2 * v[:, 1] ** 2 + 0.3 * v[:, 2] + 1
+    y, want = (np.where(score(v) > np.median(score(v)), 1, -1) for v in (x, fresh))
+    a, _, _ = linear.kernel_perceptron_binary(x, y, np.ones(len(x)), kernel=linear.radial, epochs=1000, shuffle=False, seed=1)
+    got = np.where(linear.radial(fresh, x) @ (y * a) > 0, 1, -1)
+    assert got.tolist() == [1, -1, -1, -1, -1] and (got != want).mean() == pytest.approx(0.2)
+
+
 def test_regressors(spark):
     df = in_memory(spark, [[1.1, 0.1, 2.1], [1.2, 0.2, 2.2], [10.5, 1.0, 20.0], [10.6, 1.1, 20.1]], ["a", "b", "y"])
     for kind in (gmm.GaussianMixtureRegressor, gmm.GaussianMixtureRegressor2):
