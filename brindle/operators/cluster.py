@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from brindle.functions.arrays import bind, vector
 from brindle.functions.distances import Distance, l2_distance, nearest
 from brindle.operators.base import Model, shuffled_key
-from brindle.operators.measures import pairwise
+from brindle.operators.measures import blocks_for, pairwise
 
 
 def grid(lows: Sequence[float], highs: Sequence[float], k: int) -> list[list[float]]:
@@ -45,11 +45,12 @@ def kmeans_update(df: DataFrame, columns: Sequence[str], cluster: str = "cluster
     return df.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.col(c).cast("double")).alias(c) for c in columns])
 
 
-def kmedoids_update(df: DataFrame, id_col: str, features: str, cluster: str = "cluster", distance: Distance = l2_distance, blocks: int = 8) -> DataFrame:
+def kmedoids_update(df: DataFrame, id_col: str, features: str, cluster: str = "cluster", distance: Distance = l2_distance, blocks: int | None = None) -> DataFrame:
     """The member of each cluster with the least sum of distances to the others, the first of equals.
 
     Pairs within a cluster are this operator's definition; blocks of members keep any
-    one cluster from being one task."""
+    one cluster from being one task, and grow with the rows unless given."""
+    blocks = blocks or blocks_for(df.count(), 8)
     block = F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int")
     rows = df.select(F.col(id_col).alias("i"), F.col(cluster).alias("k"), F.col(features).alias("x"), block.alias("b"))
     spread = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))

@@ -67,12 +67,22 @@ def online_mean(new: float, mean: float = 0.0, n: int = 0) -> float:
 # ---------------------------------------------------------------- pairs
 
 
-def pairwise(df: DataFrame, id_col: str, features: str, distance: Distance = l2_distance, blocks: int = 16) -> DataFrame:
+#: Rows of a block, so that a task meets its square in pairs at most.
+BLOCK_ROWS = 4096
+
+
+def blocks_for(n: int, least: int) -> int:
+    """How many blocks n rows are dealt into: they grow with the rows, so a pair of blocks does not."""
+    return max(least, -(-n // BLOCK_ROWS))
+
+
+def pairwise(df: DataFrame, id_col: str, features: str, distance: Distance = l2_distance, blocks: int | None = None) -> DataFrame:
     """i, j, distance of all pairs, both ways: the result itself is quadratic.
 
     Rows are dealt into blocks and each pair of blocks is one key of an equi-join,
     so no task meets all rows and nothing is broadcast; distances are computed
-    for i >= j and mirrored."""
+    for i >= j and mirrored. Unless given, blocks are counted from the rows."""
+    blocks = blocks or blocks_for(df.count(), 16)
     block = F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int")
     rows = df.select(F.col(id_col).alias("i"), F.col(features).alias("x"), block.alias("b"))
     left = rows.select("i", "x", "b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("c"))

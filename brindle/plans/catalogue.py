@@ -301,6 +301,21 @@ def kmedoids_fit(spark, sf):
     return cluster.KMedoidsClusterer(n_classes=3, initialisation_strategy="grid", max_iter=20).fit(df, ["s_acctbal"]).predict().select("s_suppkey", "prediction")
 
 
+def _number_splits(levels: int, source: str, columns: tuple[str, ...]) -> str:
+    """Tables n0, n1, ... of the rows of ``source`` (id, the columns, y) and their nodes, level by level of a regression tree; rows without y only follow."""
+    out = [f"n0 AS (SELECT *, 1 AS node FROM ({source}))"]
+    value = "CASE q.f " + " ".join(f"WHEN {k} THEN n.{c}" for k, c in enumerate(columns, 1)) + " END"
+    for i in range(levels):
+        each = " UNION ALL ".join(f"SELECT node, {k} AS f, {c} AS x, count(*) AS n, sum(y - m) AS s FROM n{i} JOIN w{i} USING (node) WHERE y IS NOT NULL GROUP BY ALL" for k, c in enumerate(columns, 1))
+        out.append(f"""w{i} AS (SELECT node, count(y)::DOUBLE AS an, avg(y) AS m FROM n{i} GROUP BY 1),
+v{i} AS ({each}),
+c{i} AS (SELECT node, f, x, sum(n) OVER r AS n, sum(s) OVER r AS s FROM v{i} WINDOW r AS (PARTITION BY node, f ORDER BY x DESC ROWS UNBOUNDED PRECEDING)),
+g{i} AS (SELECT node, f, x, round(s * s / n / an + s * s / (an - n) / an, 9) AS gain FROM c{i} JOIN w{i} USING (node) WHERE n < an),
+b{i} AS MATERIALIZED (SELECT node, arg_max(f, (gain, f, x)) AS f, arg_max(x, (gain, f, x)) AS x FROM g{i} GROUP BY node),
+n{i + 1} AS MATERIALIZED (SELECT n.* EXCLUDE (node), CASE WHEN q.f IS NULL THEN n.node WHEN {value} >= q.x THEN 2 * n.node ELSE 2 * n.node + 1 END AS node FROM n{i} n LEFT JOIN b{i} q USING (node))""")
+    return "WITH " + ",\n".join(out) + "\n"
+
+
 # ---------------------------------------------------------------- mixtures
 
 _MIX = [(0.5, 2000.0, 4.0e6), (0.5, 7000.0, 9.0e6)]
@@ -414,10 +429,11 @@ def rf_imputer(spark, sf):
     return impute.RandomForestImputer(n_trees=5, max_depth=6).fit(df, ["price", "size", "brand"]).predict().select("_id", "price", "size", "brand")
 
 
-@query()
+@query(_number_splits(4, "SELECT p_partkey AS id, p_size::DOUBLE AS a, CASE WHEN p_partkey % 5 != 0 THEN p_retailprice END AS y FROM part", ("a",)) + "SELECT id AS _id, round(coalesce(y, avg(y) OVER (PARTITION BY node)), 6) AS price, a AS size FROM n4")
 def general_imputer(spark, sf):
     df = _parts(spark, sf)
-    return impute.GeneralImputer(estimator=trees.DecisionTreeEstimator(max_depth=5)).fit(df, ["price", "size"]).predict().select("_id", "price", "size")
+    got = impute.GeneralImputer(estimator=trees.DecisionTreeEstimator(max_depth=5)).fit(df, ["price", "size"]).predict()
+    return got.select("_id", r("price").alias("price"), "size")
 
 
 # ---------------------------------------------------------------- measures
@@ -624,19 +640,6 @@ n{i + 1} AS MATERIALIZED (SELECT id, a, b, seg, y, CASE WHEN q.f IS NULL THEN n.
     return ",\n".join(out) + f"\nSELECT id AS _id, round(avg(y) OVER (PARTITION BY node), 6) AS rich FROM n{levels}"
 
 
-def _number_splits(levels: int) -> str:
-    """Means of the leaves of a regression tree of so many levels of splits."""
-    out = ["WITH n0 AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_quantity AS a, l_discount AS b, l_extendedprice / 1000 AS y, 1 AS node FROM lineitem)"]
-    for i in range(levels):
-        out.append(f"""w{i} AS (SELECT node, count(*)::DOUBLE AS an, avg(y) AS m FROM n{i} GROUP BY 1),
-v{i} AS (SELECT node, 1 AS f, a AS x, count(*) AS n, sum(y - m) AS s FROM n{i} JOIN w{i} USING (node) GROUP BY ALL UNION ALL SELECT node, 2, b, count(*), sum(y - m) FROM n{i} JOIN w{i} USING (node) GROUP BY ALL),
-c{i} AS (SELECT node, f, x, sum(n) OVER r AS n, sum(s) OVER r AS s FROM v{i} WINDOW r AS (PARTITION BY node, f ORDER BY x DESC ROWS UNBOUNDED PRECEDING)),
-g{i} AS (SELECT node, f, x, round(s * s / n / an + s * s / (an - n) / an, 9) AS gain FROM c{i} JOIN w{i} USING (node) WHERE n < an),
-b{i} AS MATERIALIZED (SELECT node, arg_max(f, (gain, f, x)) AS f, arg_max(x, (gain, f, x)) AS x FROM g{i} GROUP BY node),
-n{i + 1} AS MATERIALIZED (SELECT id, a, b, y, CASE WHEN q.f IS NULL THEN n.node WHEN CASE q.f WHEN 1 THEN n.a ELSE n.b END >= q.x THEN 2 * n.node ELSE 2 * n.node + 1 END AS node FROM n{i} n LEFT JOIN b{i} q USING (node))""")
-    return ",\n".join(out) + f"\nSELECT id AS _id, round(avg(y) OVER (PARTITION BY node), 6) AS prediction FROM n{levels}"
-
-
 @query(_class_splits(2))
 def tree_fit(spark, sf):
     got = trees.DecisionTreeEstimator(max_depth=6).fit(_customers(spark, sf), ["a", "b", "seg"], "y").predict()
@@ -647,7 +650,7 @@ def _rich(got):
     return got.select("_id", r(F.coalesce(F.try_element_at("prediction", F.lit("rich")), F.lit(0.0))).alias("rich"))
 
 
-@query(_number_splits(3))
+@query(_number_splits(3, "SELECT l_orderkey * 10 + l_linenumber AS id, l_quantity AS a, l_discount AS b, l_extendedprice / 1000 AS y FROM lineitem", ("a", "b")) + "SELECT id AS _id, round(avg(y) OVER (PARTITION BY node), 6) AS prediction FROM n3")
 def tree_fit_distributed(spark, sf):
     """Split by Spark level by level, down to nodes of 2,000 rows."""
     d = t(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("_id"), "l_quantity", "l_discount", (F.col("l_extendedprice") / 1000).alias("y"))
