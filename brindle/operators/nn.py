@@ -92,6 +92,56 @@ def dcrossentropy(y, p):
 
 COST_DERIVATIVES: dict[Callable, Callable] = {squared_cost: dsquared_cost, crossentropy: dcrossentropy}
 
+# ---------------------------------------------------------------- gradients
+
+
+class Learnable:
+    """The arrays of one layer's parameters or gradients, with arithmetic array by array.
+
+    The other side is a Learnable of as many arrays, or a number for each of them."""
+
+    def __init__(self, *data: np.ndarray):
+        self.data = tuple(np.asarray(d, float) for d in data)
+
+    def _with(self, other: Any, f: Callable) -> Learnable:
+        others = other.data if isinstance(other, Learnable) else (other,) * len(self.data)
+        return Learnable(*[f(a, b) for a, b in zip(self.data, others, strict=True)])
+
+    def __add__(self, other):
+        return self._with(other, np.add)
+
+    def __sub__(self, other):
+        return self._with(other, np.subtract)
+
+    def __mul__(self, other):
+        return self._with(other, np.multiply)
+
+    def __truediv__(self, other):
+        return self._with(other, np.divide)
+
+    def __rsub__(self, other):
+        return -self + other
+
+    def __rtruediv__(self, other):
+        return self._with(other, lambda a, b: b / a)
+
+    __radd__, __rmul__ = __add__, __mul__  # sum() begins with 0
+
+    def __neg__(self):
+        return self * -1.0
+
+    def sqrt(self) -> Learnable:
+        return Learnable(*map(np.sqrt, self.data))
+
+    def __eq__(self, other):
+        return isinstance(other, Learnable) and len(self.data) == len(other.data) and all(map(np.array_equal, self.data, other.data))
+
+    __hash__ = None
+
+    def __repr__(self):
+        return f"Learnable of shapes {', '.join(str(d.shape) for d in self.data)}"
+
+
 # ---------------------------------------------------------------- layers
 
 
@@ -116,6 +166,9 @@ class Layer:
     def set_params(self, params: list[np.ndarray]) -> None:
         self.params = [np.asarray(p, float) for p in params]
 
+    def get_learnable(self) -> Learnable:
+        return Learnable(*self.get_params())
+
     def n_params(self) -> int:
         return sum(p.size for p in self.params)
 

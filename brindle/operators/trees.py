@@ -401,6 +401,39 @@ def leaves(node: Node) -> list[Node]:
     return [node] if node.question is None else leaves(node.true) + leaves(node.false)
 
 
+@dataclass
+class TreeView:
+    """A node as other tree tools walk it: its children, its value and, on request, the nodes below it in preorder."""
+
+    node: Node
+    names: Sequence[str] | None = None
+    classes: Sequence[Any] | None = None
+
+    def children(self) -> list[TreeView]:
+        """The true and the false branch, or none of a leaf."""
+        return [] if self.node.question is None else [TreeView(n, self.names, self.classes) for n in (self.node.true, self.node.false)]
+
+    def value(self) -> str:
+        q = self.node.question
+        if q is None:
+            p = self.node.prediction
+            if isinstance(p, dict) and self.classes:
+                p = {k: p[k] for k in self.classes if k in p}
+            return f"{p}"
+        return str(q) if self.names is None else f"{self.names[q.column]} {'>=' if q.numeric else '=='} {q.value}?"
+
+    def __iter__(self):
+        stack = [self]
+        while stack:
+            here = stack.pop()
+            yield here
+            stack += reversed(here.children())
+
+
+def wrap(node: Node, names: Sequence[str] | None = None, classes: Sequence[Any] | None = None) -> TreeView:
+    return TreeView(node, names, classes)
+
+
 def depths_of(node: Node) -> tuple[float, int]:
     """Mean and greatest depth of the leaves."""
     d = [x.depth for x in leaves(node)]

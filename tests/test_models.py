@@ -62,6 +62,9 @@ def test_tree_classes(spark):
     assert column(m.predict_ignoring(df, ["c2"]), "prediction")[4] == pytest.approx({"Grape": 0.5, "Lemon": 0.25, "Apple": 0.25})
     assert column(m.predict_ignoring(df, ["c1"]), "prediction")[4] == pytest.approx({"Lemon": 1 / 3, "Apple": 2 / 3})
     assert m.info()["avg_depth"] == pytest.approx(8 / 3) and m.info()["max_reached_depth"] == 3
+    view = trees.wrap(m.par["trees"][0], ["c1", "c2"], ["Apple", "Grape", "Lemon"])
+    assert [v.value() for v in view] == ["c2 == 1.0?", "{'Grape': 1.0}", "c1 == Yellow?", "{'Apple': 0.5, 'Lemon': 0.5}", "{'Apple': 1.0}"]
+    assert len(view.children()) == 2 and view.children()[0].children() == []
     assert m.nodes(spark).count() == 5 and "Is c2 == 1.0" in m.to_text() and trees.to_dot(m.par["trees"][0]).startswith("digraph")
 
 
@@ -138,6 +141,16 @@ def test_network_from_given_weights(spark, optimiser, want):
     assert m.par["nn"].loss(test[:, :2], test[:, 2:]) == pytest.approx(want)
 
 
+def test_learnable_arithmetic():
+    a, b = nn.Learnable([[1.0, 2.0]], [4.0]), nn.Learnable([[3.0, 2.0]], [16.0])
+    assert a + b == sum([a, b]) == nn.Learnable([[4.0, 4.0]], [20.0]) and b - a == nn.Learnable([[2.0, 0.0]], [12.0]) == -(a - b)
+    assert a * b == nn.Learnable([[3.0, 4.0]], [64.0]) and b / a == nn.Learnable([[3.0, 1.0]], [4.0]) and 2 * a / 4 == a * 0.5 and b.sqrt().data[1] == 4.0
+    assert 1 - a == nn.Learnable([[0.0, -1.0]], [-3.0]) and 4 / a == nn.Learnable([[4.0, 2.0]], [1.0]) and a != nn.Learnable([[1.0, 2.0]])
+    with pytest.raises(ValueError):
+        a + nn.Learnable([1.0])
+    assert [d.shape for d in nn.DenseLayer(2, 3).get_learnable().data] == [(3, 2), (3,)]
+
+
 def test_kernel_perceptron_in_order():
     x = np.array([[3, 4, 5], [5, 3, 5], [3, 7, 2], [8, 5, 3], [4, 2, 3], [3, 2, 1], [8, 3, 4], [3, 5, 1], [1, 9, 3], [4, 2, 1]], float)
     fresh = np.array([[3, 7, 2], [2, 2, 3], [3, 2, 2], [4, 1, 2], [4, 3, 2]], float)
