@@ -187,6 +187,28 @@ def test_networks(spark):
     assert len(column(a.predict(), "encoded")[0]) == 1 and len(column(a.inverse_transform(a.predict()), "decoded")[0]) == 2
 
 
+@pytest.mark.parametrize("kind", [nn.NeuralNetworkEstimator, nn.AutoEncoder])
+def test_networks_train_on_many_rows(spark, kind):
+    df = spark.range(500_100).select(F.col("id").alias("_id"), F.sin("id").alias("a"), F.cos("id").alias("b")).withColumn("y", F.col("a") - F.col("b"))
+    m = kind(epochs=1, batch_size=8192, cache=False).fit(df, ["a", "b"], *["y"][: kind.supervised])
+    assert m.info()["fitted_records"] == 500_100 and len(m.info()["loss_per_epoch"]) == 2
+    with pytest.raises(ValueError):
+        kind(epochs=1, max_rows=10).fit(df, ["a", "b"], *["y"][: kind.supervised])
+
+
+def test_dense_steps_are_those_of_the_layers():
+    class Adam(nn.ADAM):  # another class, so it takes the way of any optimiser
+        pass
+
+    x = np.random.default_rng(1).normal(size=(103, 3))
+    weights = []
+    for opt in (nn.ADAM(), Adam()):
+        net = nn.Network([nn.DenseLayer(3, 4, nn.relu), nn.DenseNoBiasLayer(4, 4, np.tanh), nn.DenseLayer(4, 3, nn.identity)])
+        losses, ok = nn.train(net, x, x[:, ::-1], epochs=7, batch_size=10, opt=opt)
+        weights.append([p.ravel().tolist() for layer in net.get_params() for p in layer] + [losses])
+    assert all(a == pytest.approx(b, rel=1e-9) for a, b in zip(*weights, strict=True))
+
+
 def test_search(spark):
     df = spark.range(60).select(F.col("id").alias("_id"), (F.col("id") % 7).cast("double").alias("a"), F.sin("id").alias("b")).withColumn("y", F.col("a") * 3 + F.col("b") * 0.1)
     assert tune.FeatureRanker(model=trees.DecisionTreeEstimator(), nsplits=2).fit(df, ["b", "a"], "y").predict() == ["b", "a"]
