@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import activations as act
 from brindle.functions import arrays, distances, pmf
-from brindle.operators import measures, nn, stats
+from brindle.operators import cluster, measures, nn, stats
 from brindle.sources.tables import in_memory
 
 
@@ -133,3 +133,29 @@ def test_optimisers():
         net = nn.Network([nn.DenseLayer(1, 1, seed=1)])
         losses, ok = nn.train(net, x, y, epochs=1500, batch_size=2, opt=opt)
         assert losses[-1] < 0.01 and ok
+
+
+def test_sums_on_a_line(spark):
+    df = spark.range(600).select(F.col("id").alias("i"), F.array(F.pmod(F.xxhash64("id"), F.lit(900_000)) / 100.0).alias("x"), (F.col("id") % 3).cast("int").alias("label"))
+    other = lambda x, y: distances.l1_distance(x, y) + 0.0  # noqa: E731  (not known, so met pair by pair)
+    a, b = ({r["i"]: r["silhouette"] for r in measures.silhouette_of_rows(df, d).collect()} for d in (distances.l1_distance, other))
+    assert len(a) == 600 and a == pytest.approx(b, abs=1e-9)
+    plane = df.withColumn("x", F.concat("x", F.array(F.lit(0.0))))
+    assert {r["i"]: r["silhouette"] for r in measures.silhouette_of_rows(plane, distances.l2_distance).collect()} == pytest.approx(a, abs=1e-9)
+    medoids = [cluster.kmedoids_update(rows, "i", "x", "label", d).orderBy("label").select("label", "i", F.round("cost", 4)).collect() for rows, d in ((df, distances.l1_distance), (df, other), (plane, distances.l2_distance))]
+    assert medoids[0] == medoids[1] == medoids[2]
+
+
+def test_equal_costs_go_to_the_first_member(spark):
+    # the two middle values have equal sums, which sums of doubles in another order miss by more than nine decimals tell
+    df = spark.range(4000).select((3999 - F.col("id")).alias("i"), F.array(F.col("id") * 1013 / 100.0 + 0.1).alias("x"), F.lit(1).alias("k"))
+    got = cluster.kmedoids_update(df, "i", "x", "k", distances.l1_distance).first()
+    assert got["i"] == 1999 and got["cost"] == pytest.approx(1013 / 100 * 4_000_000)
+
+
+def test_pairs_meet_in_many_parts(spark):
+    df = spark.range(300).select("id", F.array(F.col("id") / 7.0).alias("x"))
+    got = measures.pairwise(df, "id", "x")
+    assert got.rdd.getNumPartitions() > 16 and got.count() == 90_000
+    want = {(i, j): abs(i / 7 - j / 7) for i in range(300) for j in range(300)}
+    assert {(r["i"], r["j"]): r["distance"] for r in got.collect()} == pytest.approx(want)
