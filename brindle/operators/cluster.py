@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions.arrays import bind, vector
-from brindle.functions.distances import Distance, l2_distance, nearest
+from brindle.functions.distances import Distance, by_column, l2_distance, nearest, nearest_of
 from brindle.operators.base import Model, shuffled_key
-from brindle.operators.measures import blocks_for, pairwise
+from brindle.operators.measures import Vectors, blocks_for, line_sums, paired, silhouette_of_rows
 
 
 def grid(lows: Sequence[float], highs: Sequence[float], k: int) -> list[list[float]]:
@@ -48,16 +48,22 @@ def kmeans_update(df: DataFrame, columns: Sequence[str], cluster: str = "cluster
 def kmedoids_update(df: DataFrame, id_col: str, features: str, cluster: str = "cluster", distance: Distance = l2_distance, blocks: int | None = None) -> DataFrame:
     """The member of each cluster with the least sum of distances to the others, the first of equals.
 
-    Pairs within a cluster are this operator's definition; blocks of members keep any
-    one cluster from being one task, and grow with the rows unless given."""
-    blocks = blocks or blocks_for(df.count(), 8)
-    block = F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int")
-    rows = df.select(F.col(id_col).alias("i"), F.col(cluster).alias("k"), F.col(features).alias("x"), block.alias("b"))
-    spread = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = rows.select("i", "k", "x", "b", spread.alias("c"))
-    right = rows.select("k", F.col("x").alias("y"), F.col("b").alias("c"), spread.alias("b"))
-    costs = left.join(right, ["k", "b", "c"]).groupBy("k", "i").agg(F.round(F.sum(distance(F.col("x"), F.col("y"))), 9).alias("cost"), F.first("x").alias("x"))  # rounded, so equal sums tie in any order of addition
-    best = costs.groupBy("k").agg(F.min_by(F.struct("i", "x", "cost"), F.struct("cost", "i")).alias("m"))
+    On a line the sums come from prefix sums. Otherwise pairs within a cluster are this operator's definition; blocks
+    of members keep any one cluster from being one task, and grow with the rows unless given. Sums are exact on a line
+    and have 12 digits elsewhere, so that equal ones tie in any order of addition."""
+    rows = df.select(F.col(id_col).alias("i"), F.col(cluster).alias("k"), F.col(features).alias("x")).where("k is not null and i is not null")
+    seen = Vectors.of(rows, "x")
+    if seen.on_a_line(distance):
+        at = rows.withColumn("v", seen.whole(F.get("x", F.lit(0)).cast("double")))
+        per = at.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("i"), F.min_by("x", "i").alias("x"))
+        costs = line_sums(per, "k").withColumnRenamed("_s", "order").withColumn("cost", seen.back(F.col("order")))
+    else:
+        # all ordered pairs: the distance of a row to the others is the caller's, in its direction
+        met = paired(rows, [], distance, blocks or blocks_for(seen.n, 8), seen.width, ["k"], both=True)
+        s = F.sum("distance")
+        unit = F.pow(F.lit(10.0), F.lit(11) - F.floor(F.log10(F.when(s > 0, s))))
+        costs = met.groupBy("k", "i").agg(F.coalesce(F.rint(s * unit) / unit, s).alias("cost")).withColumn("order", F.col("cost")).join(rows, ["k", "i"])
+    best = costs.groupBy("k").agg(F.min_by(F.struct("i", "x", "cost"), F.struct("order", "i")).alias("m"))
     return best.select(F.col("k").alias(cluster), F.col("m.i").alias(id_col), F.col("m.x").alias(features), F.col("m.cost").alias("cost"))
 
 
@@ -146,9 +152,6 @@ class KMedoidsClusterer(_Clusterer):
 
 
 def silhouette_of(df: DataFrame, columns: Sequence[str], cluster: str, id_col: str = "_id", distance: Distance = l2_distance) -> DataFrame:
-    from brindle.operators.measures import silhouette
-
-    rows = df.select(F.col(id_col).alias("i"), vector(columns).alias("x"), F.col(cluster).alias("label"))
-    return silhouette(pairwise(rows, "i", "x", distance), rows)
+    return silhouette_of_rows(df.select(F.col(id_col).alias("i"), vector(columns).alias("x"), F.col(cluster).alias("label")), distance)
 
 
