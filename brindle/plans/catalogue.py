@@ -282,8 +282,7 @@ def kmeans_fit(spark, sf):
 SELECT s_nationkey, arg_min(s_suppkey, (round(cost, 6), s_suppkey)) AS s_suppkey, round(min(cost), 4) AS cost FROM c GROUP BY 1""")
 def kmedoids_update(spark, sf):
     rows = prep.as_features(t(spark, sf, "supplier"), ["s_acctbal"])
-    rounded = lambda x, y: F.round(distances.l1_distance(x, y), 8)
-    return cluster.kmedoids_update(rows, "s_suppkey", "features", "s_nationkey", rounded).select("s_nationkey", "s_suppkey", r("cost", 4).alias("cost"))
+    return cluster.kmedoids_update(rows, "s_suppkey", "features", "s_nationkey", distances.l1_distance).select("s_nationkey", "s_suppkey", r("cost", 4).alias("cost"))
 
 
 def _medoid_classes(n: int, k: int) -> str:
