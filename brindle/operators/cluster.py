@@ -97,22 +97,28 @@ class _Clusterer(Model):
     def _update(self, rows: DataFrame, columns: list[str], id_col: str, points: list) -> list:
         raise NotImplementedError
 
+    def _step(self, rows: DataFrame, columns: list[str], id_col: str, points: list, changed: Column | None) -> list | None:
+        """The next representatives, or None if no row changed its cluster."""
+        if changed is not None and not rows.agg(F.count_if(changed)).first()[0]:
+            return None
+        return self._update(rows, columns, id_col, points)
+
     def _fit(self, df: DataFrame, columns: Sequence[str], id_col: str = "_id") -> None:
         columns = list(columns)
         points = self._start(df, columns, id_col)
         rows = df.select(id_col, *columns).persist()
         try:
-            x, before = vector(columns), None
+            xs, before = [F.col(c).cast("double") for c in columns], None
             for step in range(self.hpar.max_iter):
-                now = nearest(x, points, self.hpar.dist)
-                tagged = rows.withColumn("cluster", now)
-                if before is not None:
-                    changed = tagged.agg(F.count_if(F.col("cluster") != nearest(x, before, self.hpar.dist))).first()[0]
-                    if not changed:
-                        break
-                before, points = points, self._update(tagged, columns, id_col, points)
-            own = F.array(*[F.array(*map(F.lit, p)) for p in points])
-            n, far = tagged.agg(F.count(F.lit(1)), F.avg(self.hpar.dist(x, F.get(own, F.col("cluster") - 1)))).first()
+                tagged = rows.withColumn("cluster", nearest_of(xs, points, self.hpar.dist))
+                changed = None if before is None else F.col("cluster") != nearest_of(xs, before, self.hpar.dist)
+                got = self._step(tagged, columns, id_col, points, changed)
+                if got is None:
+                    break
+                before, points = points, got
+            own = [F.get(F.array(*[F.lit(p[i]) for p in points]), F.col("cluster") - 1) for i in range(len(columns))]
+            gap = by_column(self.hpar.dist, xs, own)
+            n, far = tagged.agg(F.count(F.lit(1)), F.avg(self.hpar.dist(F.array(*xs), F.array(*own)) if gap is None else gap)).first()
         finally:
             rows.unpersist()
         done = self._info.get("fitted_records", 0)
@@ -120,7 +126,7 @@ class _Clusterer(Model):
         self._info = {"fitted_records": done + n, "av_distance_last_fit": far, "xndims": len(columns), "iterations": step}
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        return assign(df, self._x(), self.par["representatives"], self.hpar.dist, "prediction")
+        return df.withColumn("prediction", nearest_of([F.col(c).cast("double") for c in self.par["columns"]], self.par["representatives"], self.hpar.dist))
 
     def distances(self, df: DataFrame) -> DataFrame:
         """The distance of each row to every representative."""
@@ -130,8 +136,11 @@ class _Clusterer(Model):
 class KMeansClusterer(_Clusterer):
     Hyper = KMeansHyper
 
-    def _update(self, rows: DataFrame, columns: list[str], id_col: str, points: list) -> list:
-        got = {r["cluster"]: r for r in kmeans_update(rows, columns).collect()}  # a row a cluster
+    def _step(self, rows: DataFrame, columns: list[str], id_col: str, points: list, changed: Column | None) -> list | None:
+        """Changed rows are counted in the pass that takes the means."""
+        got = {r["cluster"]: r for r in rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.lit(False) if changed is None else changed).alias("changed"), *[F.avg(c).alias(c) for c in columns]).collect()}  # a row a cluster
+        if changed is not None and not sum(r["changed"] for r in got.values()):
+            return None
         n = sum(r["n"] for r in got.values())
         centre = [sum(r["n"] * r[c] for r in got.values()) / n for c in columns] if n else []
         out = []
