@@ -190,9 +190,12 @@ class KFold(DataSampler):
 
     def split(self, df: DataFrame) -> Iterator[tuple[DataFrame, DataFrame]]:
         for repeat in range(self.nrepeats):
-            rows = self.folds(df, repeat)
-            for k in range(self.nsplits):
-                yield rows.where(F.col("fold") != k).drop("fold"), rows.where(F.col("fold") == k).drop("fold")
+            rows = self.folds(df, repeat).persist()  # the numbering is a sort
+            try:
+                for k in range(self.nsplits):
+                    yield rows.where(F.col("fold") != k).drop("fold"), rows.where(F.col("fold") == k).drop("fold")
+            finally:
+                rows.unpersist()
 
 
 # ---------------------------------------------------------------- encoders
