@@ -192,7 +192,7 @@ def grow(x: list[np.ndarray], y: np.ndarray, ids: np.ndarray, plan: Plan, tree:
 # ---------------------------------------------------------------- growing in Spark
 
 
-def split_candidates(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], numeric: Sequence[bool], label: str, classes: list | None) -> DataFrame:
+def split_candidates(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], numeric: Sequence[bool], label: str, classes: list | None, allowed: DataFrame | None = None) -> DataFrame:
     """Every candidate split of every node with its side's statistics, by prefix sums over the values.
 
     t are the statistics of the true side, k those of all rows that know the feature. Partial sums by
@@ -202,7 +202,10 @@ def split_candidates(rows: DataFrame, keys: Sequence[str], columns: Sequence[str
     names = [f"s{i}" for i in range(len(stats))]
     cells = F.array(*[F.struct(F.lit(i).alias("f"), (F.col(c).cast("double") if num else F.lit(None).cast("double")).alias("v"), (F.lit(None).cast("string") if num else F.col(c).cast("string")).alias("c")) for i, (c, num) in enumerate(zip(columns, numeric, strict=True))])
     cells = F.filter(cells, lambda e: e["v"].isNotNull() | e["c"].isNotNull())
-    per = rows.select(*keys, "_id", label, F.inline(cells)).groupBy(*keys, "f", "v", "c").agg(*stats, F.min("_id").alias("first"))
+    each = rows.select(*keys, "_id", label, F.inline(cells))
+    if allowed is not None:
+        each = each.join(F.broadcast(allowed), [*keys, "f"])  # max_features rows a node
+    per = each.groupBy(*keys, "f", "v", "c").agg(*stats, F.min("_id").alias("first"))
     up = Window.partitionBy(*keys, "f").orderBy(F.desc_nulls_last("v")).rowsBetween(Window.unboundedPreceding, 0)
     known = Window.partitionBy(*keys, "f")
     true = [F.when(F.col("v").isNotNull(), F.sum(s).over(up)).otherwise(F.col(s)).alias(f"t{s[1:]}") for s in names]
@@ -214,15 +217,13 @@ def best_splits(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], nu
 
     Rows that miss the feature are dealt to both sides by the shares of those that know it."""
     keys = list(keys)
-    got = split_candidates(rows, keys, columns, numeric, label, classes)
+    got = split_candidates(rows, keys, columns, numeric, label, classes, allowed)
     m = len(classes) if classes is not None else 3
     if classes is not None:
         totals = rows.groupBy(*keys).agg(*[F.count_if(F.col(label) == k).cast("double").alias(f"a{k}") for k in range(m)])
     else:
         totals = rows.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("a0"), F.sum(label).alias("a1"), F.sum(F.col(label) * F.col(label)).alias("a2"))
     got = got.join(totals, keys) if keys else got.join(F.broadcast(totals))  # one row
-    if allowed is not None:
-        got = got.join(F.broadcast(allowed), [*keys, "f"])  # max_features rows a node
     impurity = _impurity_column(criterion, classes is not None)
     size = (lambda xs: sum(xs[1:], xs[0])) if classes is not None else (lambda xs: xs[0])
     there, known, whole = ([F.col(f"{s}{i}") for i in range(m)] for s in "tka")
@@ -266,27 +267,38 @@ def build(rows: DataFrame, columns: list[str], plan: Plan, trees: list[int], loc
     roots: dict[int, Node] = {}
     places: dict[tuple[int, int], Node] = {}
     now = rows.withColumn("_node", F.lit(1).cast("long"))
-    met = now.groupBy("_tree", "_node").agg(F.count(F.lit(1)).alias("n"), F.avg("_y").alias("y")).collect()
+    one = (F.min("_y") == F.max("_y")).alias("one")
+    met = now.groupBy("_tree", "_node").agg(F.count(F.lit(1)).alias("n"), F.avg("_y").alias("y"), one).collect()
+    pure = {(r["_tree"], r["_node"]) for r in met if r["one"]}
     sizes = {(r["_tree"], r["_node"]): r["n"] for r in met}
     centre = float(np.mean([r["y"] for r in met])) if met else 0.0  # squares of labels far from 0 lose digits
     for t in trees:
         roots[t] = places[t, 1] = Node(1, sizes.get((t, 1), 0))
     local: list[DataFrame] = []
     levels: list[DataFrame] = []  # each level's rows are kept until the leaves below it are grown
+    before, needed = None, False  # the level that ``now`` is made from, and whether leaves are grown from it
     while sizes:
         large = {k for k, n in sizes.items() if n > local_rows}
         keep = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(k).cast("long").alias("n")) for t, k in sorted(large)]) if large else None
         inside = F.array_contains(keep, F.struct(F.col("_tree").alias("t"), F.col("_node").alias("n"))) if large else F.lit(False)
         if len(large) < len(sizes):
             local.append(now.where(~inside) if large else now)
+            needed = True
         if not large:
             break
         frontier = now.where(inside)
+        # leaves by their depth, or as their rows are of one label, have no candidates to count
+        ended = {k for k in large if places[k].depth >= plan.max_depth or (k in pure and plan.min_gain >= 0 and isinstance(plan.criterion, str))}
+        unsplit = sorted(large - ended)
         allowed = None
         if plan.max_features < len(columns):
-            allowed = now.sparkSession.createDataFrame([(t, k, f) for t, k in sorted(large) for f in _features(plan, t, k)], "_tree int, _node long, f int")
-        centred = frontier if plan.classes is not None else frontier.withColumn("_y", F.col("_y") - F.lit(centre))
-        got = best_splits(centred, ["_tree", "_node"], columns, plan.numeric, "_y", plan.criterion, plan.classes, allowed).collect()
+            allowed = now.sparkSession.createDataFrame([(t, k, f) for t, k in unsplit for f in _features(plan, t, k)], "_tree int, _node long, f int")
+        got = []
+        if unsplit:
+            centred = frontier if plan.classes is not None else frontier.withColumn("_y", F.col("_y") - F.lit(centre))
+            if ended:
+                centred = centred.where(F.array_contains(F.array(*[F.struct(F.lit(t).alias("t"), F.lit(k).cast("long").alias("n")) for t, k in unsplit]), F.struct(F.col("_tree").alias("t"), F.col("_node").alias("n"))))
+            got = best_splits(centred, ["_tree", "_node"], columns, plan.numeric, "_y", plan.criterion, plan.classes, allowed).collect()
         side, next_sizes = None, {}
         split = set()
         for r in got:
@@ -314,9 +326,15 @@ def build(rows: DataFrame, columns: list[str], plan: Plan, trees: list[int], loc
             break
         now = frontier.withColumn("_node", side).where("_node is not null").persist()
         levels.append(now)
-        for r in now.groupBy("_tree", "_node").agg(F.count(F.lit(1)).alias("n")).collect():
+        for r in now.groupBy("_tree", "_node").agg(F.count(F.lit(1)).alias("n"), one).collect():
+            if r["one"]:
+                pure.add((r["_tree"], r["_node"]))
             next_sizes[r["_tree"], r["_node"]] = r["n"]
             places[r["_tree"], r["_node"]].npoints = r["n"]
+        if before is not None and not needed:
+            before.unpersist()
+            levels.remove(before)
+        before, needed = now, False
         sizes = next_sizes
     depths = {k: v.depth for k, v in places.items()}
     for part in local:
@@ -375,9 +393,7 @@ def walk(node: Node, x: Sequence[Any], ignore: frozenset[int] = frozenset(), dra
         q = node.question
         if q.column in ignore:
             (a, n), (b, m) = walk(node.true, x, ignore, draw), walk(node.false, x, ignore, draw)
-            if isinstance(a, dict):
-                return {k: (a.get(k, 0.0) * n + b.get(k, 0.0) * m) / (n + m) for k in {**a, **b}}, n + m
-            return (a * n + b * m) / (n + m), n + m
+            return _between(a, n, b, m)
         v = x[q.column]
         if v is None or v != v:
             node = node.true if node.p_true >= draw() else node.false
@@ -386,6 +402,31 @@ def walk(node: Node, x: Sequence[Any], ignore: frozenset[int] = frozenset(), dra
     return node.prediction, node.npoints
 
 
+def places_of(node: Node, x: Sequence[np.ndarray], rows: np.ndarray, ignore: frozenset[int] = frozenset()) -> tuple[np.ndarray, list[tuple[Any, int]]]:
+    """``walk`` for many rows without missing values: a number a row, and what each number means."""
+    if node.question is None:
+        return np.zeros(len(rows), int), [(node.prediction, node.npoints)]
+    q = node.question
+    if q.column in ignore:
+        (i, a), (j, b) = places_of(node.true, x, rows, ignore), places_of(node.false, x, rows, ignore)
+        met, codes = np.unique(i * len(b) + j, return_inverse=True)
+        return codes, [_between(*a[m // len(b)], *b[m % len(b)]) for m in met.tolist()]
+    v = x[q.column][rows]
+    value = float(q.value) if isinstance(q.value, str) and v.dtype.kind in "iuf" else q.value
+    side = v >= value if q.numeric else np.asarray(v == value, bool)
+    (i, a), (j, b) = places_of(node.true, x, rows[side], ignore), places_of(node.false, x, rows[~side], ignore)
+    codes = np.empty(len(rows), int)
+    codes[side], codes[~side] = i, j + len(a)
+    return codes, a + b
+
+
+def _between(a: Any, n: int, b: Any, m: int) -> tuple[Any, int]:
+    """The mean of two branches, weighted by their rows."""
+    if isinstance(a, dict):
+        return {k: (a.get(k, 0.0) * n + b.get(k, 0.0) * m) / (n + m) for k in {**a, **b}}, n + m
+    return (a * n + b * m) / (n + m), n + m
+
+
 def as_column(node: Node, columns: Sequence[str], kind: str) -> Column:
     """A small tree as one conditional expression, for data without missing values."""
     if node.question is None:
@@ -546,12 +587,21 @@ class DecisionTreeEstimator(Model):
 
         def score(*cols: pd.Series) -> pd.Series:
             trees, weights, seed = held.value
-            out = []
-            for x in zip(*cols, strict=True):
-                x = [None if v is None or v is pd.NA or v != v else v for v in x]
-                rng = np.random.default_rng([seed, zlib.crc32(repr(x).encode())]) if any(v is None for v in x) else None
-                out.append(combine([walk(t, x, ignore, rng.random if rng else lambda: 0.5)[0] for t in trees], weights))
-            return pd.Series(out, dtype=object if out and isinstance(out[0], dict) else float)
+            gaps = np.logical_or.reduce([pd.isnull(c).to_numpy() for c in cols]) if len(cols) else np.zeros(0, bool)
+            out = np.empty(len(gaps), object)
+            whole, x = np.flatnonzero(~gaps), [c.to_numpy() for c in cols]
+            if len(whole):  # rows that meet the same leaves have the same prediction
+                codes, means = zip(*[places_of(t, x, whole, ignore) for t in trees], strict=True)
+                met, at = np.unique(np.stack(codes, 1), axis=0, return_inverse=True)
+                values = np.empty(len(met), object)
+                for i, row in enumerate(met.tolist()):
+                    values[i] = combine([m[k][0] for m, k in zip(means, row, strict=True)], weights)
+                out[whole] = values[at.reshape(-1)]
+            for i in np.flatnonzero(gaps):
+                x_ = [None if v is None or v is pd.NA or v != v else v for v in (c.iloc[i] for c in cols)]
+                rng = np.random.default_rng([seed, zlib.crc32(repr(x_).encode())])
+                out[i] = combine([walk(t, x_, ignore, rng.random)[0] for t in trees], weights)
+            return pd.Series(out, dtype=object if len(out) and isinstance(out[0], dict) else float)
 
         kinds = [F.col(c) if isinstance(df.schema[c].dataType, (T.StringType, *_NUMERIC)) else F.to_json(c) for c in par["columns"]]
         udf = F.pandas_udf(score, self._kind())
@@ -596,8 +646,8 @@ class RandomForestEstimator(DecisionTreeEstimator):
     Hyper = ForestHyper
     forest = True
 
-    def _bootstrap(self, rows: DataFrame, n: int) -> DataFrame:
-        """Each row as often as a Poisson draw by a hash of tree and row says: rows need no numbers and no join."""
+    def _times(self) -> Column:
+        """How often a row (_id) is drawn for a tree (_tree): a Poisson draw by their hash, so rows need no numbers and no join."""
         h, share = self.hpar, self.hpar.sampling_share
         cdf, p, total = [], np.exp(-share), 0.0
         for k in range(12):
@@ -605,9 +655,11 @@ class RandomForestEstimator(DecisionTreeEstimator):
             cdf.append(float(total))
             p *= share / (k + 1)
         u = F.pmod(F.xxhash64("_id", "_tree", F.lit(self.opt.seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        times = F.size(F.filter(F.array(*map(F.lit, cdf)), lambda c: c <= F.col("_u")))
-        drawn = rows.withColumn("_tree", F.explode(F.sequence(F.lit(0), F.lit(h.n_trees - 1)))).withColumn("_u", u).withColumn("_times", times)
-        return drawn.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_u", "_times", "_copy")
+        return sum(((u >= F.lit(c)).cast("int") for c in cdf[1:]), (u >= F.lit(cdf[0])).cast("int"))
+
+    def _bootstrap(self, rows: DataFrame, n: int) -> DataFrame:
+        drawn = rows.withColumn("_tree", F.explode(F.sequence(F.lit(0), F.lit(self.hpar.n_trees - 1)))).withColumn("_times", self._times())
+        return drawn.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_times", "_copy")
 
     def _fit(self, df: DataFrame, columns: Sequence[str], label: str, id_col: str = "_id") -> None:
         columns = list(columns)
@@ -629,14 +681,25 @@ class RandomForestEstimator(DecisionTreeEstimator):
         self._info |= {"avg_avg_depth": sum(a for a, _ in d) / len(d), "avg_max_reached_depth": sum(b for _, b in d) / len(d)}
 
     def _out_of_bag(self, df: DataFrame, drawn: DataFrame, columns: list[str], label: str, id_col: str) -> None:
-        """Weights and error from the rows that a tree did not see: one anti-join, one scoring pass."""
+        """Weights and error from the rows that a tree did not see, which are those of no draw: one scoring pass, no join."""
         par, classes, beta = self.par, self.par["classes"], self.hpar.beta
         held = df.sparkSession.sparkContext.broadcast(par["trees"])
         every = df.select(F.col(id_col).cast("long").alias("_id"), *columns, F.col(label).alias("_label"), F.explode(F.sequence(F.lit(0), F.lit(len(par["trees"]) - 1))).alias("_tree"))
-        unseen = every.join(drawn.select("_tree", "_id").distinct(), ["_tree", "_id"], "left_anti")
+        unseen = every.where((self._times() == 0) | F.col("_label").isNull())
 
         def score(tree: pd.Series, *cols: pd.Series) -> pd.Series:
-            return pd.Series([walk(held.value[t], [None if v is None or v != v else v for v in x])[0] for t, *x in zip(tree, *cols, strict=True)], dtype=float if par["regression"] else object)
+            gaps, number, x = np.logical_or.reduce([pd.isnull(c).to_numpy() for c in cols]), tree.to_numpy(), [c.to_numpy() for c in cols]
+            out = np.empty(len(tree), object)
+            for t in np.unique(number):
+                rows = np.flatnonzero((number == t) & ~gaps)
+                codes, means = places_of(held.value[t], x, rows)
+                values = np.empty(len(means), object)
+                for k, (p, _) in enumerate(means):
+                    values[k] = p
+                out[rows] = values[codes]
+            for i in np.flatnonzero(gaps):
+                out[i] = walk(held.value[number[i]], [None if v is None or v != v else v for v in (c.iloc[i] for c in cols)])[0]
+            return pd.Series(out, dtype=float if par["regression"] else object)
 
         scored = unseen.withColumn("_p", F.pandas_udf(score, self._kind())("_tree", *columns)).persist()
         y = F.col("_label")

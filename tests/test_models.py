@@ -240,3 +240,33 @@ def test_stream(spark, tmp_path):
     q = online.running_mean(stream, "a").writeStream.format("memory").queryName("running").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("running").first()["mean"] == 5.5
+
+
+def test_leaves_have_no_candidates(spark, monkeypatch):
+    df = spark.range(400).select(F.col("id").alias("_id"), F.sin("id").alias("a"), F.cos("id").alias("b")).withColumn("y", F.when(F.col("a") > 0, "x").otherwise("z"))
+    met, real = [], trees.best_splits
+    monkeypatch.setattr(trees, "best_splits", lambda rows, *args: met.append(rows.count()) or real(rows, *args))
+    assert trees.DecisionTreeEstimator(max_depth=1, local_rows=20).fit(df, ["a", "b"], "y").info()["avg_depth"] == 1 and not met
+    m = trees.DecisionTreeEstimator(max_depth=5, local_rows=20).fit(df, ["a", "b"], "y")
+    assert met == [400] and m.info()["max_reached_depth"] == 2  # both sides have one label
+
+
+def test_rows_are_scored_together(spark):
+    df = spark.range(300).select(F.col("id").alias("_id"), F.when(F.col("id") % 11 != 0, F.sin("id")).alias("a"), (F.col("id") % 30).cast("double").alias("b"), (F.col("id") % 4).cast("string").alias("c")).withColumn("y", F.col("b") + F.coalesce("a", F.lit(0.0)))
+    m = trees.RandomForestEstimator(n_trees=3, max_depth=4, oob=True, beta=1.0).fit(df, ["a", "b", "c"], "y")
+    for ignored in ((), (1,)):
+        got = m.predict_ignoring(df, ["b"] if ignored else []).where("a is not null").collect()
+        want = [trees.combine([trees.walk(t, [r["a"], r["b"], r["c"]], frozenset(ignored))[0] for t in m.par["trees"]], m.par["weights"]) for r in got]
+        assert len(got) == 272 and [r["prediction"] for r in got] == pytest.approx(want)
+    assert 0 < m.info()["oob_error"] < 1 and m.predict().where("prediction is null").count() == 0
+
+
+def test_nearest_number_by_number(spark):
+    from brindle.functions import arrays, distances
+
+    n = float("nan")
+    df = in_memory(spark, [[1.0, 2.0], [2.0, 2.0], [3.0, 2.0], [n, 2.0], [None, 2.0]], ["a", "b"])
+    for d in (distances.l1_distance, distances.l2_distance, distances.cosine_distance):
+        a, b = distances.nearest_of([F.col("a"), F.col("b")], [[1.0, 2.0], [3.0, 2.0]], d), distances.nearest(arrays.vector(["a", "b"]), [[1.0, 2.0], [3.0, 2.0]], d)
+        got = df.select(a.alias("a"), b.alias("b")).collect()
+        assert [r["a"] for r in got] == [r["b"] for r in got] and got[4]["a"] == 0
