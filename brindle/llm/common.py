@@ -17,8 +17,11 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space of the word contracts, as a class for Java and Python patterns.
 WHITE = r"\x20\x09-\x0D"
@@ -61,7 +64,61 @@ def stage(spark: SparkSession, df: DataFrame, name: str, *, narrow: bool = False
     the cluster's cores, however many partitions the shuffle before it has."""
     path = fresh_path(spark, name)
     (df.coalesce(2 * spark.sparkContext.defaultParallelism) if narrow else df).write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    return _read(spark, df.schema, path)
+
+
+#: Types that Arrow's Parquet writer and Spark's hold alike.
+_PLAIN = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.StringType, T.BinaryType, T.DateType)
+#: Bytes of batches that are written as one row group.
+_GROUP_BYTES = 8 << 20
+
+
+def _plain(kind: T.DataType) -> bool:
+    return all(_plain(f.dataType) for f in kind.fields) if isinstance(kind, T.StructType) else type(kind) in _PLAIN
+
+
+def stage_apart(spark: SparkSession, df: DataFrame, name: str, *, narrow: bool = False, each: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema: T.StructType | None = None) -> DataFrame:
+    """``stage``, with files that Python workers write, after ``each`` (whose result has ``schema``) on every batch.
+
+    Hadoop's local file system forks the JVM for each file and folder that it makes, to run
+    chmod; until the child does so it shows all memory of its executor (or driver) once more.
+    Tables of other types than ``_PLAIN``, and shared folders that aren't local, go Spark's way."""
+    path, schema = fresh_path(spark, name), schema or df.schema
+    if not _plain(schema) or "://" in path and not path.startswith("file:"):
+        return stage(spark, df.mapInArrow(per_batch(lambda: each), schema) if each else df, name, narrow=narrow)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
+        fs, folder = shared_fs(path)
+        at = TaskContext.get()
+        temporary, writer, held, size = f"{folder}/_{at.partitionId()}-{uuid.uuid4().hex}", None, [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(each(batch) if each else batch)
+            size += held[-1].nbytes
+            if size >= _GROUP_BYTES:
+                writer = writer or pq.ParquetWriter(temporary, held[0].schema, filesystem=fs)
+                writer.write_table(pa.Table.from_batches(held))
+                held, size = [], 0
+        if held:
+            writer = writer or pq.ParquetWriter(temporary, held[0].schema, filesystem=fs)
+            writer.write_table(pa.Table.from_batches(held))
+        if writer:  # whole files only; a repeated task replaces its file
+            writer.close()
+            fs.move(temporary, f"{folder}/part-{at.partitionId():05d}.parquet")
+        held, writer, batch = [], None, None
+        give_back()
+        yield pa.RecordBatch.from_pydict({"done": [True]})
+
+    fs, folder = shared_fs(path)
+    fs.create_dir(folder)
+    (df.coalesce(2 * spark.sparkContext.defaultParallelism) if narrow else df).mapInArrow(write, "done boolean").collect()
+    return _read(spark, schema, path)
+
+
+def _read(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame:
+    out = spark.read.schema(schema).parquet(path)
     out.brindle_path = path
     _staged.append(path)
     return out

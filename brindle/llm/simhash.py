@@ -30,6 +30,7 @@ the least id (null ids last), and of several rows with it the one read first.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -38,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from brindle.llm.common import LOWER, as_bytes, per_batch, stage, unstage, unused
+from brindle.llm.common import LOWER, as_bytes, per_batch, stage_apart, unstage, unused
 
 SEED = 42
 SHINGLE = 3
@@ -74,21 +75,23 @@ def fingerprint(text: bytes | None) -> int:
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
-def _with_bits(docs: DataFrame, name: str) -> DataFrame:
-    """All columns of docs, and the fingerprint (64 bits as a signed long)."""
+def _adder(docs: DataFrame, name: str) -> tuple[Callable[[pa.RecordBatch], pa.RecordBatch], StructType]:
+    """What adds the fingerprint (64 bits as a signed long) to a batch of docs, and the schema then."""
     at = docs.columns.index("text")
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         bits = np.array([fingerprint(t) for t in as_bytes(batch.column(at))], np.uint64).view(np.int64)
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(bits)], [*batch.schema.names, name])
 
-    return docs.mapInArrow(per_batch(lambda: one), StructType([*docs.schema.fields, StructField(name, LongType())]))
+    return one, StructType([*docs.schema.fields, StructField(name, LongType())])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fingerprint (the 64 bits as a signed long)."""
+    """doc_id and fingerprint (the 64 bits as a signed long), staged."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _with_bits(rows, "bits").select("doc_id", "bits")
+    one, schema = _adder(rows, "bits")
+    kept = ["doc_id", "bits"]
+    return stage_apart(docs.sparkSession, rows, "fingerprints", each=lambda batch: one(batch).select(kept), schema=StructType([f for f in schema.fields if f.name in kept]))
 
 
 def _byte(k: int) -> Column:
@@ -154,7 +157,7 @@ def links(bits: DataFrame) -> DataFrame:
     """Edges a, b between distinct fingerprints, enough to connect all that link."""
     postings = _postings(bits)
     sizes = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = stage(bits.sparkSession, postings.join(sizes, "key"), "postings", narrow=True)
+    met = stage_apart(bits.sparkSession, postings.join(sizes, "key"), "postings", narrow=True)
     small = met.where(F.col("n") <= PAIRED).groupBy("key").agg(F.collect_list("bits").alias("bits")).select("bits")
     large = _refined(met.where(F.col("n") > PAIRED)).groupBy("key", "more").agg(F.collect_set("rest").alias("rest")).where(F.size("rest") > 1)
     edges = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -185,7 +188,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Large-star and small-star rounds; every round's edges are written to the
     shared folder, and only two sums come to the driver."""
     spark = edges.sparkSession
-    now = stage(spark, edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges-0", narrow=True)
+    now = stage_apart(spark, edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges-0", narrow=True)
     before = None
     for k in range(1, max_rounds + 1):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -196,7 +199,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # small star: neighbours below u, and u, go to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        last, now = now, stage(spark, small, f"edges-{k}", narrow=True)
+        last, now = now, stage_apart(spark, small, f"edges-{k}", narrow=True)
         unstage(last)
         state = tuple(now.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31))), F.lit(0))).first())
         if state == before:
@@ -210,7 +213,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def _shared(prints: DataFrame, row: Column) -> DataFrame:
     """bits and ``first`` (the least doc_id of the class and the row it is from) of fingerprints that several rows have or that link."""
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), row.alias("row"))
-    nodes = stage(prints.sparkSession, prints.groupBy("bits").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n")), "nodes", narrow=True)
+    nodes = stage_apart(prints.sparkSession, prints.groupBy("bits").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n")), "nodes", narrow=True)
     root = components(links(nodes.select("bits")))
     tied = nodes.join(root.withColumnRenamed("node", "bits"), "bits").select("bits", "root", "first")
     # the root stands for its component; its own first row counts as well
@@ -222,12 +225,12 @@ def _shared(prints: DataFrame, row: Column) -> DataFrame:
     member = member.unionByName(least.select(F.col("root").alias("bits"), "class"))
     # only fingerprints of several rows or of a larger component need a join; the others are their own class
     shared = nodes.join(member, "bits", "left").where("n > 1 or class is not null").select("bits", F.coalesce("class", "first").alias("first"))
-    return stage(prints.sparkSession, shared, "shared", narrow=True)
+    return stage_apart(prints.sparkSession, shared, "shared", narrow=True)
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (hexadecimal), component_id."""
-    prints = stage(docs.sparkSession, fingerprints(docs), "fingerprints")
+    prints = fingerprints(docs)
     shared = _shared(prints, F.lit(0).cast("long")).select("bits", F.col("first.doc_id").alias("component_id"))
     text = F.lpad(F.lower(F.hex("bits")), 16, "0")
     return prints.join(shared, "bits", "left").select("doc_id", text.alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -237,9 +240,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The documents, all columns, of each class the first row (see above). Rows are told apart by a number of their own, not by doc_id."""
     spark = docs.sparkSession
     bits, row = unused(docs, "bits"), unused(docs, "row")
-    held = stage(spark, _with_bits(docs, bits).withColumn(row, F.monotonically_increasing_id()), "rows")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    one, schema = _adder(numbered, bits)
+    held = stage_apart(spark, numbered, "rows", each=one, schema=schema)
     prints = held.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(bits).alias("bits"), F.col(row).alias("row"))
     shared = _shared(prints, F.col("row"))
     dropped = prints.join(shared, "bits").where(F.col("row") != F.col("first.row")).select(F.col("row").alias(row))
-    dropped = stage(spark, dropped, "dropped", narrow=True)
+    dropped = stage_apart(spark, dropped, "dropped", narrow=True)
     return held.join(dropped, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -597,6 +597,19 @@ def test_keep_one_decides_by_row(spark):
     assert simhash.keep_one(frame(spark, [])).count() == 0
 
 
+def test_staged_numbers_are_written_by_workers(spark, monkeypatch):
+    forks, real = [], common.stage
+    monkeypatch.setattr(common, "stage", lambda spark, df, name, **more: forks.append(name) or real(spark, df, name, **more))
+    docs = frame(spark, ["a b c d", "a b c d", "", None, prose(40)], [4, 2, None, 7, 1])
+    assert {(r["doc_id"], r["component_id"]) for r in simhash.classes(docs).collect()} == {(4, 2), (2, 2), (None, 7), (7, 7), (1, 1)}
+    more = docs.withColumn("tags", F.struct(F.lit("t").alias("a"), F.lit(None).cast("long").alias("b")))
+    assert {(r["doc_id"], r["tags"]["a"], r["tags"]["b"]) for r in simhash.keep_one(more).collect()} == {(2, "t", None), (7, "t", None), (1, "t", None)}
+    assert simhash.keep_one(docs.where("false")).count() == 0 and not forks
+    # other types go Spark's way
+    at = docs.withColumn("at", F.lit("2020-01-02 03:04:05").cast("timestamp"))
+    assert {(r["doc_id"], r["at"].year) for r in simhash.keep_one(at).collect()} == {(2, 2020), (7, 2020), (1, 2020)} and forks == ["rows"]
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = simhash.components(edges).collect()
