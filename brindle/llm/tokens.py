@@ -13,8 +13,8 @@ its own), each under a temporary name that is then renamed. The manifest of
 files comes to the driver (a row a file); start positions are its running sums.
 
 Encoding equals the tokenizer's on the whole text. For a plain byte-level BPE,
-pieces are found by its own split pattern, and each different one of a slice of
-texts is encoded once; texts with any character whose class the pattern library
+pieces are found as by its own split pattern, and each different one of a slice of
+texts is encoded once, short ones by merges in all of them at a time; texts with any character whose class the pattern library
 could see otherwise, or with a special token's string, and all texts of other
 kinds of tokenizers are encoded whole. ``tests/llm`` compares both.
 
@@ -45,10 +45,12 @@ BLOCK = 512
 MAGIC = b"BDAC\x01"
 FILE_TOKENS = 4 << 20
 END_ID = 0
-#: What remembered pieces may take, beside those of one slice, with ENTRY_BYTES for the objects of each; and the characters encoded at once.
+#: What remembered pieces may take, beside those of one slice, with ENTRY_BYTES beside the bytes and ids of each; and the characters encoded at once.
 CACHE_BYTES = 24 << 20
-ENTRY_BYTES = 200
+ENTRY_BYTES = 64
 SLICE = 4 << 20
+#: Bytes of the longest pieces that are merged many at once; longer ones are left to the tokenizer.
+LONGEST = 32
 FILES = "file string, first_doc long, n_docs long, n_tokens long, part int, seq int"
 ROWS = "doc_id long, local_start long, n_tokens long, ids_crc32 long, file string"
 
@@ -171,8 +173,123 @@ def _is_byte_level(said: dict) -> bool:
     return bool(said.get("normalizer") is None and not said.get("truncation") and not said.get("padding") and plain and model.get("type") == "BPE" and not any(model.get(k) for k in rare))
 
 
+def _kinds() -> np.ndarray:
+    """What each byte of plain texts belongs to: 1 letters, 2 digits, 3 a line end, 4 a space, 0 other characters. All
+    plain characters that begin with one byte over 127 are of one kind; the bytes after it take it from there."""
+    out = np.zeros(256, np.uint8)
+    for c in filter(lambda c: not _NOT_PLAIN.match(c), map(chr, range(0x2100))):
+        out[c.encode()[0]] = {"\n": 3, " ": 4}.get(c) or (1 if re.match(r"[^\W\d_]", c) else 2 if re.match(r"\d", c) else 0)
+    return out
+
+
+_KINDS = _kinds()
+
+
+def cut_pieces(data: pa.Buffer) -> pa.LargeBinaryArray:
+    """The pieces by ``PIECES`` of plain characters in UTF-8, where white space is single spaces before words, single line
+    ends within them and ``_BORDER`` after them: a new piece begins where the kind of characters changes."""
+    chars = np.frombuffer(data, np.uint8)
+    kind = _KINDS[chars]
+    after = np.flatnonzero((chars & 0xC0) == 0x80)
+    for _ in range(2):  # plain characters have three bytes at most
+        kind[after] = kind[after - 1]
+    begins = np.ones(len(chars), bool)
+    np.not_equal(kind[1:], kind[:-1], out=begins[1:])
+    begins[np.flatnonzero(kind == 4) + 1] = False
+    # 's 't 'm 'd 're 've 'll where a piece begins
+    at = np.flatnonzero(begins & (chars == ord("'")))
+    one, two = chars[at + 1], chars[at + 1].astype(np.uint16) << 8 | chars[at + 2]
+    more = np.where(np.isin(one, list(b"stmd")), 1, 2 * np.isin(two, [int.from_bytes(x) for x in (b"re", b"ve", b"ll")]))
+    at, more = at[more > 0], more[more > 0]
+    begins[at + 1] = False
+    begins[at + 1 + more] = True
+    offsets = np.append(np.flatnonzero(begins), len(chars)).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), data])
+
+
+def _spread(values: np.ndarray, place: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``size`` values from each place on, end to end."""
+    at = np.repeat(place - (np.cumsum(size) - size), size)
+    at += np.arange(len(at))
+    return values[at]
+
+
+class Merges:
+    """The merges of a BPE over bytes, applied to many pieces of one length at once: each round does in every piece what the
+    tokenizer would do next there, the merge of the lowest rank (of equal ones the leftmost)."""
+
+    #: Rank of pairs that are not merged; a rank and a column (under 64) fit 31 bits.
+    NONE = (1 << 25) - 1
+
+    def __init__(self, vocab: dict[str, int], merges: list, letters: dict[int, str]):
+        self.first = np.array([vocab[letters[b]] for b in range(256)], np.int32)
+        ranks = {}
+        for rank, pair in enumerate(merges):
+            a, b = pair.split(" ") if isinstance(pair, str) else pair
+            ranks[vocab[a] << 32 | vocab[b]] = rank, vocab[a + b]
+        self.made = np.zeros(len(merges) + 1, np.int32)
+        keys, rank = np.array([*ranks, -1], np.int64)[:-1], np.array([r for r, _ in ranks.values()], np.int32)
+        self.made[rank] = [m for _, m in ranks.values()]
+        # open addressing: a pair is in the first free place from its own on
+        bits = max(4, (4 * len(keys)).bit_length())
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.ranks = np.full(1 << bits, -1, np.int64), np.full(1 << bits, self.NONE, np.int32)
+        place, left = self._place(keys), np.arange(len(keys))
+        while len(left):
+            taken = self.keys[place] >= 0
+            mine, who = np.unique(np.where(taken, -1, place), return_index=True)
+            mine, who = mine[mine >= 0], who[mine >= 0]
+            self.keys[mine], self.ranks[mine] = keys[left[who]], rank[left[who]]
+            wait = np.ones(len(left), bool)
+            wait[who] = False
+            left, place = left[wait], np.where(taken[wait], place[wait] + 1 & self.last, place[wait])
+        self.byte_pairs = self.rank(np.repeat(self.first, 256), np.tile(self.first, 256)).reshape(256, 256)
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).view(np.int64)
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        keys = a.astype(np.int64) << 32 | b
+        place = self._place(keys)
+        there = self.keys[place]
+        out = np.where(there == keys, self.ranks[place], self.NONE)
+        left = np.flatnonzero((there != keys) & (there >= 0))
+        place = place[left]
+        while len(left):
+            place = place + 1 & self.last
+            there, hit = self.keys[place], self.keys[place] == keys[left]
+            out[left[hit]] = self.ranks[place[hit]]
+            go = ~hit & (there >= 0)
+            left, place = left[go], place[go]
+        return out
+
+    def apply(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids of pieces, end to end, and how many each has; the bytes of a piece are a column."""
+        n, many = chars.shape
+        out, size, rows = np.zeros((many, n), np.uint32), np.zeros(many, np.int64), np.arange(many)
+        ids, ranks = self.first[chars], self.byte_pairs[chars[:-1], chars[1:]]
+        while len(rows):
+            best = (ranks << 6 | np.arange(n - 1, dtype=np.int32)[:, None]).min(axis=0) if n > 1 else np.full(len(rows), self.NONE << 6)
+            go = best < self.NONE << 6
+            if not go.all():
+                size[rows[~go]], out[rows[~go], :n] = n, ids[:, ~go].T
+                rows, ids, ranks, best = rows[go], ids[:, go], ranks[:, go], best[go]
+                if not len(rows):
+                    break
+            n -= 1
+            at, new, columns = best & 63, self.made[best >> 6], np.arange(len(rows))
+            ids[at, columns] = new
+            ids = np.where(np.arange(n)[:, None] <= at, ids[:-1], ids[1:])
+            ranks = np.where(np.arange(n - 1)[:, None] < at, ranks[:-1], ranks[1:])
+            some = np.flatnonzero(at > 0)
+            ranks[at[some] - 1, some] = self.rank(ids[at[some] - 1, some], new[some])
+            some = np.flatnonzero(at < n - 1)
+            ranks[at[some], some] = self.rank(new[some], ids[at[some] + 1, some])
+        return out[np.arange(chars.shape[0]) < size[:, None]], size
+
+
 class Encoder:
-    """ids of whole texts. A slice of texts is cut at its spaces, equal words are encoded once for the slice, and the
+    """ids of whole texts. A slice of texts is cut at its spaces, equal words are encoded once for the slice, and
     their pieces are remembered from slice to slice until they take ``CACHE_BYTES``.
 
     Only a plain byte-level BPE is taken apart so; texts of any other tokenizer are encoded whole."""
@@ -183,8 +300,10 @@ class Encoder:
 
         self.whole = Tokenizer.from_file(path)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.apart = _is_byte_level(json.loads(self.whole.to_str()))
-        self.letters = _byte_letters()
+        said, self.letters = json.loads(self.whole.to_str()), _byte_letters()
+        self.apart = _is_byte_level(said)
+        complete = self.apart and all(x in said["model"]["vocab"] for x in self.letters.values())
+        self.merges = Merges(said["model"]["vocab"], said["model"]["merges"], self.letters) if complete else None
         self._forget()
 
     def _direct(self, text: str) -> np.ndarray:
@@ -217,58 +336,77 @@ class Encoder:
         cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         begins = cut.offsets.to_numpy()[:-1]
         coded = pc.dictionary_encode(cut.flatten())
-        words, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().copy()
+        words, at = coded.dictionary, coded.indices.to_numpy().copy()
+        del cut, coded
         # a text's first word has no space before it
-        firsts: dict[int, int] = {}
-        at[begins] = [firsts.setdefault(w, len(words) + len(firsts)) for w in at[begins].tolist()]
+        firsts, which = np.unique(at[begins], return_inverse=True)
+        at[begins] = len(words) + which
         bad = np.zeros(len(texts), bool)
-        if _NOT_PLAIN.search("".join(words)):
-            odd = [bool(_NOT_PLAIN.search(w)) for w in words]
-            bad = np.logical_or.reduceat(np.array(odd + [odd[w] for w in firsts])[at], begins)
-            words = ["x" if o else w for w, o in zip(words, odd, strict=True)]
+        odd = pc.match_substring_regex(words, _NOT_PLAIN.pattern)
+        if pc.any(odd).as_py():
+            is_odd = odd.to_numpy(zero_copy_only=False)
+            bad = np.logical_or.reduceat(np.concatenate([is_odd, is_odd[firsts]])[at], begins)
+            words = pc.if_else(odd, pa.scalar("x", pa.large_string()), words)
         # two line ends between words: never inside one of these texts, and a piece of their own before a space
-        pieces = PIECES.findall(" " + f"{_BORDER} ".join(words) + _BORDER)
-        for w in firsts:
-            pieces += [*PIECES.findall(words[w]), _BORDER]
-        which = self._numbers(pieces)
-        size, place = self.size[which], self.place[which]
-        ids = self.ids[np.repeat(place - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+        space, border, nothing = (pa.scalar(x, pa.large_string()) for x in (" ", _BORDER, ""))
+        spaced = pc.binary_join_element_wise(space, words, border, nothing)
+        joined = pa.concat_arrays([spaced, pc.binary_join_element_wise(words.take(pa.array(firsts)), border, nothing)])
+        which = self._numbers(cut_pieces(joined.buffers()[2]))
+        size = self.size[which]
+        ids = _spread(self.ids, self.place[which], size)
         ends = np.cumsum(size)[which == 0]
         size = np.diff(ends, prepend=0)  # of words
         place = ends - size
-        many = size[at]
-        lengths = np.add.reduceat(many, begins)
+        lengths = np.add.reduceat(size[at], begins)
         if bad.any():
-            good = np.repeat(~bad, np.diff(np.append(begins, len(at))))
-            at, many, lengths = at[good], many[good], lengths[~bad]
-        return ids[np.repeat(place[at] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))], lengths, bad
+            at, lengths = at[np.repeat(~bad, np.diff(np.append(begins, len(at))))], lengths[~bad]
+        return _spread(ids, place[at], size[at]), lengths, bad
 
     def _forget(self) -> None:
-        self.number: dict[str, int] = {_BORDER: 0}
+        self.number = pa.array([_BORDER.encode()], pa.large_binary())
         self.ids, self.size, self.place = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
         self.held = 0
 
-    def _numbers(self, pieces: list[str]) -> np.ndarray:
+    def _numbers(self, pieces: pa.LargeBinaryArray) -> np.ndarray:
         """The number of each piece among those that are remembered; new ones are encoded."""
         if self.held > CACHE_BYTES:
             self._forget()
-        number = self.number
-        new = [p for p in dict.fromkeys(pieces) if p not in number]
-        if new:
-            tokenize = self.whole.model.tokenize
-            ids: list[int] = []
-            size: list[int] = []
-            for mapped in "\0".join(new).encode("utf-8").decode("latin-1").translate(self.letters).split(self.letters[0]):
-                got = tokenize(mapped)
-                size.append(len(got))
-                ids += [t.id for t in got]
-            sizes = np.array(size, np.int64)
-            self.place = np.concatenate([self.place, np.cumsum(sizes) - sizes + len(self.ids)])
-            self.size = np.concatenate([self.size, sizes])
-            self.ids = np.concatenate([self.ids, np.array(ids, np.uint32)])
-            number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
-            self.held += ENTRY_BYTES * len(new) + sum(map(len, new)) + 4 * len(ids)
-        return np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
+        coded = pc.dictionary_encode(pieces)
+        found = pc.index_in(coded.dictionary, value_set=self.number)
+        number = pc.fill_null(found, -1).to_numpy().copy()
+        if found.null_count:
+            new = coded.dictionary.filter(pc.is_null(found))
+            number[number < 0] = np.arange(len(self.number), len(self.number) + len(new))
+            ids, place, size = self._encode_pieces(new)
+            self.place = np.concatenate([self.place, place + len(self.ids)])
+            self.size = np.concatenate([self.size, size])
+            self.ids = np.concatenate([self.ids, ids])
+            self.number = pa.concat_arrays([self.number, new])
+            self.held += ENTRY_BYTES * len(new) + new.nbytes + 4 * len(ids)
+        return number[coded.indices.to_numpy()]
+
+    def _encode_pieces(self, pieces: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids of different pieces, and at which of them each piece begins and how many it has."""
+        starts = np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset : pieces.offset + len(pieces) + 1]
+        data, n_bytes = np.frombuffer(pieces.buffers()[2], np.uint8), np.diff(starts)
+        place, size = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        parts, held = [], 0
+        order = np.argsort(n_bytes, kind="stable")
+        edges = np.searchsorted(n_bytes[order], np.arange(1, LONGEST + 2)) if self.merges else np.zeros(LONGEST + 1, np.int64)
+        for n in range(1, LONGEST + 1):  # all pieces of n bytes at once
+            some = order[edges[n - 1] : edges[n]]
+            if not len(some):
+                continue
+            ids, sizes = self.merges.apply(data[starts[some] + np.arange(n)[:, None]])
+            size[some], place[some] = sizes, held + np.cumsum(sizes) - sizes
+            parts.append(ids)
+            held += len(ids)
+        for i in order[edges[-1] :].tolist():
+            got = self.whole.model.tokenize(data[starts[i] : starts[i + 1]].tobytes().decode("latin-1").translate(self.letters))
+            size[i], place[i] = len(got), held
+            parts.append(np.array([t.id for t in got], np.uint32))
+            held += len(got)
+        return np.concatenate(parts), place, size
 
 
 def encoder(path: str) -> Encoder:

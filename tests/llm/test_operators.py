@@ -3,6 +3,7 @@
 import base64
 import contextlib
 import hashlib
+import random
 import re
 import time
 import zlib
@@ -434,6 +435,57 @@ def test_encoder_equals_the_tokenizer(name, monkeypatch):
     assert enc.apart == name.startswith("byte") and len(enc.number) == (3 if enc.apart else 1) and enc.held < 5000
 
 
+def whole_ids(enc, texts):
+    return [enc.whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_short_pieces_are_not_left_to_the_tokenizer():
+    enc, pick = tokens.Encoder(tokenizer_path()), random.Random(5)
+    texts = [f"{' '.join(pick.choices(WORDS, k=30))} {i}'ll we've_{i} x{i}. Größe–'s {'ab' * 15}" for i in range(40)]
+    want = whole_ids(enc, texts)
+    enc.whole = None  # a call of it for each different piece was the operator's largest cost
+    flat, sizes = enc.encode_all(texts)
+    assert sizes.tolist() == list(map(len, want)) and flat.tolist() == [i for ids in want for i in ids]
+
+
+def test_pieces_are_cut_as_by_the_pattern():
+    pick = random.Random(6)
+    plain = [c for c in map(chr, range(0x2100)) if c != " " and not tokens._NOT_PLAIN.match(c)]
+    for kinds in (plain, list("'stmdrevl"), list("ab1'_s.\n"), list("éßazſ'tł–€„…19\n")):
+        words = ["".join(pick.choices(kinds, k=pick.randint(1, 12))).strip("\n").replace("\n\n", ".") or "x" for _ in range(2000)]
+        words = [w.replace("\n\n", "\n") for w in words]
+        data = "".join(f" {w}\n\n{w}\n\n" for w in words)
+        want = [p for w in words for p in (*tokens.PIECES.findall(" " + w), "\n\n", *tokens.PIECES.findall(w), "\n\n")]
+        assert [p.decode() for p in tokens.cut_pieces(pa.py_buffer(data.encode())).to_pylist()] == want
+
+
+@pytest.mark.parametrize("whole_alphabet", [True, False])
+def test_merges_of_any_order(whole_alphabet, tmp_path):
+    """Merges whose pairs rank below those that make their parts, and pieces up to and over the length that is merged at once."""
+    from tokenizers import Tokenizer, decoders, models, pre_tokenizers
+
+    pick = random.Random(7)
+    letters = list(tokens._byte_letters().values()) if whole_alphabet else list("abcĠ.é")
+    parts, merges = list("abc"), {}
+    for _ in range(120):
+        a, b = pick.choice(parts), pick.choice(parts)
+        merges[a, b] = None
+        parts += [] if a + b in parts or len(a + b) > 9 else [a + b]
+    merges = list(merges)
+    pick.shuffle(merges)
+    vocab = {t: i for i, t in enumerate(dict.fromkeys([*letters, *parts, *map("".join, merges)]))}
+    made = Tokenizer(models.BPE(vocab=vocab, merges=merges))
+    made.pre_tokenizer, made.decoder = pre_tokenizers.ByteLevel(add_prefix_space=False), decoders.ByteLevel()
+    made.save(str(tmp_path / "made.json"))
+    enc = tokens.Encoder(str(tmp_path / "made.json"))
+    assert enc.apart and bool(enc.merges) == whole_alphabet
+    texts = [" ".join("".join(pick.choices("abc", k=pick.randint(1, n))) for _ in range(60)) for n in (4, 12, 31, 32, 33, 90)]
+    texts += ["a" * n for n in range(1, 70)] + ["a" * 31 + " " + "é" * 16 + "." * 40 + "ab"]
+    want = whole_ids(enc, texts)
+    flat, sizes = enc.encode_all(texts)
+    assert sizes.tolist() == list(map(len, want)) and flat.tolist() == [i for ids in want for i in ids]
+
+
 def test_codes():
     ids = rng.integers(0, 50_000, 5000).astype(np.uint32)
     ids[::3] //= 300
